@@ -133,7 +133,7 @@ def pair_scores(queries: DataFrame, targets: DataFrame, opts: SearchOptions = Se
                     part = pdf.iloc[lo:lo + 256]
                     codes = [encode(s) for s in part["seq"]]
                     hits: dict[int, list] = {}
-                    for t, q, usc, filt in block.scan(codes, f1, bias):
+                    for t, q, usc, filt in block.scan(codes, f1, f2, bias):
                         hits.setdefault(t, []).append({"q": q, "usc": usc, "filt": filt})
                     if hits:
                         at = sorted(hits)
