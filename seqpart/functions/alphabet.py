@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values: symbol order, degeneracies and amino background of the data model ---------------------
@@ -92,30 +92,33 @@ def symbol_counts(seq: Column, symbols: str) -> dict[str, Column]:
     return {s: F.length(seq) - F.length(F.translate(seq, s, "")) for s in symbols}
 
 
-def guess_alphabet(text: Column) -> Column:
-    """Alphabet by letter statistics: ``amino``, ``dna``, ``rna`` or ``unknown``."""
-    upper = F.upper(F.regexp_replace(text, "[^A-Za-z]", ""))
-    n = F.length(upper)
-    ct = symbol_counts(upper, "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    total = lambda group: reduce(lambda a, b: a + b, [ct[c] for c in group])
-    kinds = lambda group: reduce(lambda a, b: a + b, [(ct[c] > 0).cast("int") for c in group])
+def guess_alphabet(df: DataFrame, text: Column, out: str = "alphabet") -> DataFrame:
+    """Add the alphabet by letter statistics: ``amino``, ``dna``, ``rna`` or ``unknown``.
+
+    Counts are columns of a first projection so that each letter group is counted once.
+    """
     giveaway, shared, protein = "EFIJLOPQZ", "ACG", "DHKMRSVWY"
-    n1, n2, n3 = total(giveaway), total(shared), total(protein)
-    rest = lambda *cols: n - reduce(lambda a, b: a + b, cols)
-    return (
-        F.when(n <= 10, "unknown")
-        .when((n > 2000) & (ct["N"] == n), "dna")
-        .when(n1 > 0, "amino")
-        .when((rest(n2, ct["T"], ct["N"]) <= 0.02 * n) & (kinds("ACGT") == 4), "dna")
-        .when((rest(n2, ct["U"], ct["N"]) <= 0.02 * n) & (kinds("ACGU") == 4), "rna")
-        .when(
-            (rest(n1, n2, n3, ct["N"], ct["T"], ct["X"]) <= 0.02 * n)
-            & (n3 > n2)
-            & (kinds(giveaway + shared + protein + "NT") >= 15),
-            "amino",
-        )
+    groups = {"_n1": giveaway, "_n2": shared, "_n3": protein, "_nt": "T", "_nu": "U", "_nn": "N", "_nx": "X"}
+    c = F.col
+    upper = df.withColumn("_u", F.upper(F.regexp_replace(text, "[^A-Za-z]", "")))
+    kinds = lambda letters_: reduce(lambda a, b: a + b, [F.contains(c("_u"), F.lit(x)).cast("int") for x in letters_])
+    counted = upper.select(
+        "*", F.length("_u").alias("_n"),
+        *[(F.length("_u") - F.length(F.translate("_u", g, ""))).alias(name) for name, g in groups.items()],
+        kinds("ACGT").alias("_k4t"), kinds("ACGU").alias("_k4u"), kinds(giveaway + shared + protein + "NT").alias("_k"),
+    )
+    small = 0.02 * c("_n")
+    guess = (
+        F.when(c("_n") <= 10, "unknown")
+        .when((c("_n") > 2000) & (c("_nn") == c("_n")), "dna")
+        .when(c("_n1") > 0, "amino")
+        .when((c("_n") - c("_n2") - c("_nt") - c("_nn") <= small) & (c("_k4t") == 4), "dna")
+        .when((c("_n") - c("_n2") - c("_nu") - c("_nn") <= small) & (c("_k4u") == 4), "rna")
+        .when((c("_n") - c("_n1") - c("_n2") - c("_n3") - c("_nn") - c("_nt") - c("_nx") <= small)
+              & (c("_n3") > c("_n2")) & (c("_k") >= 15), "amino")
         .otherwise("unknown")
     )
+    return counted.select(*[c(x) for x in df.columns], guess.alias(out))
 
 
 def checksum(seq: Column) -> Column:

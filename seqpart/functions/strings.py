@@ -46,4 +46,4 @@ def tokens(line: Column, comment: str = "#") -> Column:
 
 def hit_line(query: Column, target: Column, pid: Column, length: Column, evalue: Column, decision: Column) -> Column:
     """One row of the hit table in its fixed-width text form."""
-    return F.format_string("%-15s %-15s %6.2f %10d %12.2e %s", query, target, pid, length, evalue, decision)
+    return F.format_string("%-15s %-15s %6.2f %7d %12.2E %8s", query, target, pid, length, evalue, decision)
