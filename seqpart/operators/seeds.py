@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from seqpart.operators.similarity import sequence_key
 from seqpart.operators.windows import kmers
-from seqpart.plans.sizing import maybe_broadcast
+from seqpart.plans.sizing import maybe_broadcast, spread_by
 
 
 def distinct_kmers(records: DataFrame, k: int) -> DataFrame:
-    """(key, kmer) without repeats, over distinct sequences only."""
-    distinct = records.filter(F.length("seq") >= k).groupBy(sequence_key(F.col("seq")).alias("key")).agg(F.first("seq").alias("seq"))
+    """(key, kmer) without repeats, over distinct sequences only. One shuffle, by sequence key, serves all steps."""
+    keyed = records.filter(F.length("seq") >= k).select(sequence_key(F.col("seq")).alias("key"), "seq")
+    distinct = spread_by(keyed, F.col("key"), F.length("seq")).groupBy("key").agg(F.first("seq").alias("seq"))
     return kmers(distinct, k, "key").select("key", "kmer").distinct()
 
 
@@ -38,12 +39,14 @@ def seed_pairs(queries: DataFrame, targets: DataFrame, k: int, min_shared: int =
 
 def seed_incidence(records: DataFrame, k: int) -> DataFrame:
     """(idx, hub): record and each of its distinct k-mers. Two records are similar when they share a hub."""
-    return kmers(records.filter(F.length("seq") >= k), k, "idx").select("idx", F.xxhash64("kmer").alias("hub"), "kmer").distinct()
+    long_enough = spread_by(records.filter(F.length("seq") >= k).select("idx", "seq"), F.col("idx"), F.length("seq"))
+    return kmers(long_enough, k, "idx").select("idx", F.col("kmer").alias("hub")).distinct()
 
 
 def diagonals(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """Seed hits per (pair, diagonal): number of seeds and the covered query interval."""
-    q = kmers(queries, k, "idx").select(F.col("idx").alias("q_idx"), F.col("pos").alias("q_pos"), "kmer")
+    spread = spread_by(queries.select("idx", "seq"), F.col("idx"), F.length("seq"))
+    q = kmers(spread, k, "idx").select(F.col("idx").alias("q_idx"), F.col("pos").alias("q_pos"), "kmer")
     t = kmers(targets, k, "idx").select(F.col("idx").alias("t_idx"), F.col("pos").alias("t_pos"), "kmer")
     joined = q.join(maybe_broadcast(t, ["kmer"]), "kmer")
     return joined.groupBy("q_idx", "t_idx", (F.col("t_pos") - F.col("q_pos")).alias("diagonal")).agg(

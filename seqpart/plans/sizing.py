@@ -17,6 +17,16 @@ def measured_bytes(df: DataFrame, *payload: str) -> int:
     return int(df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0])
 
 
+def spread_by(df: DataFrame, key: Column, size: Column, per_task: int = 4_000_000) -> DataFrame:
+    """Hash-spread rows over enough tasks that an explode of ``size`` items per row stays small in each.
+
+    Later aggregates on the key or on the key and more columns reuse this partitioning and need no further shuffle.
+    """
+    total = df.agg(F.coalesce(F.sum(size.cast("bigint")), F.lit(0))).first()[0]
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(int(min(max(cores, total // per_task), 200_000)), key)
+
+
 def maybe_broadcast(df: DataFrame, payload: list[str], limit: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast only when the measured size is inside the bound, else leave the join to a shuffle."""
     return F.broadcast(df) if measured_bytes(df, *payload) <= limit else df
