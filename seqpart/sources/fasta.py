@@ -11,7 +11,7 @@ from seqpart.functions.strings import fasta_record
 
 def parse_records(df: DataFrame, column: str) -> DataFrame:
     """Name, description and residues of one FASTA record per row; other columns are kept."""
-    body = F.regexp_replace(F.col(column), "^\\s*>", "")
+    body = F.regexp_replace(F.col(column), "^\\s*>?[ \\t]*", "")
     header = F.regexp_extract(body, "^([^\\r\\n]*)", 1)
     name = F.regexp_extract(header, "^(\\S*)", 1)
     descr = F.trim(F.regexp_extract(header, "^\\S*\\s*(.*)$", 1))
