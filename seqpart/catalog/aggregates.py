@@ -197,3 +197,43 @@ def fragments(spark, sf):
   SELECT msa_id, col, count(*) FILTER (WHERE sym <> '-') / count(*) AS share FROM cells GROUP BY ALL) GROUP BY msa_id""")
 def match_columns(spark, sf):
     return msa_ops.consensus(_msa(spark, sf)).groupBy("msa_id").agg(F.count(F.when(C("is_consensus"), 1)).alias("match_columns"))
+
+
+@query("k15_trace_identity", f"""WITH {_MSA}, {_CELLS}, f AS (SELECT msa_id, min(row_idx) AS first FROM msa GROUP BY 1),
+  p AS (SELECT t.msa_id, t.row_idx, q.sym AS q, t.sym AS t FROM cells t JOIN f USING (msa_id) JOIN cells q ON q.msa_id = t.msa_id AND q.row_idx = f.first AND q.col = t.col)
+  SELECT msa_id, row_idx, count(*) FILTER (WHERE t <> '-') AS used, round(count(*) FILTER (WHERE t <> '-' AND q = t) / nullif(count(*) FILTER (WHERE t <> '-'), 0), 6) AS pid FROM p GROUP BY ALL""")
+def trace_identity(spark, sf):
+    m = _msa(spark, sf)
+    first = m.groupBy("msa_id").agg(F.min_by("aligned", "row_idx").alias("reference"))
+    pid, used = msa_ops.trace_identity(C("reference"), C("aligned"))
+    return m.join(first, "msa_id").select("msa_id", "row_idx", used.alias("used"), F.round(pid, 6).alias("pid"))
+
+
+@query("p16_row_sequences", f"WITH {_MSA} SELECT msa_id, row_idx, name, replace(aligned, '-', '') AS seq FROM msa")
+def row_sequences(spark, sf):
+    return msa_ops.extract_rows(_msa(spark, sf))
+
+
+@query("x15_clade_sizes", """SELECT 'n' || c_nationkey AS node, count(*) AS size FROM customer GROUP BY 1 UNION ALL
+  SELECT 'r' || n_regionkey, count(*) FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY 1 UNION ALL
+  SELECT 'root', count(*) FROM customer UNION ALL SELECT c_name, 1 FROM customer""")
+def clade_sizes(spark, sf):
+    label = lambda prefix, c: F.concat(F.lit(prefix), C(c).cast("string"))
+    used = table(spark, sf, "customer").select(C("c_nationkey").alias("n_nationkey")).distinct()
+    nation = table(spark, sf, "nation").join(used, "n_nationkey")
+    tree = table(spark, sf, "customer").select(C("c_name").alias("node"), label("n", "c_nationkey").alias("parent")).unionByName(
+        nation.select(label("n", "n_nationkey").alias("node"), label("r", "n_regionkey").alias("parent"))).unionByName(
+        nation.select(label("r", "n_regionkey").alias("node"), F.lit("root").alias("parent")).distinct()).unionByName(
+        spark.range(1).select(F.lit("root").alias("node"), F.lit(None).cast("string").alias("parent")))
+    return graphs.clade_sizes(tree)
+
+
+@query("j11_distance_matrix", """WITH e AS (SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  m AS (SELECT label, i, avg(x) AS x FROM e GROUP BY ALL) SELECT a.label AS i, b.label AS j, round(sqrt(sum((a.x - b.x) * (a.x - b.x))), 5) AS dist
+  FROM m a JOIN m b ON a.i = b.i AND a.label < b.label GROUP BY ALL""")
+def distance_matrix(spark, sf):
+    """Distances between cluster centres: the upper triangle in long form, by a join on the coordinate."""
+    e = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("c", "x"))
+    m = e.groupBy("label", "c").agg(F.avg(C("x").cast("double")).alias("x"))
+    a, b = m.select(C("label").alias("i"), "c", C("x").alias("xa")), m.select(C("label").alias("j"), "c", C("x").alias("xb"))
+    return a.join(b, "c").filter("i < j").groupBy("i", "j").agg(F.round(F.sqrt(F.sum((C("xa") - C("xb")) * (C("xa") - C("xb")))), 5).alias("dist"))

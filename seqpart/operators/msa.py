@@ -140,3 +140,19 @@ def redundancy_filter(msa: DataFrame, max_id: float, rounds: int = 10_000) -> Da
             return msa.join(nxt.filter("kept").select("msa_id", "row_idx"), ["msa_id", "row_idx"])
         state = nxt.drop("_was")
     raise RuntimeError("the filter did not settle")
+
+
+def trace_identity(query: Column, target: Column, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> tuple[Column, Column]:
+    """Identity of an aligned pair over match and insert states, and the number of those states.
+
+    Columns where the target has a residue count (match or insert); deletions do not; degenerate residues never match.
+    """
+    sides = F.zip_with(F.split(query, ""), F.split(target, ""), lambda x, y: F.struct(x.alias("q"), y.alias("t")))
+    used = F.size(F.filter(sides, lambda s: (s["t"] != "") & ~s["t"].isin(*GAPS)))
+    same = F.size(F.filter(sides, lambda s: (s["t"] != "") & (s["q"] == s["t"]) & F.contains(F.lit(alphabet), s["t"])))
+    return F.when(used > 0, same / used), used.cast("bigint")
+
+
+def extract_rows(msa: DataFrame) -> DataFrame:
+    """Unaligned sequences of alignment rows."""
+    return msa.select("msa_id", "row_idx", "name", F.regexp_replace("aligned", "[-._~]", "").alias("seq"))
