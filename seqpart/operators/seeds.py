@@ -7,14 +7,19 @@ from pyspark.sql import functions as F
 
 from seqpart.operators.similarity import sequence_key
 from seqpart.operators.windows import kmers
-from seqpart.plans.sizing import maybe_broadcast, spread_by
+from seqpart.plans.sizing import BROADCAST_BYTES, maybe_broadcast, measured_bytes, spread_by
 
 
-def distinct_kmers(records: DataFrame, k: int) -> DataFrame:
-    """(key, kmer) without repeats, over distinct sequences only. One shuffle, by sequence key, serves all steps."""
+def content_kmers(records: DataFrame, k: int) -> DataFrame:
+    """(key, kmer) of every position of the distinct sequences. One shuffle, by sequence key, serves all later steps."""
     keyed = records.filter(F.length("seq") >= k).select(sequence_key(F.col("seq")).alias("key"), "seq")
     distinct = spread_by(keyed, F.col("key"), F.length("seq")).groupBy("key").agg(F.first("seq").alias("seq"))
-    return kmers(distinct, k, "key").select("key", "kmer").distinct()
+    return kmers(distinct, k, "key").select("key", "kmer")
+
+
+def distinct_kmers(records: DataFrame, k: int) -> DataFrame:
+    """(key, kmer) without repeats."""
+    return content_kmers(records, k).distinct()
 
 
 def content_seed_pairs(queries: DataFrame, targets: DataFrame, k: int, min_shared: int = 1) -> DataFrame:
@@ -24,9 +29,14 @@ def content_seed_pairs(queries: DataFrame, targets: DataFrame, k: int, min_share
     The target k-mer list is broadcast only when its measured size allows it; otherwise the join shuffles and adaptive
     execution splits skewed k-mers.
     """
-    q = distinct_kmers(queries, k).withColumnRenamed("key", "q_key")
     t = distinct_kmers(targets, k).withColumnRenamed("key", "t_key")
-    pairs = q.join(maybe_broadcast(t, ["t_key", "kmer"]), "kmer").groupBy("q_key", "t_key").agg(F.count("*").alias("shared"))
+    q = content_kmers(queries, k).withColumnRenamed("key", "q_key")
+    if measured_bytes(t, "t_key", "kmer") <= BROADCAST_BYTES:
+        # most k-mers find no partner: look them up first and drop repeats among the matches only
+        matches = q.join(F.broadcast(t), "kmer").select("q_key", "t_key", "kmer").distinct()
+    else:
+        matches = q.distinct().join(t, "kmer")
+    pairs = matches.groupBy("q_key", "t_key").agg(F.count("*").alias("shared"))
     return pairs.filter(F.col("shared") >= min_shared)
 
 
