@@ -160,7 +160,7 @@ def loss_spans(text: Column) -> Column:
 def rows_as_records(rows: DataFrame) -> DataFrame:
     """One record (conv_id, record) per conversation from a table with a row per turn."""
     kept = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    grouped = kept.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
+    grouped = kept.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("rows"))
     messages = F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("content")))
     shape = F.from_json(F.lit("{}"), RECORD)
     return grouped.select("conv_id", shape.withField("messages", messages).alias("record"))

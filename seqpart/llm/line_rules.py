@@ -46,8 +46,8 @@ def repeated_words(found: Column) -> Column:
 
     def places(windows: Column) -> Column:
         """Sort (hash, place); windows with an equal neighbour are repeated."""
-        pairs = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return bind(pairs, lambda s: F.array_sort(F.transform(
+        pairs = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return bind(pairs, lambda s: F.sort_array(F.transform(
             F.filter(s, lambda x, j: F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False))
                      | F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False))),
             lambda x: x["i"])))
@@ -90,25 +90,57 @@ def frequent_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share:
     return over.groupBy("host").agg(F.collect_list("line").alias("frequent"))
 
 
-def judged(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(doc_id, counts, base_failed, kept, text_left) for each document.
+def host_lines(docs: DataFrame, least_texts: int, least_share: float) -> DataFrame:
+    """(_line_host, _frequent) to join documents with.
 
-    The table of frequent lines is broadcast when its measured size is small; else the documents are joined by host in a
-    shuffle whose large partitions Spark splits.
+    It is broadcast when its measured size is small; else the documents meet it by host in a shuffle whose large partitions
+    Spark splits.
     """
-    found = cut_lineage(frequent_lines(docs, least_texts, least_share))
-    held = found.agg(F.coalesce(F.sum(F.size("frequent") * 8 + 64), F.lit(0))).first()[0]
-    frequent = F.broadcast(found) if held <= BROADCAST_BYTES else found
-    narrow = docs.select("doc_id", "text", F.col("source").alias("src"))
-    joined = narrow.join(frequent, narrow.src.eqNullSafe(frequent.host), "left")
-    counted = joined.withColumn("found", words(F.col("text"))).select(
-        "doc_id", "text", "frequent", *(c.alias(name) for name, c in base_counts(F.col("text"), F.col("found")).items()))
-    left = F.when(F.size("frequent") > 0, F.array_join(F.filter(
-        F.split("text", "\n"), lambda s: ~F.array_contains(F.col("frequent"), line_hash(s))), "\n")).otherwise(F.col("text"))
-    n_left = F.when(F.size("frequent") > 0, F.size(words(F.col("text_left")))).otherwise(F.col("n_words"))
-    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return (
-        counted.withColumn("text_left", left).withColumn("n_left", n_left.cast("long")).withColumn("base_failed", failed)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("n_left") >= LEAST_WORDS) & (F.col("n_left") >= KEPT_SHARE * F.col("n_words")))
-        .drop("frequent", "text")
-    )
+    found = cut_lineage(frequent_lines(docs, least_texts, least_share)).select(
+        F.col("host").alias("_line_host"), F.col("frequent").alias("_frequent"))
+    held = found.agg(F.coalesce(F.sum(F.size("_frequent") * 8 + 64), F.lit(0))).first()[0]
+    return F.broadcast(found) if held <= BROADCAST_BYTES else found
+
+
+def verdicts(text: Column) -> dict[str, Column]:
+    """Counts, base rule, what is left of the text, and whether the document is kept; needs ``_frequent``."""
+    def gone(line: Column) -> Column:
+        return F.array_contains(F.col("_frequent"), line_hash(line))
+
+    some = F.size("_frequent") > 0
+    # One struct, so that words and counts are computed once per row.
+    made = bind(words(text), lambda found: F.struct(*(c.alias(name) for name, c in base_counts(text, found).items())))
+    left = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda s: ~gone(s)), "\n")).otherwise(text)
+
+    def judge(c: Column) -> Column:
+        failed = (c["n_words"] < 10) | (100 * c["n_repeat_words"] > 20 * c["n_words"])
+
+        def rest(kept_text: Column) -> Column:
+            n_left = F.when(some, F.size(words(kept_text))).otherwise(c["n_words"])
+            kept = ~failed & (n_left >= LEAST_WORDS) & (n_left >= KEPT_SHARE * c["n_words"])
+            return F.struct(c.alias("counts"), failed.alias("failed"), kept_text.alias("left"), kept.alias("kept"))
+
+        return bind(left, rest)
+
+    return {"_judged": bind(made, judge)}
+
+
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def judged(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(doc_id, counts, base_failed, kept, text_left) for each document."""
+    narrow = docs.select("doc_id", "text", F.col("source").alias("_host"))
+    joined = narrow.join(host_lines(docs, least_texts, least_share), F.col("_host").eqNullSafe(F.col("_line_host")), "left")
+    return joined.withColumns(verdicts(F.col("text"))).select(
+        "doc_id", *(F.col(f"_judged.counts.{c}").alias(c) for c in COUNTS), F.col("_judged.failed").alias("base_failed"),
+        F.col("_judged.kept").alias("kept"), F.col("_judged.left").alias("text_left"))
+
+
+def kept_documents(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
+    """The documents that pass, frequent lines taken out and ``n_chars`` counted anew where a line went."""
+    held = host_lines(docs, least_texts, least_share)
+    joined = docs.withColumn("_host", F.col("source")).join(held, F.col("_host").eqNullSafe(F.col("_line_host")), "left")
+    out = joined.withColumns(verdicts(F.col("text"))).filter("_judged.kept")
+    named = {"text": F.col("_judged.left"), "n_chars": F.when(F.size("_frequent") > 0, F.length("_judged.left").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*(named[c].alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns))

@@ -72,7 +72,7 @@ def entropy(text: Column) -> Column:
         return F.struct(c.alias("last"), F.when(same, a["run"] + 1.0).otherwise(1.0).alias("run"),
                         F.when(same, a["sum"]).otherwise(a["sum"] + term(a["run"])).alias("sum"))
 
-    chars = F.array_sort(F.filter(F.split(text, ""), lambda c: c != ""))
+    chars = F.sort_array(F.filter(F.split(text, ""), lambda c: c != ""))
     n = F.length(text).cast("double")
     return F.when(n > 0, F.aggregate(chars, zero, step, lambda a: F.log2(n) - (a["sum"] + term(a["run"])) / n)).otherwise(0.0)
 
