@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import sys
+import unicodedata
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -30,6 +32,13 @@ WORDS_AT_ONCE = 200_000
 # Words kept with their ids; beyond, the store starts anew.
 STORED_WORDS = 300_000
 
+# Ranges of letters and numbers that Unicode 16.0 added, as the splitter knows them.
+UNICODE_16 = [
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x116D0, 0x116E3), (0x11BC0, 0x11BE0), (0x11BF0, 0x11BF9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C),
+    (0x16D70, 0x16D79), (0x18CFF, 0x18CFF), (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA)]
+
 
 def byte_letters() -> dict[str, int]:
     """The letters that stand for bytes in vocabulary files: printable bytes as themselves, the rest from code point 256 on."""
@@ -74,7 +83,14 @@ class Encoder:
         self.pairs: dict[tuple[int, int], bool] = {}
         from public_tokenizers import PATTERN
 
-        self.split = regex.compile(PATTERN)
+        self.plain = regex.compile(PATTERN)
+        # The file's splitter knows letters and numbers up to Unicode 16.0, ``regex`` may know later ones: what neither this
+        # Python's older data nor 16.0 has counts as neither.
+        late = "".join(map(regex.escape, (c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)])))
+                                          if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16))))
+        self.late = regex.compile(f"[{late}]") if late else None
+        self.exact = regex.compile(PATTERN.replace(r"^\s\p{L}\p{N}", "\0").replace(r"\p{L}", f"[\\p{{L}}--[{late}]]").replace(
+            r"\p{N}", f"[\\p{{N}}--[{late}]]").replace("[\0]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{late}]]"), regex.V1) if late else self.plain
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.clear()
 
@@ -144,17 +160,27 @@ class Encoder:
 
     def words(self, text: str) -> Iterator[str]:
         """The text's words in order; strings of special tokens stand by themselves."""
+        split = self.splitter(text)
         if self.marks is None or not any(s in text for s in self.special):
-            return (m.group() for m in self.split.finditer(text))
+            return (m.group() for m in split.finditer(text))
+
         def parts() -> Iterator[str]:
             at = 0
             for m in self.marks.finditer(text):
-                yield from (x.group() for x in self.split.finditer(text[at:m.start()]))
+                yield from (x.group() for x in split.finditer(text[at:m.start()]))
                 yield m.group()
                 at = m.end()
-            yield from (x.group() for x in self.split.finditer(text[at:]))
+            yield from (x.group() for x in split.finditer(text[at:]))
+
         return parts()
 
+    def splitter(self, text: str) -> regex.Pattern:
+        try:
+            text.encode("latin-1")
+            return self.plain
+        except UnicodeEncodeError:
+            return self.exact if self.late is not None and self.late.search(text) else self.plain
+
     def numbered(self, words: list[str]) -> np.ndarray:
         """Stored numbers of words; new ones are encoded first."""
         store, add = self.store, self._add
@@ -167,7 +193,7 @@ class Encoder:
         words: list[str] = []
         owners: list[np.ndarray] = []
         for k, text in enumerate(texts):
-            found = self.words(text) if len(text) > 1_000_000 or any(s in text for s in self.special) else iter(self.split.findall(text))
+            found = self.words(text) if len(text) > 1_000_000 or any(s in text for s in self.special) else iter(self.splitter(text).findall(text))
             while more := list(itertools.islice(found, WORDS_AT_ONCE)):
                 words += more
                 owners.append(np.full(len(more), k))
