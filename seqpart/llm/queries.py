@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, line_rules, url_filter
+from . import bpe, chat_format, line_rules, simhash, splitters, token_counts, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,34 @@ def op6_line_rules(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def vocabulary_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@query
+def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.grouped(table(spark, sf, "documents"))
+    return found.select("doc_id", simhash.hexadecimal("fp").alias("fingerprint"), "component_id")
+
+
+@query
+def op4_splitters(spark: SparkSession, sf: str) -> DataFrame:
+    return splitters.sharded(table(spark, sf, "documents"), 40).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.suffix_sums(token_counts.histogram(table(spark, sf, "documents"), vocabulary_file()))
+
+
+@query
+def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe.digests(table(spark, sf, "documents"), vocabulary_file())
+
+
 @query
 def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
