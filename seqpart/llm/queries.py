@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, line_rules, simhash, splitters, token_counts, url_filter
+from . import bpe, chat_format, line_rules, simhash, spaced_seeds, splitters, token_counts, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,12 @@ def vocabulary_file() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query
+def op2_spaced_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    hits = spaced_seeds.found(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return hits.groupBy("doc_id", "item_id").agg(F.max("equal").alias("equal_tokens"), F.min("first").alias("first_token"))
+
+
 @query
 def op3_simhash(spark: SparkSession, sf: str) -> DataFrame:
     found = simhash.grouped(table(spark, sf, "documents"))
@@ -57,6 +63,18 @@ def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf, "documents"), vocabulary_file()))
 
 
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    model = toxicity.fit(docs, table(spark, sf, "labels").filter(~held_out()).select("doc_id", "toxic"))
+    return toxicity.scored(docs, model).select(
+        "doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op9_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(table(spark, sf, "documents"), vocabulary_file())
