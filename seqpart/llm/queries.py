@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, line_rules, simhash, spaced_seeds, splitters, token_counts, toxicity, url_filter
+from . import bpe, chat_format, line_rules, simhash, spaced_seeds, splitters, suffix_index, token_counts, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,6 +58,11 @@ def op4_splitters(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op5_suffix_index(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_index.digests(table(spark, sf, "documents"))
+
+
 @query
 def op7_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.histogram(table(spark, sf, "documents"), vocabulary_file()))

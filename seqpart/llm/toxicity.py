@@ -9,6 +9,7 @@ toxic labels (0 where there are none); labels of one document that disagree coun
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +25,9 @@ from .common import workers_ready
 WORD = regex.compile(r"\w+")
 BITS = 18
 # At most so many labelled documents train the model: those whose ids hash lowest. This bounds what the driver holds.
-TRAINING_ROWS = 12_000
-STEPS, RATE, SPARSE, RIDGE, SWAP = 200, 0.5, 4e-4, 1e-5, 1.0
-STORED = 1_000_000
+TRAINING_ROWS = 8_000
+STEPS, RATE, SPARSE, RIDGE, SWAP = 150, 0.5, 6e-4, 1e-5, 1.0
+STORED = 300_000
 
 # Names of groups; the terms of a row replace each other in counterfactual sentences.
 IDENTITY = [
@@ -38,29 +39,33 @@ IDENTITY = [
 
 
 class _Slots(dict):
-    """Slot of each word; keeps a bounded number of words."""
+    """Slots of each word: itself, two beginnings and an end, which languages with compounds need; keeps a bounded number."""
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str) -> list[int]:
         if len(self) > STORED:
             self.clear()
-        at = self[word] = xxhash.xxh64_intdigest(word.encode()) >> (64 - BITS)
+        parts = [word, *("^" + word[:n] for n in (5, 7) if len(word) > n), *([word[-5:] + "$"] if len(word) > 5 else [])]
+        at = self[word] = [xxhash.xxh64_intdigest(x.encode()) >> (64 - BITS) for x in parts]
         return at
 
 
-def slots(text: str, known: dict[str, int]) -> np.ndarray:
+def _slots(words: set[str], known: dict[str, list[int]]) -> np.ndarray:
+    return np.unique(np.fromiter(itertools.chain.from_iterable(map(known.__getitem__, words)), np.int32))
+
+
+def slots(text: str, known: dict[str, list[int]]) -> np.ndarray:
     """Distinct slots of a text's words."""
-    found = WORD.findall(text.lower())
-    return np.unique(np.fromiter(map(known.__getitem__, found), np.int32, len(found)))
+    return _slots(set(WORD.findall(text.lower())), known)
 
 
-def swapped(text: str, known: dict[str, int], identity: list[list[str]] = IDENTITY) -> list[np.ndarray]:
+def swapped(text: str, known: dict[str, list[int]], identity: list[list[str]] = IDENTITY) -> list[np.ndarray]:
     """Slots of the text with each group's name replaced by another of its kind, one for each shift of the rows."""
     found = set(WORD.findall(text.lower()))
     named = [(row, i) for row in identity for i, term in enumerate(row) if term in found]
     out = []
     for shift in range(1, max((len(row) for row, _ in named), default=1)):
         other = {row[i]: row[(i + shift) % len(row)] for row, i in named}
-        out.append(np.unique(np.array([known[other.get(w, w)] for w in found], np.int32)))
+        out.append(_slots({other.get(w, w) for w in found}, known))
     return out
 
 
@@ -79,7 +84,7 @@ def learn(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[int, np.n
     if len(rows) == 0 or toxic.min() == toxic.max():
         share = float(toxic.mean()) if len(rows) else 0.0
         return Model(np.zeros(size), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
     at = np.concatenate(rows)
     # Both kinds weigh the same.
     weight = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (len(toxic) - toxic.sum()))
