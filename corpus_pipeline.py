@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from seqpart.llm import line_rules
+from seqpart.llm import bpe, line_rules, simhash, spaced_seeds, suffix_index
 from seqpart.llm.common import written
 
 Docs = DataFrame
@@ -16,7 +15,32 @@ def quality_rules(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     return line_rules.kept_documents(docs)
 
 
-STAGES = [("quality_rules", quality_rules)]
+def near_dedup(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """One document of each group of near copies: five-word shingles, fingerprints at most four bits apart."""
+    return simhash.first_of_each(docs, shingle=5)
+
+
+def repeated_passages(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Texts without the bytes that stand earlier in the corpus in a string of 100; texts that lose all of them go."""
+    return suffix_index.without_repeats(docs)
+
+
+def decontamination(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Documents that hold no benchmark item."""
+    return spaced_seeds.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def encoding(spark: SparkSession, docs: Docs, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids) of every document left."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.with_ids(docs, vocabulary)
+
+
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("repeated_passages", repeated_passages),
+          ("decontamination", decontamination), ("encoding", encoding)]
 
 # SQL can express neither the fingerprints, the suffix index nor the encoder.
 ORACLE_SQL = None

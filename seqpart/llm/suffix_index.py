@@ -496,10 +496,24 @@ def digests(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: in
 
 
 def kept_texts(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: int = K, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
-    """(doc_id, tie, kept): each text without repeated bytes; ``kept`` is null where nothing was removed. Characters that lost
-    some of their bytes go as a whole."""
+    """(doc_id, tie, text, n_removed): each text without repeated bytes. Characters that lost some of their bytes go as a whole."""
     def out(batch: pa.RecordBatch, texts: list, made: list) -> pa.RecordBatch:
-        kept = [m[0].decode("utf-8", "ignore") if m[1] else None for m in made]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(kept, pa.string())], names=["doc_id", "tie", "kept"])
-
-    return _cut(docs, batches, length, k, chunk, hot, out, "doc_id long, tie long, kept string")
+        kept = [None if t is None else m[0].decode("utf-8", "ignore") for t, m in zip(batch.column(2).to_pylist(), made)]
+        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(kept, pa.string()), pa.array([m[1] for m in made], pa.int64())],
+                                          names=["doc_id", "tie", "text", "n_removed"])
+
+    return _cut(docs, batches, length, k, chunk, hot, out, "doc_id long, tie long, text string, n_removed long")
+
+
+def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
+    """The documents with the texts that are left and ``n_chars`` counted anew; a text that loses every byte goes with its row."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    side = docs.withColumn("_rest", F.struct(*(F.col(f"`{c}`") for c in rest))).select("doc_id", "text", "n_chars", "_rest")
+    kept = kept_texts(docs, batches).filter((F.col("n_removed") == 0) | (F.length("text") > 0)).select(
+        F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("tie").alias("_tie"), F.col("text").alias("_text"), "n_removed")
+    # Rows that are equal in id and text are one document here; each keeps its own other columns.
+    kept = kept.dropDuplicates(["_id", "_tie"])
+    own = side.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_own"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)).alias("_own_tie"), "n_chars", "_rest")
+    joined = own.join(kept, (F.col("_own") == F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
+    named = {"text": F.col("_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
+    return joined.select(*(named[c].alias(c) if c in named else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
