@@ -323,17 +323,20 @@ class SuffixIndex:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(id, tie, doc_id, text): texts with what orders them."""
+    """(id, tie, text, rest): texts with what orders them; ``rest`` holds the other columns."""
     tie = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tie.alias("tie"), "doc_id", "text")
+    rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tie.alias("tie"), "text", *([F.struct(*rest).alias("rest")] if rest else []))
 
 
-def windows_of(open_rows: DataFrame, texts: DataFrame, length: int, spread: int) -> DataFrame:
+def windows_of(open_rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Bytes around UNSETTLED suffixes and hashes of the windows of PARKED ones: (key, doc, spot, first, last, bytes), and rows
     without a key for windows that the task settles itself."""
     where = F.struct("kind", "where", "key")
     asked = open_rows.groupBy(F.col("doc").alias("_doc"), F.shiftright("where", 47).alias("_tie")).agg(F.collect_list(where).alias("asked"))
-    joined = texts.join(asked.hint("shuffle_hash"), (F.col("id") == F.col("_doc")) & (F.col("tie") == F.col("_tie"))).select("id", "asked", "text")
+    joined = texts.join(asked.hint("shuffle_hash"), (F.col("id") == F.col("_doc")) & (F.col("tie") == F.col("_tie")))
+    # All columns of the texts are asked for, so that this join and the last one read the same exchange.
+    joined = joined.select("id", "asked", *(c for c in texts.columns if c != "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -342,7 +345,7 @@ def windows_of(open_rows: DataFrame, texts: DataFrame, length: int, spread: int)
             asked = batch.column(1)
             bounds, flat = asked.offsets.to_numpy() - asked.offsets[0].as_py(), asked.flatten()
             kind, where, key = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for r, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())):
+            for r, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())):
                 own = slice(bounds[r], bounds[r + 1])
                 tie, place, first, last = unpacked(where[own])
                 pending = kind[own] == PARKED
@@ -443,7 +446,7 @@ def batches_of(docs: DataFrame, batches: int) -> list[DataFrame]:
 
 
 def repeated(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: int = K, chunk: int = CHUNK, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """Texts (id, tie, doc_id, text) dealt by document, and (_doc, _tie, spans) of those with repeated bytes."""
+    """``identified`` texts dealt by document, and (_doc, _tie, spans) of those with repeated bytes."""
     spark = docs.sparkSession
     index = SuffixIndex(spark, length, k, chunk, hot)
     parts = batches_of(docs.select("doc_id", "text"), batches)
@@ -452,7 +455,7 @@ def repeated(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: i
     rows, spread = index.rows(), partitions(spark)
     # Both joins read the same exchange of texts.
     texts = identified(docs).repartition(spread, "id", "tie")
-    windows = windows_of(rows.filter(F.col("kind").isin(UNSETTLED, PARKED)), texts, length, spread)
+    windows = windows_of(rows.filter(F.col("kind").isin(UNSETTLED, PARKED)), texts, length)
     w = F.col("where")
     place, first, last = F.shiftright(w, 16).bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftright(w, 8).bitwiseAND(F.lit(255)), w.bitwiseAND(F.lit(255))
     whole = rows.filter(F.col("kind") == REPEATED).select("doc", F.shiftright(w, 47).alias("tie"), (place - first).alias("start"), (place - last + length).alias("stop"))
@@ -472,48 +475,40 @@ def _kept(text: bytes, spans: list[int]) -> tuple[bytes, int, int]:
 
 
 def _cut(docs: DataFrame, batches: int, length: int, k: int, chunk: int, hot: int, out: Callable, columns: str) -> DataFrame:
+    """``out(batch, bytes of the texts, what _kept gives)`` for every document."""
     texts, spans = repeated(docs, batches, length, k, chunk, hot)
-    joined = texts.join(spans.hint("shuffle_hash"), (F.col("id") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left").select("doc_id", "tie", "text", "spans")
+    joined = texts.join(spans.hint("shuffle_hash"), (F.col("id") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left").select("spans", *texts.columns)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            made = [_kept(t or b"", s) if s else (t or b"", 0, 0) for t, s in zip(texts, batch.column(3).to_pylist())]
-            yield out(batch, texts, made)
+            texts = batch.column("text").cast(pa.binary()).to_pylist()
+            yield out(batch, texts, [_kept(t or b"", s) if s else (t or b"", 0, 0) for t, s in zip(texts, batch.column("spans").to_pylist())])
 
-    return joined.mapInArrow(run, columns)
+    return joined.mapInArrow(run, columns).withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))
 
 
 def digests(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: int = K, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of each document."""
     def out(batch: pa.RecordBatch, texts: list, made: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([
-            batch.column(0).cast(pa.int64()), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
+            batch.column("id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([m[1] for m in made], pa.int64()),
             pa.array([m[2] for m in made], pa.int64()), pa.array([hashlib.sha256(m[0]).hexdigest() for m in made], pa.string())],
             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _cut(docs, batches, length, k, chunk, hot, out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _cut(docs.select("doc_id", "text"), batches, length, k, chunk, hot, out, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def kept_texts(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: int = K, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
-    """(doc_id, tie, text, n_removed): each text without repeated bytes. Characters that lost some of their bytes go as a whole."""
+def without_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: int = K, chunk: int = CHUNK, hot: int = HOT) -> DataFrame:
+    """The documents with the texts that are left. Characters that lost some of their bytes go as a whole, ``n_chars`` is counted
+    anew where bytes went, and a text that loses every byte goes with its row."""
     def out(batch: pa.RecordBatch, texts: list, made: list) -> pa.RecordBatch:
-        kept = [None if t is None else m[0].decode("utf-8", "ignore") for t, m in zip(batch.column(2).to_pylist(), made)]
-        return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), pa.array(kept, pa.string()), pa.array([m[1] for m in made], pa.int64())],
-                                          names=["doc_id", "tie", "text", "n_removed"])
-
-    return _cut(docs, batches, length, k, chunk, hot, out, "doc_id long, tie long, text string, n_removed long")
-
-
-def without_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """The documents with the texts that are left and ``n_chars`` counted anew; a text that loses every byte goes with its row."""
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    side = docs.withColumn("_rest", F.struct(*(F.col(f"`{c}`") for c in rest))).select("doc_id", "text", "n_chars", "_rest")
-    kept = kept_texts(docs, batches).filter((F.col("n_removed") == 0) | (F.length("text") > 0)).select(
-        F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("tie").alias("_tie"), F.col("text").alias("_text"), "n_removed")
-    # Rows that are equal in id and text are one document here; each keeps its own other columns.
-    kept = kept.dropDuplicates(["_id", "_tie"])
-    own = side.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_own"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)).alias("_own_tie"), "n_chars", "_rest")
-    joined = own.join(kept, (F.col("_own") == F.col("_id")) & (F.col("_own_tie") == F.col("_tie")))
-    named = {"text": F.col("_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("_text").cast("long")).otherwise(F.col("n_chars"))}
-    return joined.select(*(named[c].alias(c) if c in named else F.col(f"_rest.`{c}`").alias(c) for c in docs.columns))
+        left = [None if t is None else m[0].decode("utf-8", "ignore") for t, m in zip(texts, made)]
+        rest = [(n, batch.column(n)) for n in batch.schema.names if n == "rest"]
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(left, pa.string()), pa.array([m[1] for m in made], pa.int64()), *(c for _, c in rest)],
+                                          names=["doc_id", "text", "n_removed", *(n for n, _ in rest)])
+
+    own = identified(docs).schema
+    rest = f", rest {own['rest'].dataType.simpleString()}" if "rest" in own.names else ""
+    made = _cut(docs, batches, length, k, chunk, hot, out, f"doc_id long, text string, n_removed long{rest}").filter((F.col("n_removed") == 0) | (F.length("text") > 0))
+    kept = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))}
+    return made.select(*(kept[c].alias(c) if c in kept else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
