@@ -141,6 +141,8 @@ def kept_documents(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share:
     """The documents that pass, frequent lines taken out and ``n_chars`` counted anew where a line went."""
     held = host_lines(docs, least_texts, least_share)
     joined = docs.withColumn("_host", F.col("source")).join(held, F.col("_host").eqNullSafe(F.col("_line_host")), "left")
-    out = joined.withColumns(verdicts(F.col("text"))).filter("_judged.kept")
+    # Exploding none or one verdict filters without computing it twice.
+    judged_once = F.explode(F.filter(F.array(verdicts(F.col("text"))["_judged"]), lambda j: j["kept"]))
+    out = joined.withColumn("_judged", judged_once)
     named = {"text": F.col("_judged.left"), "n_chars": F.when(F.size("_frequent") > 0, F.length("_judged.left").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*(named[c].alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns))

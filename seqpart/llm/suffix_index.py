@@ -34,13 +34,13 @@ from .common import partitions, shared_folder, workers_ready
 
 LENGTH, K = 100, 32
 # Window starts worked on at once, which bounds memory for texts of any length.
-CHUNK = 2_000_000
+CHUNK = 800_000
 # Segments of one minimizer in a chunk above which it is parked.
 HOT = 48
 # Segments of one minimizer in a scan above which it is settled like a parked one.
 MOST = 4096
 # Scan buckets per shuffle partition: a task holds one bucket at a time.
-BUCKETS = 8
+BUCKETS = 4
 BATCHES = 2
 NO_ID = -(1 << 63)
 
@@ -73,7 +73,7 @@ def prefix_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def sliding_min_place(h: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest value of each stretch of ``width`` values."""
-    best, at, span = h, np.arange(len(h)), 1
+    best, at, span = h, np.arange(len(h), dtype=np.int32), 1
     while span < width:
         step = min(span, width - span)
         left, right = best[:-step], best[step:]
