@@ -25,12 +25,14 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_ready
+from .common import slices, workers_ready
 
 # Texts are worked on in parts of about so many words, which bounds memory for texts of any length.
-WORDS_AT_ONCE = 200_000
+WORDS_AT_ONCE = 100_000
 # Words kept with their ids; beyond, the store starts anew.
-STORED_WORDS = 300_000
+STORED_WORDS = 100_000
+# Pairs of tokens whose compatibility is remembered.
+STORED_PAIRS = 200_000
 
 # Ranges of letters and numbers that Unicode 16.0 added, as the splitter knows them.
 UNICODE_16 = [
@@ -113,7 +115,7 @@ class Encoder:
             known = not any(
                 (r := self.rank.get((x, y))) is not None and r < taken_x and r <= taken_y
                 for x, taken_x in self._edge(a, 1) for y, taken_y in right)
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > STORED_PAIRS:
                 self.pairs.clear()
             self.pairs[a, b] = known
         return known
@@ -257,7 +259,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).fill_null("").to_pylist()
             n = len(texts)
             count = np.zeros(n, np.int64)
@@ -288,7 +290,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).fill_null("").to_pylist()
             found, count = [], np.zeros(len(texts), np.int64)
             for ids, owner, _, _ in own.encoded(texts):
@@ -307,7 +309,7 @@ def decoded(rows: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec)
-        for batch in batches:
+        for batch in slices(batches):
             texts = [own.decode(np.array(ids, np.int64))[0].tobytes().decode("utf-8", "replace") if ids else "" for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
@@ -320,7 +322,7 @@ def counted(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(spec)
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column(1).fill_null("").to_pylist()
             count = np.zeros(len(texts))
             for words, owner in own.parts(texts):

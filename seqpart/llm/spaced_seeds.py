@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from seqpart.plans.sizing import BROADCAST_BYTES
 from seqpart.session import cut_lineage
 
-from .common import workers_ready
+from .common import slices, workers_ready
 
 TOKEN = regex.compile(r"\w+")
 WINDOW, LEAST = 13, 8
@@ -38,7 +38,7 @@ PIECE = 64
 # The bit table: 2^20 words of 64 bits, 8 MB whatever the number of items.
 TABLE_BITS = 20
 # Words whose hashes a worker keeps; beyond, it starts anew.
-STORED = 1_000_000
+STORED = 200_000
 
 
 class _Hashes(dict):
@@ -107,7 +107,7 @@ def document_hits(docs: DataFrame, table: np.ndarray, short: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits_of = _Hashes(), sent.value
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc, copy, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = token_hashes(text or "", known)
@@ -136,7 +136,7 @@ def document_hits(docs: DataFrame, table: np.ndarray, short: bool) -> DataFrame:
 def _verified(pairs: DataFrame) -> DataFrame:
     """Compare the tokens around each hit; (doc_id, copy, item_id, equal, first) of windows that agree enough."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for doc, copy, start, tokens, place, item, around, at, size in zip(*(c.to_pylist() for c in batch.columns)):
                 d, t = np.array(tokens), np.array(around)

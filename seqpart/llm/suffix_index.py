@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import partitions, shared_folder, workers_ready
+from .common import partitions, shared_folder, slices, workers_ready
 
 LENGTH, K = 100, 32
 # Window starts worked on at once, which bounds memory for texts of any length.
@@ -180,7 +180,7 @@ def chunks(docs: Iterable[tuple[int, int, bytes]], length: int, size: int) -> It
 def array_of(docs: DataFrame, buckets: int, length: int, k: int, chunk: int, hot: int) -> DataFrame:
     """Rows of a batch's sparse suffix array, and what a chunk settles itself."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2000):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())
             ordered = sorted(((NO_ID if d is None else d, t, x or b"") for d, t, x in rows), key=lambda r: r[:2])
             for data, room, doc, tie, place in chunks(ordered, length, chunk):
@@ -339,7 +339,7 @@ def windows_of(open_rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
     joined = joined.select("id", "asked", *(c for c in texts.columns if c != "id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             keys, docs, spots, firsts, lasts, blobs = [], [], [], [], [], []
             parked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             asked = batch.column(1)
@@ -480,7 +480,7 @@ def _cut(docs: DataFrame, batches: int, length: int, k: int, chunk: int, hot: in
     joined = texts.join(spans.hint("shuffle_hash"), (F.col("id") == F.col("_doc")) & (F.col("tie") == F.col("_tie")), "left").select("spans", *texts.columns)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
+        for batch in slices(rows):
             texts = batch.column("text").cast(pa.binary()).to_pylist()
             yield out(batch, texts, [_kept(t or b"", s) if s else (t or b"", 0, 0) for t, s in zip(texts, batch.column("spans").to_pylist())])
 

@@ -20,14 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import workers_ready
+from .common import slices, workers_ready
 
 WORD = regex.compile(r"\w+")
 BITS = 18
 # At most so many labelled documents train the model: those whose ids hash lowest. This bounds what the driver holds.
 TRAINING_ROWS = 8_000
 STEPS, RATE, SPARSE, RIDGE, SWAP = 150, 0.5, 6e-4, 1e-5, 1.0
-STORED = 300_000
+STORED = 200_000
 
 # Names of groups; the terms of a row replace each other in counterfactual sentences.
 IDENTITY = [
@@ -117,7 +117,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, identity:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = _Slots()
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(2).to_pylist()]
             own = pa.array([slots(t, known) for t in texts], pa.list_(pa.int32()))
             swaps = pa.array([swapped(t, known, identity) for t in texts], pa.list_(pa.list_(pa.int32())))
@@ -140,7 +140,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, own = _Slots(), sent.value
-        for batch in batches:
+        for batch in slices(batches):
             scores = [own.score(slots(t or "", known)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
