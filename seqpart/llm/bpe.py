@@ -32,7 +32,7 @@ WORDS_AT_ONCE = 100_000
 # Words kept with their ids; beyond, the store starts anew.
 STORED_WORDS = 100_000
 # Pairs of tokens whose compatibility is remembered.
-STORED_PAIRS = 200_000
+STORED_PAIRS = 50_000
 
 # Ranges of letters and numbers that Unicode 16.0 added, as the splitter knows them.
 UNICODE_16 = [
@@ -88,11 +88,15 @@ class Encoder:
         self.plain = regex.compile(PATTERN)
         # The file's splitter knows letters and numbers up to Unicode 16.0, ``regex`` may know later ones: what neither this
         # Python's older data nor 16.0 has counts as neither.
-        late = "".join(map(regex.escape, (c for c in regex.findall(r"[\p{L}\p{N}]", "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)])))
-                                          if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16))))
-        self.late = regex.compile(f"[{late}]") if late else None
-        self.exact = regex.compile(PATTERN.replace(r"^\s\p{L}\p{N}", "\0").replace(r"\p{L}", f"[\\p{{L}}--[{late}]]").replace(
-            r"\p{N}", f"[\\p{{N}}--[{late}]]").replace("[\0]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{late}]]"), regex.V1) if late else self.plain
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
+        late = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every)
+                if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16)]
+        starts = [c for c, before in zip(late, [None, *late]) if before is None or c != before + 1]
+        stops = [c for c, after in zip(late, [*late[1:], None]) if after is None or after != c + 1]
+        self.late_ranges = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, stops))
+        self.late = regex.compile(f"[{self.late_ranges}]") if late else None
+        self.pattern = PATTERN
+        self.exact: regex.Pattern | None = None
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.clear()
 
@@ -181,7 +185,14 @@ class Encoder:
             text.encode("latin-1")
             return self.plain
         except UnicodeEncodeError:
-            return self.exact if self.late is not None and self.late.search(text) else self.plain
+            if self.late is None or not self.late.search(text):
+                return self.plain
+            if self.exact is None:
+                late = self.late_ranges
+                self.exact = regex.compile(
+                    self.pattern.replace(r"[^\s\p{L}\p{N}]", "\0").replace(r"\p{L}", rf"[\p{{L}}--[{late}]]").replace(
+                        r"\p{N}", rf"[\p{{N}}--[{late}]]").replace("\0", rf"[[^\s\p{{L}}\p{{N}}]||[{late}]]"), regex.V1)
+            return self.exact
 
     def numbered(self, words: list[str]) -> np.ndarray:
         """Stored numbers of words; new ones are encoded first."""
