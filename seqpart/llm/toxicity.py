@@ -26,7 +26,8 @@ WORD = regex.compile(r"\w+")
 BITS = 18
 # At most so many labelled documents train the model: those whose ids hash lowest. This bounds what the driver holds.
 TRAINING_ROWS = 8_000
-STEPS, RATE, SPARSE, RIDGE, SWAP = 150, 0.5, 6e-4, 1e-5, 1.0
+# SPARSE is the L1 term for one document; it falls with the root of their number.
+STEPS, RATE, SPARSE, RIDGE, SWAP = 150, 0.5, 0.034, 1e-5, 1.0
 STORED = 200_000
 
 # Names of groups; the terms of a row replace each other in counterfactual sentences.
@@ -92,6 +93,7 @@ def learn(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[int, np.n
     pair_at = np.concatenate([np.concatenate([rows[i], s]) for i, s in swaps]) if pairs else np.zeros(0, np.int64)
     pair_owner = np.repeat(np.arange(pairs), [len(rows[i]) + len(s) for i, s in swaps]) if pairs else np.zeros(0, np.int64)
     sign = np.concatenate([np.r_[np.ones(len(rows[i])), -np.ones(len(s))] for i, s in swaps]) if pairs else np.zeros(0)
+    sparse = SPARSE / np.sqrt(len(rows))
     w, bias, square, bias_square = np.zeros(size), 0.0, np.full(size, 1e-8), 1e-8
     for _ in range(STEPS):
         z = np.bincount(owner, w[at], len(rows)) + bias
@@ -104,7 +106,7 @@ def learn(rows: list[np.ndarray], toxic: np.ndarray, swaps: list[tuple[int, np.n
         bias_square += g.sum() ** 2
         pace = RATE / np.sqrt(square)
         w = w - pace * slope
-        w = np.sign(w) * np.maximum(np.abs(w) - pace * SPARSE, 0)
+        w = np.sign(w) * np.maximum(np.abs(w) - pace * sparse, 0)
         bias -= RATE / np.sqrt(bias_square) * g.sum()
     return Model(w, float(bias))
 
