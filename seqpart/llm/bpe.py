@@ -30,9 +30,9 @@ from .common import slices, workers_ready
 # Texts are worked on in parts of about so many words, which bounds memory for texts of any length.
 WORDS_AT_ONCE = 100_000
 # Words kept with their ids; beyond, the store starts anew.
-STORED_WORDS = 100_000
+STORED_WORDS = 250_000
 # Pairs of tokens whose compatibility is remembered.
-STORED_PAIRS = 50_000
+STORED_PAIRS = 100_000
 
 # Ranges of letters and numbers that Unicode 16.0 added, as the splitter knows them.
 UNICODE_16 = [
@@ -125,6 +125,9 @@ class Encoder:
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
+        whole = self.id_of.get(word)
+        if whole is not None:  # the longest token at the first place, with nothing before it
+            return [whole]
         n = len(word)
         longest, reach = [-1] * n, [0] * n
         for end, (i, size) in self.automaton.iter(word.decode("latin-1")):
