@@ -57,7 +57,7 @@ def run(argv: list[str]) -> int:
     args = _parser().parse_args(argv)
     spark = build_session("seqpart", shuffle_partitions=200)
     if args.command == "cascade":
-        opts = CascadeOptions(order=args.order, remove=args.remove, e=args.E, z=args.Z or 81514348.0)
+        opts = CascadeOptions(order=args.order, remove=args.remove, e=args.E, z=81514348.0 if args.Z is None else args.Z)
         left, status = cascade(_load(spark, args.db_file), _load(spark, args.fixed_file), opts)
         write_fasta(left, args.output, F.col("descr"))
         print(status)
@@ -67,7 +67,7 @@ def run(argv: list[str]) -> int:
         for frame, cap in ((q, args.qblock), (t, args.tblock)):
             if cap is not None:
                 check_capacity(frame, cap)
-        opts = sim.SearchOptions(e=args.E, z=args.Z or args.tblock or 81514348.0, pid_low=args.plow, pid_high=args.phigh, flip=args.flip)
+        opts = sim.SearchOptions(e=args.E, z=next(v for v in (args.Z, args.tblock, 81514348.0) if v is not None), pid_low=args.plow, pid_high=args.phigh, flip=args.flip)
         hits = sim.profile_hits(q, t, opts).select("q_key", "t_key", "d_idx", "pid", "ln_e", "trace_len")
         rows = decisions.expand(hits, q, t, args.no_self) if args.all_hits else decisions.first_hits(hits, q, t, args.no_self)
         decisions.report(args.format, q, rows).write.mode("overwrite").text(args.output)
@@ -83,7 +83,7 @@ def run(argv: list[str]) -> int:
             old = old.unionByName(part.withColumn("idx", F.col("idx") + at * 2**40))
         old = old.withColumn("idx", -1 - F.col("idx"))
         preload, everything = old.select("idx", "split"), db.unionByName(old.drop("split"))
-    hits = sim.profile_hits(everything, everything, sim.SearchOptions(e=args.E, z=args.Z or 81514348.0))
+    hits = sim.profile_hits(everything, everything, sim.SearchOptions(e=args.E, z=81514348.0 if args.Z is None else args.Z))
     # content-level hits are hubs: a record listens to every sequence its own sequence hits and publishes its own
     keyed = everything.select("idx", sim.sequence_key(F.col("seq")).alias("key"))
     listens = keyed.join(hits.select(F.col("q_key").alias("key"), F.col("t_key").alias("hub")).distinct(), "key").select("idx", "hub")

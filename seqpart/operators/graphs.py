@@ -9,7 +9,7 @@ from seqpart.plans.skew import heavy_keys, salted_lookup
 from seqpart.session import cut_lineage
 
 
-def single_linkage(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def single_linkage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, cluster): connected components, the cluster being its smallest id.
 
     Alternating large-star and small-star steps: every node hands its neighbours to the smallest id it knows, which
@@ -28,7 +28,7 @@ def single_linkage(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) ->
         hung = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
         return hung.unionByName(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
-    for _ in range(max_rounds):
+    while True:
         nxt = cut_lineage(star(star(e, True), False))
         same = nxt.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.bit_xor(F.xxhash64("u", "v"))).first()
         was = e.agg(F.count("*"), F.sum(F.hash("u", "v").cast("bigint")), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -46,13 +46,13 @@ def star_edges(members: DataFrame) -> DataFrame:
     return members.join(centre, "hub").filter("id <> b").select(F.col("id").alias("a"), "b").distinct()
 
 
-def clade_sizes(parents: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """(node, size): leaves below each node of a forest (node, parent), by pointer doubling up the tree."""
+def clade_sizes(parents: DataFrame) -> DataFrame:
+    """(node, size): leaves below each node of a forest (node, parent), climbing one level a round until no node is left."""
     leaves = parents.join(parents.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
     inner = parents.select("node", "parent")
     frontier = leaves.select(F.col("node").alias("leaf"), F.col("parent").alias("node"))
     reached = leaves.select(F.col("node").alias("leaf"), "node")
-    for _ in range(max_rounds):
+    while True:
         frontier = cut_lineage(frontier.filter("node is not null"))
         if frontier.isEmpty():
             break
