@@ -63,9 +63,19 @@ def exponential_scale(spark, sf):
     return table(spark, sf, "events").groupBy("event_type").agg(F.round(fits.exponential_scale(C("value"), 0.01), 6).alias("lambda"))
 
 
-@query("g12_gumbel_complete")
+@query("g12_gumbel_complete", """WITH RECURSIVE g AS (SELECT event_type, user_id % 40 AS grp, list(value - lo) AS ys, any_value(lo) AS lo, avg(value - lo) AS mean, stddev_samp(value) AS sd, count(*) AS n
+    FROM (SELECT *, min(value) OVER (PARTITION BY event_type, user_id % 40) AS lo FROM events) GROUP BY ALL),
+  step AS (SELECT event_type, grp, 0 AS i, pi() / (sqrt(6) * sd) AS lam FROM g WHERE sd > 0
+    UNION ALL SELECT event_type, grp, i + 1, CASE WHEN nxt > 0 THEN nxt ELSE lam / 2 END FROM (
+      SELECT event_type, grp, i, lam, lam - (1 / lam - mean + s1 / s0) / ((s1 / s0) * (s1 / s0) - s2 / s0 - 1 / (lam * lam)) AS nxt FROM (
+        SELECT step.*, mean, list_sum(list_transform(ys, lambda y: exp(-lam * y))) AS s0, list_sum(list_transform(ys, lambda y: y * exp(-lam * y))) AS s1,
+          list_sum(list_transform(ys, lambda y: y * y * exp(-lam * y))) AS s2 FROM step JOIN g USING (event_type, grp) WHERE i < 40))),
+  fit AS (SELECT event_type, grp, lam FROM step WHERE i = 40)
+  SELECT event_type, grp, round(lo - ln(list_sum(list_transform(ys, lambda y: exp(-lam * y))) / n) / lam, 5) AS mu, round(lam, 6) AS lambda
+  FROM g LEFT JOIN fit USING (event_type, grp)""")
 def gumbel_complete(spark, sf):
-    return fits.gumbel_fit(table(spark, sf, "events"), ["event_type"], "value")
+    e = table(spark, sf, "events").select("event_type", (C("user_id") % 40).alias("grp"), "value")
+    return fits.gumbel_fit(e, ["event_type", "grp"], "value").select("event_type", "grp", F.round("mu", 5).alias("mu"), F.round("lambda", 6).alias("lambda"))
 
 
 _BG = ", ".join(f"('{a}', {f})" for a, f in alphabet.AMINO_BACKGROUND.items())
@@ -82,15 +92,19 @@ def composition(spark, sf):
     return long.select("residue", F.round(share, 6).alias("share"), F.round(F.log2(share / F.element_at(bg, C("residue"))), 5).alias("log_odds"))
 
 
-# alignments: the first 30 columns of the turns of each conversation, padded on the right ----------------------------
-_MSA = """msa AS (SELECT conv_id AS msa_id, turn AS row_idx, 'r' || turn AS name,
-  rpad(upper(regexp_replace(substr(text, 1, 30), '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '-', 'g')), 30, '-') AS aligned FROM conversations)"""
+# alignments: whole turns of each conversation, padded on the right to the longest one ------------------------------
+_MSA = """bodies AS (SELECT conv_id, turn, upper(regexp_replace(text, '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy]', '-', 'g')) AS body FROM conversations),
+  msa AS (SELECT conv_id AS msa_id, turn AS row_idx, 'r' || turn AS name,
+  rpad(body, CAST(max(length(body)) OVER (PARTITION BY conv_id) AS INTEGER), '-') AS aligned FROM bodies)"""
 
 
 def _msa(spark, sf):
-    body = F.upper(F.regexp_replace(F.substring("text", 1, 30), f"[^{alphabet.BOTH_CASES}]", "-"))
-    return table(spark, sf, "conversations").select(C("conv_id").alias("msa_id"), C("turn").alias("row_idx"),
-                                                    F.concat(F.lit("r"), C("turn").cast("string")).alias("name"), F.rpad(body, 30, "-").alias("aligned"))
+    """The width is one aggregate per conversation, joined back, so a long conversation is never one window."""
+    rows = table(spark, sf, "conversations").select(
+        C("conv_id").alias("msa_id"), C("turn").alias("row_idx"), F.concat(F.lit("r"), C("turn").cast("string")).alias("name"),
+        F.upper(F.regexp_replace("text", f"[^{alphabet.BOTH_CASES}]", "-")).alias("body"))
+    width = rows.groupBy("msa_id").agg(F.max(F.length("body")).alias("width"))
+    return rows.join(width, "msa_id").select("msa_id", "row_idx", "name", F.rpad("body", C("width"), F.lit("-")).alias("aligned"))
 
 
 _CELLS = "cells AS (SELECT msa_id, row_idx, generate_subscripts(string_split(aligned, ''), 1) - 1 AS col, unnest(string_split(aligned, '')) AS sym FROM msa)"
@@ -145,7 +159,7 @@ def position_weights(spark, sf):
     return msa_ops.position_weights(_msa(spark, sf)).select("msa_id", "row_idx", F.round("wgt", 5).alias("wgt"))
 
 
-_LINK = _PAIR + """, nodes AS (SELECT msa_id * 1000 + row_idx AS id, msa_id, row_idx FROM msa), e AS (SELECT msa_id * 1000 + i AS a, msa_id * 1000 + j AS b FROM pid WHERE pid >= 0.2),
+_LINK = _PAIR + """, nodes AS (SELECT msa_id || '.' || row_idx AS id, msa_id, row_idx FROM msa), e AS (SELECT msa_id || '.' || i AS a, msa_id || '.' || j AS b FROM pid WHERE pid >= 0.2),
   und AS (SELECT a, b FROM e UNION SELECT b, a FROM e), walk AS (SELECT id, id AS seen FROM nodes UNION SELECT w.id, und.b FROM walk w JOIN und ON und.a = w.seen),
   lab AS (SELECT id, min(seen) AS cluster FROM walk GROUP BY id)"""
 
@@ -153,8 +167,8 @@ _LINK = _PAIR + """, nodes AS (SELECT msa_id * 1000 + row_idx AS id, msa_id, row
 def _labels(spark, sf):
     m = _msa(spark, sf)
     close = msa_ops.pairs_within(m).filter(msa_ops.identity(C("a"), C("b")) >= 0.2)
-    edges = close.select((C("msa_id") * 1000 + C("i")).alias("a"), (C("msa_id") * 1000 + C("j")).alias("b"))
-    nodes = m.select((C("msa_id") * 1000 + C("row_idx")).alias("id"), "msa_id", "row_idx")
+    edges = close.select(F.concat_ws(".", "msa_id", "i").alias("a"), F.concat_ws(".", "msa_id", "j").alias("b"))
+    nodes = m.select(F.concat_ws(".", "msa_id", "row_idx").alias("id"), "msa_id", "row_idx")
     return nodes.join(graphs.single_linkage(nodes, edges), "id")
 
 
@@ -188,7 +202,7 @@ def redundancy_filter(spark, sf):
 
 @query("x18_fragments", f"""WITH {_MSA}, s AS (SELECT *, length(regexp_replace(regexp_replace(aligned, '^[-]+', ''), '[-]+$', '')) AS span, length(aligned) - length(regexp_replace(aligned, '^[-]+', '')) AS lead,
   length(aligned) - length(regexp_replace(aligned, '[-]+$', '')) AS tail FROM msa)
-  SELECT msa_id, row_idx, span < 0.9 * 30 AS is_fragment, CASE WHEN span < 0.9 * 30 AND span > 0 THEN repeat('~', lead) || substr(aligned, lead + 1, 30 - lead - tail) || repeat('~', tail) ELSE aligned END AS aligned FROM s""")
+  SELECT msa_id, row_idx, span < 0.9 * length(aligned) AS is_fragment, CASE WHEN span < 0.9 * length(aligned) AND span > 0 THEN repeat('~', lead) || substr(aligned, lead + 1, length(aligned) - lead - tail) || repeat('~', tail) ELSE aligned END AS aligned FROM s""")
 def fragments(spark, sf):
     return msa_ops.fragments(_msa(spark, sf), 0.9).select("msa_id", "row_idx", "is_fragment", "aligned")
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from seqpart.operators import decisions, hits as hit_ops, windows as win
 from seqpart.operators.seeds import diagonals, seed_pairs
 
+from seqpart.plans.sizing import with_place
+
 from . import query
 from .projections import SEED_HITS, seed_hits
 from .tables import FIXED, SEQS, fixed, seqs, table
@@ -140,21 +142,24 @@ def duplicate_hits(spark, sf):
     return hit_ops.remove_duplicates(t).select("id", "duplicate")
 
 
-@query("o01_hit_order", """SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderstatus, o_orderkey % 2 DESC, o_orderkey) AS place, o_orderkey AS start FROM orders
-  QUALIFY place <= 500""")
+def _orders_as_hits(spark, sf):
+    return table(spark, sf, "orders").select(F.col("o_totalprice").alias("sortkey"), F.col("o_orderpriority").alias("name"),
+                                             (F.col("o_orderkey") % 2).alias("strand"), F.col("o_orderkey").alias("start"))
+
+
+@query("o01_hit_order", """SELECT row_number() OVER (ORDER BY o_totalprice DESC, o_orderpriority, o_orderkey % 2 DESC, o_orderkey) AS place, o_orderkey AS start FROM orders""")
 def hit_order(spark, sf):
-    h = table(spark, sf, "orders").select(F.col("o_totalprice").alias("sortkey"), F.col("o_orderstatus").alias("name"), (F.col("o_orderkey") % 2).alias("strand"), F.col("o_orderkey").alias("start"))
-    top = hit_ops.rank(h, 500)  # a top-k report: the rank window below sees at most these rows
-    order = Window.orderBy(F.desc("sortkey"), "name", F.desc("strand"), "start")
-    return top.select(F.row_number().over(order).cast("bigint").alias("place"), "start")
+    return with_place(_orders_as_hits(spark, sf), *map(F.expr, ("-sortkey", "name", "-strand", "start"))).select("place", "start")
 
 
-@query("o03_merge_hit_lists", """WITH a AS (SELECT o_orderpriority AS name, o_orderkey AS start, o_totalprice AS sortkey, o_orderkey % 2 AS strand FROM orders)
-  SELECT name, start, sortkey, strand FROM a QUALIFY row_number() OVER (PARTITION BY name ORDER BY sortkey DESC, name, strand DESC, start) <= 20""")
+@query("o03_merge_hit_lists", """WITH a AS (SELECT o_orderpriority AS name, o_orderkey AS start, o_totalprice AS sortkey, o_orderkey % 2 AS strand, o_orderkey % 3 = 0 AS left_list FROM orders)
+  SELECT name, start, sortkey, strand, row_number() OVER (PARTITION BY left_list ORDER BY sortkey DESC, name, strand DESC, start) AS place_in_list,
+  row_number() OVER (ORDER BY sortkey DESC, name, strand DESC, start) AS place FROM a""")
 def merge_hit_lists(spark, sf):
-    h = table(spark, sf, "orders").select(F.col("o_orderpriority").alias("name"), F.col("o_orderkey").alias("start"), F.col("o_totalprice").alias("sortkey"), (F.col("o_orderkey") % 2).alias("strand"))
-    best = lambda part: hit_ops.rank(part, 20, by="name")
-    return best(best(h.filter("start % 3 = 0")).unionByName(best(h.filter("start % 3 <> 0"))))
+    keys = [*map(F.expr, ("-sortkey", "name", "-strand", "start"))]
+    h = _orders_as_hits(spark, sf)
+    lists = [with_place(h.filter(part), *keys).withColumnRenamed("place", "place_in_list") for part in ("start % 3 = 0", "start % 3 <> 0")]
+    return with_place(lists[0].unionByName(lists[1]), *keys).select("name", "start", "sortkey", "strand", "place_in_list", "place")
 
 
 @query("o05_top_k_targets", f"""WITH {SEED_HITS} SELECT query, target, shared FROM hits QUALIFY row_number() OVER (PARTITION BY query ORDER BY shared DESC, t_idx) <= 2""")
@@ -173,9 +178,9 @@ def set_difference(spark, sf):
     return table(spark, sf, "documents").select("doc_id").subtract(table(spark, sf, "labels").select("doc_id"))
 
 
-@query("u05_repeated_names", "SELECT text[1:12] AS name, count(*) AS k FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("u05_repeated_names", "SELECT md5(text) AS name, count(*) AS k FROM documents GROUP BY 1 HAVING count(*) > 1")
 def repeated_names(spark, sf):
-    return table(spark, sf, "documents").groupBy(F.substring("text", 1, 12).alias("name")).agg(F.count("*").alias("k")).filter("k > 1")
+    return table(spark, sf, "documents").groupBy(F.md5("text").alias("name")).agg(F.count("*").alias("k")).filter("k > 1")
 
 
 @query("u07_copies_within_set", f"""WITH {SEQS}, r AS (SELECT idx, name, min(idx) OVER (PARTITION BY seq) AS first FROM seqs) SELECT name, first FROM r WHERE idx <> first""")

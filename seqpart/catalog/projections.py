@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seqpart.functions import alphabet, stats, strings
-from seqpart.operators import decisions
+from seqpart.operators import decisions, windows as win
 from seqpart.operators.seeds import seed_pairs
 
 from . import query
@@ -65,28 +65,38 @@ def validate(spark, sf):
 _DEG = ", ".join(f"('{k}', '{v}')" for k, v in {**alphabet.DNA_DEGENERATE, **{c: c for c in 'ACGT'}}.items())
 
 
-@query("p07_match_probability", f"""WITH d(sym, mem) AS (VALUES {_DEG}), p AS (SELECT doc_id, substr(u, 1, 1) AS x, substr(u, 2, 1) AS y FROM (
-  SELECT doc_id, upper(regexp_replace(text, '[^ACGTRYMKSWHBVDNacgtrymkswhbvdn]', '', 'g')) AS u FROM documents) WHERE length(u) >= 2)
-  SELECT p.doc_id, round(len(list_intersect(string_split(a.mem, ''), string_split(b.mem, ''))) / (length(a.mem) * length(b.mem)), 6) AS prob
-  FROM p JOIN d a ON a.sym = p.x JOIN d b ON b.sym = p.y""")
+@query("p07_match_probability", f"""WITH d(sym, mem) AS (VALUES {_DEG}), u AS (
+  SELECT doc_id, upper(regexp_replace(text, '[^ACGTRYMKSWHBVDNacgtrymkswhbvdn]', '', 'g')) AS u FROM documents),
+  p AS (SELECT doc_id, u, unnest(range(1, length(u))) AS pos FROM u WHERE length(u) >= 2)
+  SELECT p.doc_id, round(avg(len(list_intersect(string_split(a.mem, ''), string_split(b.mem, ''))) / (length(a.mem) * length(b.mem))), 6) AS prob
+  FROM p JOIN d a ON a.sym = substr(u, pos, 1) JOIN d b ON b.sym = substr(u, pos + 1, 1) GROUP BY p.doc_id""")
 def match_probability(spark, sf):
+    """Mean over all neighbours of a text: at most 225 kinds of neighbours are counted, then judged."""
     u = F.upper(F.regexp_replace("text", "[^ACGTRYMKSWHBVDNacgtrymkswhbvdn]", ""))
-    d = table(spark, sf, "documents").select("doc_id", u.alias("u")).filter(F.length("u") >= 2)
-    p = alphabet.match_probability(F.substring("u", 1, 1), F.substring("u", 2, 1))
-    return d.select("doc_id", F.round(p, 6).alias("prob"))
+    two = win.kmers(table(spark, sf, "documents").select("doc_id", u.alias("seq")), 2, "doc_id").groupBy("doc_id", "kmer").agg(F.count("*").alias("k"))
+    p = alphabet.match_probability(F.substring("kmer", 1, 1), F.substring("kmer", 2, 1))
+    return two.groupBy("doc_id").agg(F.round(F.sum(p * F.col("k")) / F.sum("k"), 6).alias("prob"))
 
 
 _BG = ", ".join(f"('{a}', {f})" for a, f in alphabet.AMINO_BACKGROUND.items())
 
 
-@query("p08_average_score", f"""WITH {SEQS}, bg(res, f) AS (VALUES {_BG}), c AS (SELECT name, res, length(seq) - length(replace(seq, res, '')) AS k, f FROM seqs, bg)
-  SELECT name, round(avg(k), 6) AS plain_avg, round(sum(k * f) / sum(f), 6) AS expected FROM c GROUP BY name""")
+_MEMBERS = ", ".join(f"('{k}', '{v}')" for k, v in alphabet.AMINO_DEGENERATE.items())
+
+
+@query("p08_average_score", f"""WITH {SEQS}, bg(res, f) AS (VALUES {_BG}), d(sym, members) AS (VALUES {_MEMBERS}),
+  c AS (SELECT source, res, f, sum(length(seq) - length(replace(seq, res, ''))) AS k FROM seqs, bg GROUP BY ALL),
+  s AS (SELECT source, res, f, log2((k + 1) / (sum(k) OVER (PARTITION BY source) + 20) / f) AS score FROM c)
+  SELECT source, sym, round(avg(score), 6) AS plain_avg, round(sum(score * f) / sum(f), 6) AS expected
+  FROM s JOIN d ON contains(d.members, s.res) GROUP BY source, sym""")
 def average_score(spark, sf):
-    scored = seqs(spark, sf).select("name", *[c.alias(a) for a, c in alphabet.symbol_counts(F.col("seq"), alphabet.AMINO).items()])
-    bg = alphabet.AMINO_BACKGROUND
-    plain = sum((F.col(a) for a in bg), F.lit(0)) / len(bg)
-    weighted = sum((F.col(a) * f for a, f in bg.items()), F.lit(0.0)) / sum(bg.values())
-    return scored.select("name", F.round(plain, 6).alias("plain_avg"), F.round(weighted, 6).alias("expected"))
+    """Scores of degenerate symbols from the log-odds of their members, per source."""
+    counts = seqs(spark, sf).groupBy("source").agg(*[F.sum(c).alias(a) for a, c in alphabet.symbol_counts(F.col("seq"), alphabet.AMINO).items()])
+    total, bg = sum((F.col(a) for a in alphabet.AMINO), F.lit(0)), alphabet.AMINO_BACKGROUND
+    scores = counts.select("source", *[F.log2((F.col(a) + 1) / (total + 20) / bg[a]).alias(a) for a in alphabet.AMINO])
+    means = [F.struct(F.lit(sym).alias("sym"), *[F.round(c, 6).alias(n) for n, c in zip(
+        ("plain_avg", "expected"), alphabet.member_scores(members, bg))]) for sym, members in alphabet.AMINO_DEGENERATE.items()]
+    return scores.select("source", F.inline(F.array(*means)))
 
 
 @query("p09_residue_counts", f"""WITH {SEQS}, c AS (SELECT source, unnest(string_split(seq, '')) AS residue FROM seqs WHERE seq <> '')

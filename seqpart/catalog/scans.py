@@ -25,14 +25,14 @@ def capacity_guard(spark, sf):
         "status", F.when(F.col("records") > 50, "no space").otherwise("ok"))
 
 
-@query("s03_residue_batches", f"""WITH {SEQS}, c AS (SELECT idx, length(seq) AS n,
-  coalesce(sum(length(seq)) OVER (ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS res,
-  row_number() OVER (ORDER BY idx) - 1 AS rec FROM seqs),
-  b AS (SELECT CAST(greatest(floor(res / 50000), floor(rec / 64)) AS BIGINT) AS batch, n FROM c)
-  SELECT batch, count(*) AS records, CAST(sum(n) AS BIGINT) AS total FROM b GROUP BY batch""")
+@query("s03_residue_batches", f"""WITH RECURSIVE {SEQS}, r AS (SELECT idx, idx // 500 AS segment, length(seq) AS n, row_number() OVER (PARTITION BY idx // 500 ORDER BY idx) AS rn FROM seqs),
+  b AS (SELECT segment, rn, n, 0::BIGINT AS batch, n::BIGINT AS res, 1 AS rec FROM r WHERE rn = 1
+    UNION ALL SELECT r.segment, r.rn, r.n, b.batch + (b.res >= 20000 OR b.rec >= 64)::BIGINT, CASE WHEN b.res >= 20000 OR b.rec >= 64 THEN r.n ELSE b.res + r.n END,
+      CASE WHEN b.res >= 20000 OR b.rec >= 64 THEN 1 ELSE b.rec + 1 END FROM b JOIN r ON r.segment = b.segment AND r.rn = b.rn + 1)
+  SELECT segment, batch, count(*) AS records, CAST(sum(n) AS BIGINT) AS total FROM b GROUP BY ALL""")
 def residue_batches(spark, sf):
-    b = win.batches_by_residues(seqs(spark, sf).select("idx", "n"), "idx", "n", 50_000, 64)
-    return b.groupBy("batch").agg(F.count("*").alias("records"), F.sum("n").alias("total"))
+    b = win.batches_by_residues(seqs(spark, sf).select("idx", "n"), "idx", "n", 20_000, 64, segment=500)
+    return b.groupBy("segment", "batch").agg(F.count("*").alias("records"), F.sum("n").alias("total"))
 
 
 @query("s04_window_scan", f"""WITH {SEQS}, w AS (SELECT name, seq, length(seq) AS n,

@@ -34,7 +34,7 @@ def turns(spark: SparkSession, sf: str) -> DataFrame:
     """Conversation turns as records (idx, name, seq, n)."""
     t = table(spark, sf, "conversations")
     return t.select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("idx"),
+        (F.shiftleft(F.col("conv_id").cast("bigint"), 32) + F.col("turn")).alias("idx"),
         F.concat_ws(".", F.concat(F.lit("c"), F.col("conv_id").cast("string")), F.col("turn").cast("string")).alias("name"),
         residues("text").alias("seq"),
     ).withColumn("n", F.length("seq").cast("bigint"))
@@ -44,5 +44,5 @@ SEQS = (f"seqs AS (SELECT doc_id AS idx, 'd' || doc_id AS name, source, lang, "
         f"upper(regexp_replace(text, '{_LETTERS}', '', 'g')) AS seq FROM documents)")
 FIXED = (f"fixed AS (SELECT item_id AS idx, 'b' || item_id AS name, "
          f"upper(regexp_replace(text, '{_LETTERS}', '', 'g')) AS seq FROM benchmark)")
-TURNS = (f"turns AS (SELECT conv_id * 1000 + turn AS idx, 'c' || conv_id || '.' || turn AS name, "
+TURNS = (f"turns AS (SELECT conv_id * 4294967296 + turn AS idx, 'c' || conv_id || '.' || turn AS name, "
          f"upper(regexp_replace(text, '{_LETTERS}', '', 'g')) AS seq FROM conversations)")

@@ -87,6 +87,13 @@ def match_probability(x: Column, y: Column, degenerate: dict[str, str] = DNA_DEG
     return shared / (F.size(keep(xs)) * F.size(keep(ys)))
 
 
+def member_scores(members: str, background: dict[str, float]) -> tuple[Column, Column]:
+    """Plain and background-weighted mean of the score columns named by the members of a degenerate symbol."""
+    plain = sum((F.col(a) for a in members), F.lit(0.0)) / len(members)
+    weighted = sum((F.col(a) * background[a] for a in members), F.lit(0.0)) / sum(background[a] for a in members)
+    return plain, weighted
+
+
 def symbol_counts(seq: Column, symbols: str) -> dict[str, Column]:
     """Occurrences of each letter as separate columns: one byte search per symbol, no explode."""
     return {s: F.length(seq) - F.length(F.replace(seq, F.lit(s), F.lit(""))) for s in symbols}

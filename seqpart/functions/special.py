@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
@@ -24,14 +26,14 @@ def _ln_gamma(x):
     return 0.5 * np.log(2 * np.pi) + (x + 0.5) * np.log(t) - t + np.log(total)
 
 
-def _gamma_p(a, x, rounds: int = 1000):
+def _gamma_p(a, x):
     """Regularised lower incomplete gamma: series below a+1, continued fraction above."""
     a, x = np.asarray(a, float), np.asarray(x, float)
     scale = np.where(x > 0, np.exp(a * np.log(np.where(x > 0, x, 1.0)) - x - _ln_gamma(a)), 0.0)
     term = 1.0 / a
     total = term.copy()
     with np.errstate(over="ignore", invalid="ignore"):
-        for k in range(1, rounds):
+        for k in count(1):
             term = np.where(x < a + 1, term * x / (a + k), 0.0)
             total = total + term
             if not (np.abs(term) > 1e-15 * np.abs(total)).any():
@@ -39,7 +41,7 @@ def _gamma_p(a, x, rounds: int = 1000):
         b = x + 1.0 - a
         c, d = np.full(x.shape, 1e300), 1.0 / np.where(b == 0, 1e-300, b)
         h = d
-        for k in range(1, rounds):
+        for k in count(1):
             an = -k * (k - a)
             b = b + 2.0
             d = 1.0 / np.where(np.abs(an * d + b) < 1e-300, 1e-300, an * d + b)

@@ -19,7 +19,6 @@ class CascadeOptions:
     e: float = 0.01
     z: float = 81514348.0
     db_residues: float = 32596740121.0
-    max_rounds: int = 100
     search: SearchOptions | None = None
     engine: engines.EngineOptions = field(default_factory=engines.EngineOptions)
 
@@ -58,7 +57,7 @@ def _seeded_fixpoint(db: DataFrame, fixed: DataFrame, opts: CascadeOptions) -> D
     pairs are scored once and each round is a filter, an aggregate and an anti-join."""
     pairs = cut_lineage(engines.local_pairs(fixed, db, "m", opts.engine))
     left = db if opts.remove == "db" else fixed
-    for _ in range(opts.max_rounds):
+    while True:  # every round removes records or ends
         db_now, fixed_now = (left, fixed) if opts.remove == "db" else (db, left)
         n_db, r_db = db_now.agg(F.count("*"), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
         n_fx, r_fx = fixed_now.agg(F.count("*"), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
@@ -74,7 +73,6 @@ def _seeded_fixpoint(db: DataFrame, fixed: DataFrame, opts: CascadeOptions) -> D
         left = cut_lineage(left.join(hits, "_key", "left_anti"))
         if left.isEmpty():
             return left
-    raise RuntimeError("the seeded step did not come to rest")
 
 
 def cascade(db: DataFrame, fixed: DataFrame, opts: CascadeOptions = CascadeOptions()) -> tuple[DataFrame, str]:

@@ -17,40 +17,42 @@ def gumbel_location_censored(x: Column, lam: float, phi: float, censored: Column
     return -F.log((F.sum(F.exp(-x * lam)) + F.max(censored) * F.exp(F.lit(-phi * lam))) / seen) / lam
 
 
-def gumbel_fit(df: DataFrame, key: list[str], value: str, rounds: int = 60, tol: float = 1e-10) -> DataFrame:
-    """Location and slope per key by Newton steps on sums; each round is one aggregate over the data, joined to
-    one small row per key, and all keys advance together. Values are shifted by the key's minimum."""
-    base = df.groupBy(*key).agg(F.min(value).alias("_lo"), F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"), F.count("*").alias("n"))
-    params = [r.asDict() for r in base.limit(10_001).collect()]
-    if len(params) > 10_000:
-        raise ValueError("fit at most 10,000 groups per call")  # guards the per-round table of parameters
-    spark = df.sparkSession
-    lam = {tuple(p[k] for k in key): 3.141592653589793 / (6**0.5 * p["_sd"]) for p in params if p["_sd"]}
-    info = {tuple(p[k] for k in key): p for p in params}
-    key_type = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*key).schema.fields)
-    live = set(lam)
-    out: dict = {}
+def gumbel_fit(df: DataFrame, key: list[str], value: str, rounds: int = 100, tol: float = 1e-10) -> DataFrame:
+    """(key.., mu, lambda) per key by Newton steps on sums, all keys at once; parameters stay in a table.
+
+    Equal values of a key are counted first, so each round is one aggregate over distinct values. Values are shifted by
+    the key's minimum. Keys with one value or only equal values have no fit and get NULL, also those without any value.
+    Raises when a key has not converged after ``rounds`` steps.
+    """
+    from seqpart.session import cut_lineage
+
+    k = F.struct(*key).alias("_k")
+    counted = cut_lineage(df.filter(F.col(value).isNotNull()).groupBy(k, F.col(value).cast("double").alias("_x")).agg(F.count("*").alias("_c")))
+    moments = counted.groupBy("_k").agg(
+        F.min("_x").alias("_lo"), F.sum("_c").alias("_n"), (F.sum(F.col("_x") * F.col("_c")) / F.sum("_c")).alias("_mean"))
+    spread = counted.join(moments, "_k").groupBy("_k", "_lo", "_n", "_mean").agg(
+        F.sum(F.col("_c") * (F.col("_x") - F.col("_mean")) ** 2).alias("_ss"))
+    start = F.lit(3.141592653589793) / F.sqrt(6 * F.col("_ss") / (F.col("_n") - 1))
+    live = cut_lineage(spread.filter((F.col("_n") > 1) & (F.col("_ss") > 0)).select(
+        "_k", "_lo", "_n", (F.col("_mean") - F.col("_lo")).alias("_mean"), start.alias("_lam")))
+    done = None
     for _ in range(rounds):
-        rows = [(*k, lam[k], info[k]["_lo"]) for k in live]
-        table = F.broadcast(spark.createDataFrame(rows, f"{key_type}, _lam double, _lo double"))
-        y = F.col(value) - F.col("_lo")
-        w = F.exp(-F.col("_lam") * y)
-        sums = df.join(table, key).groupBy(*key).agg(F.sum(w).alias("s0"), F.sum(w * y).alias("s1"), F.sum(w * y * y).alias("s2"))
-        for r in sums.collect():
-            k = tuple(r[c] for c in key)
-            p, a = info[k], lam[k]
-            f = 1 / a - (p["_mean"] - p["_lo"]) + r.s1 / r.s0
-            df_ = (r.s1 / r.s0) ** 2 - r.s2 / r.s0 - 1 / (a * a)
-            nxt = a - f / df_
-            from math import log
-
-            out[k] = (p["_lo"] - log(r.s0 / p["n"]) / a, a)
-            lam[k] = nxt if nxt > 0 else a / 2
-            if abs(f) < tol:
-                live.discard(k)
-        if not live:
-            break
-    return spark.createDataFrame([(*k, *v) for k, v in out.items()], f"{key_type}, mu double, lambda double")
+        y = F.col("_x") - F.col("_lo")
+        w = F.col("_c") * F.exp(-F.col("_lam") * y)
+        sums = counted.join(live, "_k").groupBy("_k", "_lo", "_n", "_mean", "_lam").agg(
+            F.sum(w).alias("_s0"), F.sum(w * y).alias("_s1"), F.sum(w * y * y).alias("_s2"))
+        ratio, lam = F.col("_s1") / F.col("_s0"), F.col("_lam")
+        gap = 1 / lam - F.col("_mean") + ratio
+        step = lam - gap / (ratio * ratio - F.col("_s2") / F.col("_s0") - 1 / (lam * lam))
+        state = cut_lineage(sums.select(
+            "_k", "_lo", "_n", "_mean", F.when(step > 0, step).otherwise(lam / 2).alias("_lam"),
+            (F.col("_lo") - F.log(F.col("_s0") / F.col("_n")) / lam).alias("mu"), lam.alias("lambda"), (F.abs(gap) * lam < tol).alias("_ok")))
+        fitted = state.filter("_ok").select("_k", "mu", "lambda")
+        done = fitted if done is None else done.unionByName(fitted)
+        live = state.filter("not _ok").select("_k", "_lo", "_n", "_mean", "_lam")
+        if live.isEmpty():
+            return df.select(k).distinct().join(done, "_k", "left").select("_k.*", "mu", "lambda")
+    raise RuntimeError(f"the fit did not converge in {rounds} steps")
 
 
 def exponential_scale(x: Column, mu: float) -> Column:

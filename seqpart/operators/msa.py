@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GAPS = "-._~"
+# parts of one alignment in the pair join; each holds all later rows but only a share of the earlier ones
+PAIR_SALTS = 16
 
 
 def cells(msa: DataFrame, *keep: str) -> DataFrame:
@@ -51,10 +53,14 @@ def jukes_cantor(a: Column, b: Column, k: int = 20, alphabet: str = "ACDEFGHIKLM
 
 
 def pairs_within(msa: DataFrame) -> DataFrame:
-    """Row pairs i < j of each alignment; the pair table is the operator's result, so both sides are salted by row."""
-    l = msa.select("msa_id", F.col("row_idx").alias("i"), F.col("aligned").alias("a"))
-    r = msa.select("msa_id", F.col("row_idx").alias("j"), F.col("aligned").alias("b"))
-    return l.join(r, "msa_id").filter("i < j")
+    """Row pairs i < j of each alignment; the pair table is the operator's result.
+
+    The earlier rows are dealt over salts and the later ones copied to each, so that no alignment is one task.
+    """
+    salts = F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))).alias("_salt")
+    l = msa.select("msa_id", F.pmod(F.xxhash64("row_idx"), F.lit(PAIR_SALTS)).cast("int").alias("_salt"), F.col("row_idx").alias("i"), F.col("aligned").alias("a"))
+    r = msa.select("msa_id", salts, F.col("row_idx").alias("j"), F.col("aligned").alias("b"))
+    return l.join(r, ["msa_id", "_salt"]).filter("i < j").drop("_salt")
 
 
 def position_weights(msa: DataFrame) -> DataFrame:
@@ -120,7 +126,7 @@ def connectivity(msa: DataFrame, at_least: float) -> DataFrame:
     return pairs_within(msa).groupBy("msa_id").agg(F.avg(hit).alias("connectivity"))
 
 
-def redundancy_filter(msa: DataFrame, max_id: float, rounds: int = 10_000) -> DataFrame:
+def redundancy_filter(msa: DataFrame, max_id: float) -> DataFrame:
     """Keep rows in order unless they reach ``max_id`` identity with an earlier kept row.
 
     The greedy pass is a fixed point: all rows are judged at once against the rows currently kept, until stable.
@@ -130,7 +136,7 @@ def redundancy_filter(msa: DataFrame, max_id: float, rounds: int = 10_000) -> Da
     close = pairs_within(msa).filter(identity(F.col("a"), F.col("b")) >= max_id).select("msa_id", "i", "j")
     close = cut_lineage(close)
     state = cut_lineage(msa.select("msa_id", "row_idx", F.lit(True).alias("kept")))
-    for _ in range(rounds):
+    while True:  # the first k rows are final after k rounds
         alive = state.filter("kept").select("msa_id", F.col("row_idx").alias("i"))
         blocked = close.join(alive, ["msa_id", "i"]).select("msa_id", F.col("j").alias("row_idx")).distinct().withColumn("_b", F.lit(True))
         nxt = state.join(blocked, ["msa_id", "row_idx"], "left").select(
@@ -139,7 +145,6 @@ def redundancy_filter(msa: DataFrame, max_id: float, rounds: int = 10_000) -> Da
         if nxt.filter("kept <> _was").isEmpty():
             return msa.join(nxt.filter("kept").select("msa_id", "row_idx"), ["msa_id", "row_idx"])
         state = nxt.drop("_was")
-    raise RuntimeError("the filter did not settle")
 
 
 def trace_identity(query: Column, target: Column, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> tuple[Column, Column]:

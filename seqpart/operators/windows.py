@@ -57,10 +57,34 @@ def extend(df: DataFrame, start: str, end: str, before: Column, after: Column, l
         end, F.least(length, F.col(end) + after))
 
 
-def batches_by_residues(df: DataFrame, order: str, length: str, max_residues: int, max_records: int) -> DataFrame:
-    """Batch number of each record along ``order``: a batch spans at most this many residues and records."""
-    from seqpart.plans.sizing import prefix_sum
+def batches_by_residues(df: DataFrame, order: str, length: str, max_residues: int, max_records: int, segment: int = 100_000) -> DataFrame:
+    """Add ``segment`` and ``batch`` of each record along the dense integer column ``order``.
 
-    with_sums = prefix_sum(prefix_sum(df, order, F.col(length), "_res"), order, F.lit(1), "_rec")
-    return with_sums.withColumn(
-        "batch", F.greatest(F.floor(F.col("_res") / max_residues), F.floor(F.col("_rec") / max_records)).cast("bigint"))
+    A batch takes records until it holds ``max_residues`` residues or ``max_records`` records, then the count starts
+    anew; only its last record may carry it over the residues. Every ``segment`` orders a batch ends too, so segments
+    are cut in parallel and no task sees more than one. Records without a length count as empty.
+    """
+    import pandas as pd
+
+    from seqpart.session import ship_package
+
+    if max_residues < 1 or max_records < 1 or segment < 1:
+        raise ValueError("batch and segment sizes must be positive")
+    ship_package(df.sparkSession)
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        numbers, batch, residues, records = [], 0, 0, 0
+        for n in pdf[length].fillna(0):
+            if residues >= max_residues or records >= max_records:
+                batch, residues, records = batch + 1, 0, 0
+            numbers.append(batch)
+            residues, records = residues + n, records + 1
+        return pdf.assign(batch=numbers)
+
+    parts = df.withColumn("segment", F.floor(F.col(order) / segment).cast("bigint"))
+    return parts.groupBy("segment").applyInPandas(cut, f"{_fields(parts)}, batch bigint")
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)

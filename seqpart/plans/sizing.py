@@ -58,6 +58,24 @@ def prefix_sum(df: DataFrame, order: str, value: Column, out: str) -> DataFrame:
     )
 
 
+def with_place(df: DataFrame, *order: Column) -> DataFrame:
+    """Add ``place``: the 1-based rank along ``order`` (ascending, unique) over all rows.
+
+    The range-partitioned sort is written once; ranks are the position in a part plus the sizes of the parts before
+    it, so no task holds more than a part. The window has one row per part.
+    """
+    from seqpart.session import cut_lineage
+
+    placed = cut_lineage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33).alias("_part")
+    ahead = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy(part).agg(F.count("*").alias("_k"))
+    before = sizes.select("_part", F.coalesce(F.sum("_k").over(ahead), F.lit(0)).alias("_before"))
+    inside = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("_part", part).join(before, "_part").withColumn(
+        "place", F.col("_before") + inside + 1).drop("_at", "_part", "_before")
+
+
 def nth_position(df: DataFrame, order: str, n: int) -> int | None:
     """Value of the integer column ``order`` at rank ``n`` (1-based, ties counted), or None if fewer rows.
 

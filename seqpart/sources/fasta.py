@@ -24,9 +24,11 @@ def parse_records(df: DataFrame, column: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """Records of FASTA files. Splitting on newline + ``>`` lets Spark cut large files into many tasks.
 
-    ``idx`` follows file order (file name, then position); it comes from a sort key, not from task numbering.
+    ``_file``, ``_block`` (where the task's part of the file begins) and ``_at`` (rising inside a block) give the file
+    order to ``with_record_index``.
     """
-    raw = spark.read.option("lineSep", "\n>").text(path).withColumn("_file", F.input_file_name())
+    raw = spark.read.option("lineSep", "\n>").text(path).select(
+        "value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"))
     raw = raw.filter(F.trim("value") != "").withColumn("_at", F.monotonically_increasing_id())
     parsed = parse_records(raw, "value")
     illegal = F.regexp_extract(F.col("seq"), "([^A-Z*])", 1)
@@ -34,18 +36,20 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return parsed.withColumn("seq", checked)
 
 
-def with_record_index(df: DataFrame, at: str = "_at") -> DataFrame:
-    """Dense 0-based record numbers from the scan position, by per-task totals instead of a global window."""
+def with_record_index(df: DataFrame) -> DataFrame:
+    """Dense 0-based record numbers by file name, then position in the file, whatever order the blocks were read in.
+
+    Totals per file block instead of a global window: the window below has one small row per block.
+    """
     from pyspark.sql import Window
 
-    part = F.shiftright(F.col(at), 33)
-    totals = df.groupBy(part.alias("_p")).count()
-    ahead = F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = totals.select("_p", ahead.alias("_before"))
+    blocks = df.groupBy("_file", "_block").agg(F.count("*").alias("_k"), F.min("_at").alias("_first"))
+    earlier = Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = blocks.select("_file", "_block", "_first", F.coalesce(F.sum("_k").over(earlier), F.lit(0)).alias("_before"))
     return (
-        df.withColumn("_p", part).join(offsets, "_p")
-        .withColumn("idx", F.col("_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)))
-        .drop("_p", "_before", at)
+        df.join(offsets, ["_file", "_block"])
+        .withColumn("idx", F.col("_before") + F.col("_at") - F.col("_first"))
+        .drop("_file", "_block", "_first", "_before", "_at")
     )
 
 

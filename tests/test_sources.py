@@ -110,3 +110,43 @@ def test_streamed_split_equals_batch_split(spark, tmp_path):
     records = spark.createDataFrame(rows, schema)
     want = {r.idx: r.split for r in sp.split(records, seed_incidence(records, 6), opts=opts).collect()}
     assert {r.idx: r.split for r in job.result().collect()} == want
+
+
+def test_records_follow_file_names_not_sizes(spark, tmp_path):
+    (tmp_path / "many").mkdir()
+    _write(tmp_path / "many" / "a.fa", ">a1\nACD\n>a2\nACD\n")
+    _write(tmp_path / "many" / "b.fa", "".join(f">b{i}\n{'ACDEFGHIK' * 40}\n" for i in range(3000)))
+    got = fasta.with_record_index(fasta.read_fasta(spark, str(tmp_path / "many"))).orderBy("idx").select("idx", "name").collect()
+    assert [r.name for r in got] == ["a1", "a2"] + [f"b{i}" for i in range(3000)]
+    assert [r.idx for r in got] == list(range(3002))
+
+
+def test_batches_restart_at_each_limit(spark):
+    from seqpart.operators.windows import batches_by_residues
+
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([30, 30, 90, 5, 5, 5, 5, 200, None, 10])], "idx bigint, n bigint")
+    got = batches_by_residues(df, "idx", "n", 60, 3).orderBy("idx").collect()
+    assert [r.batch for r in got] == [0, 0, 1, 2, 2, 2, 3, 3, 4, 4]
+    assert batches_by_residues(df.limit(0), "idx", "n", 60, 3).collect() == []
+
+
+def test_groups_without_a_fit_stay_with_null(spark):
+    from seqpart.operators.fits import gumbel_fit
+
+    df = spark.createDataFrame([("one", 3.0), ("same", 2.0), ("same", 2.0), ("none", None)] + [("ok", float(i * i % 17)) for i in range(50)], "k string, x double")
+    got = {r.k: r.mu for r in gumbel_fit(df, ["k"], "x").collect()}
+    assert set(got) == {"one", "same", "none", "ok"}
+    assert got["ok"] is not None and got["one"] is got["same"] is got["none"] is None
+
+
+def test_places_over_several_parts(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from seqpart.plans.sizing import with_place
+
+    values = list(range(5000))
+    random.Random(3).shuffle(values)
+    df = spark.createDataFrame([(v,) for v in values], "v bigint").repartition(7)
+    assert all(r.place == 5000 - r.v for r in with_place(df, -F.col("v")).collect())
