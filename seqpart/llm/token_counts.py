@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from seqpart.session import cut_lineage
+
 from .bpe import counted
 
 # Lengths are summed in buckets of this many neighbours, then the totals of buckets.
@@ -25,9 +27,10 @@ def suffix_sums(lengths: DataFrame) -> DataFrame:
 
     ``docs_over``/``tokens_over`` count documents longer than the limit, ``truncated_total`` is the sum of min(length, limit),
     ``quantile`` the share of documents that fit. Between two lengths of the table the sums of the smaller one hold, with the
-    limit itself in ``truncated_total``. Sums run inside buckets of lengths first, then over bucket totals.
+    limit itself in ``truncated_total``. Sums run inside buckets of lengths first, then over bucket totals. Both read one
+    written copy of the histogram, so texts are encoded once.
     """
-    b = lengths.select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"),
+    b = cut_lineage(lengths).select("n_tokens", "docs", (F.col("n_tokens") * F.col("docs")).alias("tokens"),
                        F.floor(F.col("n_tokens") / BUCKET).cast("long").alias("bucket"))
     totals = b.groupBy("bucket").agg(F.sum("docs").alias("d"), F.sum("tokens").alias("t"))
     # One row per 1024 lengths: a text of a billion tokens makes a million rows at most.
