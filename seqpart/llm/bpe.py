@@ -15,6 +15,7 @@ import itertools
 import json
 import sys
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -153,20 +154,26 @@ class Encoder:
     # --- many words -----------------------------------------------------------------------------------------------
 
     def clear(self) -> None:
-        """Forget stored words. Entry i of ``starts`` and ``said`` is stored word i, its ids lie in ``flat``."""
+        """Forget stored words. Entry i of ``starts`` is stored word i, its ids lie in ``flat``."""
         self.store: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.starts: list[int] = [0]
-        self.said: list[str] = []
+        self.flat = array("i")
+        self.starts = array("i", [0])
+        self.said: list[str] = []  # decimal ids of the stored words, made when they are first asked for
 
     def _add(self, word: str) -> int:
         ids = [self.special[word]] if word in self.special else self.encode_word(word.encode())
-        at = self.store[word] = len(self.said)
+        at = self.store[word] = len(self.starts) - 1
         self.flat.extend(ids)
         self.starts.append(len(self.flat))
-        self.said.append(",".join(map(str, ids)))
         return at
 
+    def decimal(self, numbers: np.ndarray) -> list[str]:
+        """Decimal ids, joined by commas, of stored words."""
+        for i in range(len(self.said), len(self.starts) - 1):
+            self.said.append(",".join(map(str, self.flat[self.starts[i]:self.starts[i + 1]])))
+        said = self.said
+        return [said[i] for i in numbers.tolist()]
+
     def words(self, text: str) -> Iterator[str]:
         """The text's words in order; strings of special tokens stand by themselves."""
         split = self.splitter(text)
@@ -219,17 +226,16 @@ class Encoder:
         if words:
             yield words, np.concatenate(owners)
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, list[str]]]:
-        """(ids, text number of each id, decimal ids of each word's text as (said)) in parts, in order."""
+    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(ids, text number of each id, stored number of each word, text number of each word) in parts, in order."""
         for words, owner in self.parts(texts):
             if len(self.store) > STORED_WORDS:
                 self.clear()
             at = self.numbered(words)
             starts = np.array(self.starts)
             sizes = starts[at + 1] - starts[at]
-            ids = np.array(self.flat, np.int64)[ranges(starts[at], sizes)]
-            said = self.said
-            yield ids, np.repeat(owner, sizes), [said[i] for i in at.tolist()], owner
+            ids = np.array(self.flat)[ranges(starts[at].astype(np.int64), sizes)]
+            yield ids, np.repeat(owner, sizes), at, owner
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of the tokens one after the other, end of each token)."""
@@ -278,7 +284,8 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n = len(texts)
             count = np.zeros(n, np.int64)
             ids_sha, text_sha = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
-            for ids, owner, said, word_owner in own.encoded(texts):
+            for ids, owner, numbers, word_owner in own.encoded(texts):
+                said = own.decimal(numbers)
                 raw, ends = own.decode(ids)
                 first, last = int(word_owner[0]), int(word_owner[-1])
                 word_cut = np.searchsorted(word_owner, np.arange(first, last + 2)).tolist()
@@ -308,7 +315,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
             texts = batch.column(1).fill_null("").to_pylist()
             found, count = [], np.zeros(len(texts), np.int64)
             for ids, owner, _, _ in own.encoded(texts):
-                found.append(ids.astype(np.int32))
+                found.append(ids)
                 count += np.bincount(owner, minlength=len(texts))
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
@@ -22,11 +23,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
     """Record batches of at most so many rows: what a task makes of a batch stays small."""
+    give_back_memory()
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
 
 
+def give_back_memory() -> None:
+    """Python workers serve one task after the other: what an earlier one freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library has it
+    if trim is not None:
+        trim(0)
+
+
 def workers_ready(spark: SparkSession) -> None:
     """Python workers can import this package."""
     ship_package(spark)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ranges
-from .common import partitions, shared_folder, slices, workers_ready
+from .common import give_back_memory, partitions, shared_folder, slices, workers_ready
 
 LENGTH, K = 100, 32
 # Window starts worked on at once, which bounds memory for texts of any length.
@@ -264,6 +264,7 @@ def merged(levels: DataFrame) -> DataFrame:
 def by_bucket(entries: DataFrame, work: Callable[[int, list[tuple[bool, bytes]]], pa.RecordBatch]) -> DataFrame:
     """Deal entries by bucket and work on one bucket at a time; other rows pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         bucket, blobs = None, []
         for batch in batches:
             kinds = batch.column(0).to_numpy()
@@ -377,6 +378,7 @@ def windows_of(open_rows: DataFrame, texts: DataFrame, length: int) -> DataFrame
 def settled(windows: DataFrame, length: int, spread: int) -> DataFrame:
     """(doc, tie, start, stop) of windows that stand earlier: equal windows of one key, the first excepted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         def block(key: np.ndarray, doc: np.ndarray, spot: np.ndarray, blobs: list[bytes | None]) -> pa.RecordBatch:
             own = np.array([b is not None for b in blobs], bool)
             tie, place, first, back = unpacked(spot)
