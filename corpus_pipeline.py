@@ -16,8 +16,8 @@ def quality_rules(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
 
 
 def near_dedup(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    """One document of each group of near copies: five-word shingles, fingerprints at most four bits apart."""
-    return simhash.first_of_each(docs, shingle=5)
+    """One document of each group of near copies: sets of five-word shingles that are at least 0.8 alike."""
+    return simhash.first_of_each(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:

@@ -106,8 +106,40 @@ def test_simhash(spark, docs):
     got = sorted(((r.doc_id, r.fp % 2**64, r.component_id) for r in simhash.grouped(docs).collect()), key=repr)
     assert got == sorted(((i, fp, least[fp]) for i, fp in rows), key=repr)
     assert simhash.grouped(docs.limit(0)).count() == 0
-    kept = simhash.first_of_each(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.filter("doc_id is not null").collect()) == sorted(set(least.values()) - {None})
+
+
+def brute_first(rows, shingle):
+    """Smallest ids of groups of texts whose shingle sets are at least 0.8 alike."""
+    sets, group = {}, {}
+    for i, text in rows:
+        w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        sets.setdefault(i, []).append({" ".join(w[j:j + shingle]) for j in range(max(1, len(w) - shingle + 1))} if w else set())
+    flat = [(i, s) for i, own in sets.items() for s in own]
+    group = list(range(len(flat)))
+    for a, b in itertools.combinations(range(len(flat)), 2):
+        x, y = flat[a][1], flat[b][1]
+        if x == y or (x | y and 5 * len(x & y) >= 4 * len(x | y)):
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    return sorted({min(flat[k][0] for k in range(len(flat)) if group[k] == g) for g in group})
+
+
+@pytest.mark.parametrize("size", [3, 512])
+def test_near_copies(spark, docs, size):
+    def changed(seed, n, at):
+        w = prose(seed, n).split()
+        for k in at:
+            w[k] = f"changed{seed}x{k}"
+        return " ".join(w)
+
+    more = [(100 + k, changed(40, 200, range(0, 20 * (k % 4), 50 - k))) for k in range(12)] + [(200 + k, changed(41 + k, 60, [])) for k in range(8)]
+    more += [(300 + k, changed(60, 150, [10 * k])) for k in range(10)] + [(400, changed(70, 100, [])), (401, changed(70, 100, range(3, 60, 6)))]
+    df = docs.unionByName(spark.createDataFrame([(i, t, "en", "s", 1, 1, 2, "k") for i, t in more], docs.schema))
+    kept = simhash.first_of_each(df, slice_size=size)
+    got = [r.doc_id for r in kept.collect()]
+    assert kept.columns == docs.columns and got.count(None) == 1
+    assert sorted(i for i in got if i is not None) == brute_first([(i, t) for i, t in texts(df) if i is not None], 5)
+    assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("size", [5, 4096])
