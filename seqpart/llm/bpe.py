@@ -26,7 +26,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, workers_ready
+from .common import give_back_memory, slices, workers_ready
 
 # Texts are worked on in parts of about so many words, which bounds memory for texts of any length.
 WORDS_AT_ONCE = 100_000
@@ -320,6 +320,9 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), lists], names=["doc_id", "n_tokens", "ids"])
+        # Workers stay for stages that need their memory otherwise.
+        own.clear()
+        give_back_memory()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
