@@ -27,13 +27,17 @@ def anti_join(spark, sf):
     return decisions.accepted(seqs(spark, sf), drop).select("name", "n")
 
 
-@query("j04_bidirectional_ids", f"""WITH {SEED_HITS}, fwd AS (SELECT query AS name FROM hits WHERE shared >= 3), bwd AS (SELECT query AS name FROM hits WHERE shared * 2 >= (SELECT avg(shared) FROM hits))
+@query("j04_bidirectional_ids", f"""WITH {SEED_HITS}, fwd AS (SELECT h.query AS name FROM hits h JOIN seqs s ON s.idx = h.q_idx WHERE h.shared * 20 >= length(s.seq)),
+  bwd AS (SELECT h.query AS name FROM hits h JOIN fixed f ON f.idx = h.t_idx WHERE h.shared * 20 >= length(f.seq))
   SELECT name FROM fwd UNION SELECT name FROM bwd""")
 def bidirectional_ids(spark, sf):
-    h = seed_hits(spark, sf)
-    mean = h.agg(F.avg("shared").alias("mean"))
-    back = h.join(F.broadcast(mean), F.col("shared") * 2 >= F.col("mean")).select(F.col("query").alias("name"))
-    return h.filter("shared >= 3").select(F.col("query").alias("name")).union(back).distinct()
+    """Documents that hit an item, and documents that an item hits: a query must find a twentieth of its own length."""
+    def direction(queries, targets):
+        h = seed_pairs(queries, targets, 12)
+        return h.join(queries.select(F.col("idx").alias("q_idx"), "n"), "q_idx").filter(F.col("shared") * 20 >= F.col("n"))
+
+    d, b = seqs(spark, sf), fixed(spark, sf)
+    return direction(d, b).select(F.col("query").alias("name")).union(direction(b, d).select(F.col("target").alias("name"))).distinct()
 
 
 @query("j05_remove_by_ids", f"""WITH {SEQS} SELECT name, n FROM (SELECT name, source, length(seq) AS n FROM seqs)

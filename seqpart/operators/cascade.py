@@ -45,7 +45,7 @@ def _hit_keys(step: str, db: DataFrame, fixed: DataFrame, opts: CascadeOptions)
         back = profile_hits(fixed, db, search).select(F.col(other).alias("_key"))
         return there.unionByName(back).distinct()
     # the score is symmetric, so one pass serves both directions; E-values differ by query length
-    pairs = engines.local_pairs(fixed, db, step, opts.engine)
+    pairs = engines.local_pairs(fixed, db, step, opts.engine, engines.score_floor(opts.e, opts.db_residues))
     d = engines.expected_hits(pairs, "n", opts.db_residues).filter(F.col("evalue") < opts.e)
     f = engines.expected_hits(pairs, "m", opts.db_residues).filter(F.col("evalue") < opts.e)
     key = F.col("t_key" if opts.remove == "db" else "q_key").alias("_key")
@@ -55,7 +55,10 @@ def _hit_keys(step: str, db: DataFrame, fixed: DataFrame, opts: CascadeOptions)
 def _seeded_fixpoint(db: DataFrame, fixed: DataFrame, opts: CascadeOptions) -> DataFrame:
     """Repeat the seeded step until it finds nothing. Pair scores do not change, only counts and thresholds do, so
     pairs are scored once and each round is a filter, an aggregate and an anti-join."""
-    pairs = cut_lineage(engines.local_pairs(fixed, db, "m", opts.engine))
+    # Records only get fewer, so no round allows a larger E-value than the first; a side may come down to one residue.
+    most = max(db.count(), fixed.count())
+    floor = engines.score_floor(opts.e * most / opts.z + 1e-10)
+    pairs = cut_lineage(engines.local_pairs(fixed, db, "m", opts.engine, floor))
     left = db if opts.remove == "db" else fixed
     while True:  # every round removes records or ends
         db_now, fixed_now = (left, fixed) if opts.remove == "db" else (db, left)
