@@ -3,6 +3,8 @@
 Lines are normalised (lower case, blanks collapsed) and hashed; each host counts in how many distinct texts a line stands.
 Lines above the host's limit are removed; a document that keeps too little is rejected. Column expressions throughout.
 
+The pipeline's law is one count of texts for hosts of every size. ``op6_line_rules`` keeps the two limits of its SQL.
+
 Defined results: a null text has no words and fails the base rule; texts that are equal count once per line, so copies and
 repeated rows don't make a line frequent; a null host is a host of its own; an empty table gives no rows.
 """
@@ -17,7 +19,9 @@ from seqpart.session import cut_lineage
 
 from .common import BLANKS, BLANK_RUN, bind, words
 
-# A line is frequent on a host when it stands in more distinct texts than this ...
+# The pipeline takes a line as frequent when it stands in more distinct texts of a host than this, however many the host has.
+COMMON_TEXTS = 10
+# op6's SQL: a line is frequent on a host when it stands in more distinct texts than this ...
 LEAST_TEXTS = 200
 # ... and in more than this share of the host's distinct texts.
 LEAST_SHARE = 0.10
@@ -74,34 +78,43 @@ def base_counts(text: Column, found: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, frequent): the hashes of each host's frequent lines.
+def frequent_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
+    """(host, copy, line) of the distinct texts' lines, and (_host, _line) of the frequent ones.
 
-    A host has at most (lines per text) / ``least_share`` of them. Distinct (host, line, text) are found by an aggregate
-    that combines before the shuffle, so a line or a text that fills the table moves once per task.
+    Distinct (host, line, text) are found by an aggregate that combines before the shuffle, so a line or a text that fills the
+    table moves once per task.
     """
     seen = docs.select(F.col("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text")
-    per_line = (
-        seen.select("host", "copy", F.explode(F.array_distinct(F.transform(lines(F.col("text")), line_hash))).alias("line"))
-        .distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > least_texts)
-    )
-    hosts = seen.select("host", "copy").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("all_texts"))
-    over = per_line.join(hosts, per_line.host.eqNullSafe(hosts.h)).filter(F.col("texts") > F.col("all_texts") * least_share)
-    return over.groupBy("host").agg(F.collect_list("line").alias("frequent"))
+    lined = seen.select("host", "copy", F.explode(F.array_distinct(F.transform(lines(F.col("text")), line_hash))).alias("line"))
+    per_line = lined.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > least_texts)
+    if least_share > 0:
+        hosts = seen.select("host", "copy").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("all_texts"))
+        per_line = per_line.join(hosts, per_line.host.eqNullSafe(hosts.h)).filter(F.col("texts") > F.col("all_texts") * least_share)
+    return lined, per_line.select(F.col("host").alias("_host"), F.col("line").alias("_line"))
 
 
-def host_lines(docs: DataFrame, least_texts: int, least_share: float) -> DataFrame:
-    """(_line_host, _frequent) to join documents with.
+def text_lines(docs: DataFrame, least_texts: int, least_share: float) -> DataFrame:
+    """(_line_host, _line_copy, _frequent) to join documents with: the hashes of a text's own frequent lines, so no row grows
+    with a host.
 
-    It is broadcast when its measured size is small; else the documents meet it by host in a shuffle whose large partitions
-    Spark splits.
+    Each join is a broadcast when the measured size is small; else a shuffle whose large partitions Spark splits.
     """
-    found = cut_lineage(frequent_lines(docs, least_texts, least_share)).select(
-        F.col("host").alias("_line_host"), F.col("frequent").alias("_frequent"))
-    held = found.agg(F.coalesce(F.sum(F.size("_frequent") * 8 + 64), F.lit(0))).first()[0]
+    lined, frequent = frequent_lines(docs, least_texts, least_share)
+    frequent = cut_lineage(frequent)
+    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
+    small = frequent.agg(F.coalesce(F.sum(F.octet_length(F.coalesce("_host", F.lit(""))) + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    met = lined.join(F.broadcast(frequent), same) if small else lined.distinct().join(frequent, same)
+    found = cut_lineage(met.groupBy(F.col("host").alias("_line_host"), F.col("copy").alias("_line_copy")).agg(F.collect_set("line").alias("_frequent")))
+    held = found.agg(F.coalesce(F.sum(F.size("_frequent") * 8 + F.octet_length(F.coalesce("_line_host", F.lit(""))) + 64), F.lit(0))).first()[0]
     return F.broadcast(found) if held <= BROADCAST_BYTES else found
 
 
+def with_frequent(docs: DataFrame, held: DataFrame) -> DataFrame:
+    """Documents that have ``_host`` with ``_frequent``, null where no line of the text is frequent."""
+    same = F.col("_host").eqNullSafe(F.col("_line_host")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_line_copy"))
+    return docs.join(held, same, "left")
+
+
 def verdicts(text: Column) -> dict[str, Column]:
     """Counts, base rule, what is left of the text, and whether the document is kept; needs ``_frequent``."""
     def gone(line: Column) -> Column:
@@ -131,16 +144,15 @@ COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 def judged(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
     """(doc_id, counts, base_failed, kept, text_left) for each document."""
     narrow = docs.select("doc_id", "text", F.col("source").alias("_host"))
-    joined = narrow.join(host_lines(docs, least_texts, least_share), F.col("_host").eqNullSafe(F.col("_line_host")), "left")
+    joined = with_frequent(narrow, text_lines(docs, least_texts, least_share))
     return joined.withColumns(verdicts(F.col("text"))).select(
         "doc_id", *(F.col(f"_judged.counts.{c}").alias(c) for c in COUNTS), F.col("_judged.failed").alias("base_failed"),
         F.col("_judged.kept").alias("kept"), F.col("_judged.left").alias("text_left"))
 
 
-def kept_documents(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
+def kept_documents(docs: DataFrame, least_texts: int = COMMON_TEXTS, least_share: float = 0.0) -> DataFrame:
     """The documents that pass, frequent lines taken out and ``n_chars`` counted anew where a line went."""
-    held = host_lines(docs, least_texts, least_share)
-    joined = docs.withColumn("_host", F.col("source")).join(held, F.col("_host").eqNullSafe(F.col("_line_host")), "left")
+    joined = with_frequent(docs.withColumn("_host", F.col("source")), text_lines(docs, least_texts, least_share))
     # Exploding none or one verdict filters without computing it twice.
     judged_once = F.explode(F.filter(F.array(verdicts(F.col("text"))["_judged"]), lambda j: j["kept"]))
     out = joined.withColumn("_judged", judged_once)

@@ -259,6 +259,19 @@ def test_line_rules(spark):
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
 
 
+@pytest.mark.parametrize("hosts", [["h"], ["h", *["h"] * 30, "g"]])
+def test_common_lines_go_on_hosts_of_every_size(spark, hosts):
+    """The pipeline's law: the same line goes from a small host and from one where it stands in few of the texts."""
+    common = "shared line of the host"
+    rows = [(i, f"{prose(i, 20)}\n{common if i < 12 else prose(i + 2000, 5)}\n{prose(i + 1000, 12)}", hosts[0]) for i in range(14 * len(hosts))]
+    rows += [(9000 + i, f"{prose(9000 + i, 20)}\n{common}", "few") for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    got = {r.doc_id: r for r in line_rules.kept_documents(df).collect()}
+    assert set(got) == {r[0] for r in rows}
+    assert all(common not in got[i].text and got[i].n_chars == len(got[i].text) for i in range(12))
+    assert all(got[i].text == t for i, t, _ in rows[12:])
+
+
 def test_url_rules(spark):
     rules = queries.URL_RULES
     urls = ["http://A.Net/x", "https://b.example.net/en/1?q=1", "http://example.com/de/", "http://c.example.com/dex", "x://org/fr/a#b", "http://xorg/fr/", None, "nothing", "", "h://net",
