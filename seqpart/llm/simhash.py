@@ -229,8 +229,8 @@ def hexadecimal(fp: str) -> Column:
 
 
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, fp, bands, shingles): a hash of the set of shingles, its fingerprint, its shards' keys and the set itself,
-    sorted 32-bit hashes. Texts without words have key zero and no shards."""
+    """(doc_id, key, fp, bands, shingles): a hash of the set of shingles, the set's fingerprint (repeats don't count, as in
+    ``alike``), its shards' keys and the set itself, sorted 32-bit hashes. Texts without words have key zero and no shards."""
     workers_ready(docs.sparkSession)
 
     def sketch(text: bytes) -> tuple[int, int, list[int], bytes]:
@@ -240,7 +240,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         whole = np.unique(np.concatenate(parts))
         least = np.array([((whole ^ mask) * factor).min() for factor, mask in ORDERS])
         bands = [xxhash.xxh64_intdigest(b.tobytes()) - (1 << 63) for b in least.reshape(BANDS, BAND_ROWS)]
-        signed = majority(parts) - (1 << 63)
+        signed = majority([whole]) - (1 << 63)
         return xxhash.xxh64_intdigest(whole.tobytes()) - (1 << 63), signed, bands, np.unique((whole >> np.uint64(32)).astype(np.uint32)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -142,6 +142,18 @@ def test_near_copies(spark, docs, size):
     assert simhash.first_of_each(docs.limit(0)).count() == 0
 
 
+def test_near_copies_that_repeat_a_phrase(spark):
+    """Repeats don't count: neither in the similarity nor in the fingerprint that the trees follow."""
+    whole = prose(80, 162)
+    rows = [(1, whole), (2, whole + " again and again and again" * 30), (3, prose(81, 162))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    own = {r.doc_id: r for r in simhash.sketches(df, simhash.TEXT_SHINGLE).collect()}
+    assert simhash.alike(*(np.frombuffer(own[i].shingles, np.uint32) for i in (1, 2)))
+    counted = [simhash.fingerprint(t.encode(), simhash.TEXT_SHINGLE) for _, t in rows[:2]]
+    assert (counted[0] ^ counted[1]).bit_count() > simhash.TEXT_RADIUS >= (own[1].fp ^ own[2].fp).bit_count()
+    assert sorted(r.doc_id for r in simhash.first_of_each(df).collect()) == [1, 3]
+
+
 @pytest.mark.parametrize("size", [5, 4096])
 def test_simhash_links_of_a_crowd(spark, size):
     rng = random.Random(7)
