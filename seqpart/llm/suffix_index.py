@@ -134,6 +134,12 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
+def later(new: np.ndarray, doc: np.ndarray, where: np.ndarray) -> np.ndarray:
+    """Marks what stands elsewhere than the head of its run: repeated rows of one document are no repeat."""
+    head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+    return (doc != doc[head]) | (where != where[head])
+
+
 ROWS = "kind int, bucket int, doc long, where long, key long, old boolean, blob binary"
 # Kinds of rows: entries of an array by bucket; a repeated segment; a suffix to settle by its windows, dealt by its key or, when
 # parked, by each window.
@@ -193,7 +199,7 @@ def array_of(docs: DataFrame, buckets: int, length: int, k: int, chunk: int, hot
                 order = np.lexsort((segment, key))
                 key, segment, d, where = key[order], segment[order], d[order], where[order]
                 new = runs(key, segment)
-                again = ~new
+                again = later(new, d, where)
                 out = [(int(again.sum()), REPEATED, None, d[again], where[again], None, None, None)]
                 key, segment, d, where = key[new], segment[new], d[new], where[new]
                 head = runs(key)
@@ -228,7 +234,7 @@ def scanned(entries: DataFrame, keep: bool) -> DataFrame:
         key, segment, doc, where, old = key[order], segment[order], doc[order], where[order], old[order]
         new = runs(key, segment)
         mark = where < 0
-        again = ~new & ~mark & ~old
+        again = later(new, doc, where) & ~mark & ~old
         out = [(int(again.sum()), REPEATED, None, doc[again], where[again], None, None, None)]
         group = np.cumsum(runs(key)) - 1
         hot = np.bincount(group, mark, minlength=group[-1] + 1 if len(group) else 0)[group] > 0
@@ -398,9 +404,8 @@ def settled(windows: DataFrame, length: int, spread: int) -> DataFrame:
             order = np.lexsort((w, d, h, k))
             k, d, w, h = k[order], d[order], w[order], h[order]
             new = runs(k, h)
-            head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-            later = (d != d[head]) | (w != w[head])
-            d, w = d[later], w[later]
+            again = later(new, d, w)
+            d, w = d[again], w[again]
             order = np.lexsort((w, d))
             d, w = d[order], w[order]
             t, s = w >> 47, (w >> 16) & 0x7FFFFFFF

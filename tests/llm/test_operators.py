@@ -195,6 +195,19 @@ def test_repeated_bytes(spark, docs, options):
     assert suffix_index.digests(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("options", [{}, {"batches": 3, "hot": 2, "chunk": 900}, {"batches": 2, "hot": 1, "chunk": 4000, "length": 40, "k": 12}])
+def test_repeated_rows_are_one_document(spark, docs, options):
+    """Each of the rows has what the document has, whether they meet in one task or in the scan."""
+    rows = texts(docs) + [(i, prose(200 + i, 50) + prose(300, 30) * (i % 2)) for i in (60, 60, 61, 61, 61)] + [(63, "ab" * 300)] * 2
+    want = brute_repeats(list(dict(rows).items()), options.get("length", 100))
+    for parts in (1, 6):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = [tuple(r) for r in suffix_index.digests(df, **options).collect()]
+        assert sorted(got, key=repr) == sorted((want[i] for i, _ in rows), key=repr)
+    left = suffix_index.without_repeats(docs)
+    assert [r.text for r in left.filter("doc_id = 6").collect()] == [prose(2, 4000)] * 2
+
+
 def test_repeats_leave_the_other_columns(spark, docs):
     left = suffix_index.without_repeats(docs)
     assert left.columns == docs.columns
