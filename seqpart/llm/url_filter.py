@@ -16,13 +16,15 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from seqpart.plans.sizing import maybe_broadcast
+from seqpart.session import cut_lineage
+
 from .common import bind
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # At most about so many labelled rows train the trees, drawn evenly from all of them.
 TRAINING_ROWS = 20_000
-# Suffixes with fewer labelled URLs in the training rows share one statistic, so there are at most
-# TRAINING_ROWS / SUFFIX_ROWS suffixes: a bounded broadcast.
+# Suffixes with fewer labelled URLs, of all that there are, share one statistic.
 SUFFIX_ROWS = 20
 TREES, DEPTH, SEED = 10, 4, 42
 
@@ -101,7 +103,7 @@ def features(url: str = "url") -> dict[str, Column]:
 
 @dataclass
 class UrlModel:
-    """Fitted trees and suffix statistics; ``only`` where the labels held one kind or none."""
+    """Fitted trees and suffix statistics (broadcast where their measured size is small); ``only`` where the labels held one kind or none."""
 
     suffixes: DataFrame | None
     prior: float
@@ -110,25 +112,23 @@ class UrlModel:
 
 
 def _assembled(df: DataFrame, model: UrlModel, url: str) -> DataFrame:
-    with_stats = df.join(F.broadcast(model.suffixes), suffix(F.col("host")) == F.col("_suffix"), "left")
+    with_stats = df.join(model.suffixes, suffix(F.col("host")) == F.col("_suffix"), "left")
     named = features(url) | {"suffix_rate": F.coalesce(F.col("_rate"), F.lit(model.prior)), "suffix_known": F.col("_rate").isNotNull().cast("double")}
     made = with_stats.withColumns({f"_f_{k}": v for k, v in named.items()})
     return VectorAssembler(inputCols=[f"_f_{k}" for k in named], outputCol="_features").transform(made)
 
 
 def fit(labelled: DataFrame, url: str = "url", rows: int = TRAINING_ROWS) -> UrlModel:
-    """Learn from (url, host, path, blocked 0/1); at most about ``rows`` of the rows, drawn evenly by Spark's sampler."""
-    counts = {r["blocked"]: r["count"] for r in labelled.groupBy("blocked").count().collect()}
-    if len(counts) < 2:
-        return UrlModel(None, 0.0, None, "block" if 1.0 in counts else "allow")
-    total = sum(counts.values())
+    """Learn from (url, host, path, blocked 0/1). Suffixes are counted on all rows; at most about ``rows`` of them, drawn evenly
+    by Spark's sampler, train the trees."""
+    stats = cut_lineage(labelled.groupBy(suffix(F.col("host")).alias("_suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b")))
+    total, blocked = stats.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
+    if blocked in (0, total):
+        return UrlModel(None, 0.0, None, "block" if blocked else "allow")
     drawn = labelled.select(url, "host", "path", "blocked").sample(min(1.0, rows / total), SEED) if total > rows else labelled
-    prior = counts[1.0] / total
-    suffixes = (
-        drawn.groupBy(suffix(F.col("host")).alias("_suffix")).agg(F.count(F.lit(1)).alias("n"), F.sum("blocked").alias("b"))
-        .filter(F.col("n") >= SUFFIX_ROWS).select("_suffix", ((F.col("b") + prior) / (F.col("n") + 1)).alias("_rate"))
-    )
-    model = UrlModel(suffixes, prior, None)
+    prior = blocked / total
+    known = stats.filter(F.col("n") >= SUFFIX_ROWS).select("_suffix", ((F.col("b") + prior) / (F.col("n") + 1)).alias("_rate"))
+    model = UrlModel(maybe_broadcast(known, ["_suffix"]), prior, None)
     model.trees = GBTClassifier(featuresCol="_features", labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, seed=SEED,
                                 predictionCol="_blocked").fit(
         _assembled(drawn, model, url).select("_features", "blocked"))

@@ -310,6 +310,18 @@ def test_url_rules(spark):
     assert [r.e for r in text.collect()] == [1.0, 0.0, 0.0]
 
 
+def test_suffixes_are_counted_on_all_labels(spark):
+    """The trees' draw doesn't bound what is known about a suffix."""
+    rows = [(f"http://www.s{i % 20}.org/{i}", float(i % 20 < 5)) for i in range(800)] + [(f"http://rare{i}.net/", 1.0) for i in range(50)]
+    labelled = url_filter.with_parts(spark.createDataFrame(rows, "url string, blocked double"))
+    model = url_filter.fit(labelled, rows=200)
+    prior = sum(b for _, b in rows) / len(rows)
+    got = {r._suffix: r._rate for r in model.suffixes.collect()}
+    assert got == pytest.approx({f"s{i}.org": ((40 if i < 5 else 0) + prior) / 41 for i in range(20)})
+    assert model.prior == pytest.approx(prior) and url_filter.scored(labelled, model).count() == len(rows)
+    assert url_filter.fit(labelled.filter("blocked = 1")).only == "block" and url_filter.fit(labelled.limit(0)).only == "allow"
+
+
 def test_layouts_become_turns(spark):
     records = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}],"id":3}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}',
                '{"prompt":"p","completion":"c","key":1}', '{"instruction":"do","input":"this","output":"done"}', '{"other":1}', '{"messages":"text"}', None]
