@@ -109,6 +109,18 @@ def item_seeds(items: DataFrame) -> DataFrame:
         run, "item_id long, around array<long>, at long, size long, hash long, slot long, bits long")
 
 
+def skipped(items: DataFrame) -> int:
+    """How many items have fewer than LEAST tokens, so that no document is ever found to hold them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _Hashes()
+        for batch in batches:
+            short = sum(len(token_hashes(t or "", known)) < LEAST for t in batch.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([short], pa.int64())], names=["n"])
+
+    workers_ready(items.sparkSession)
+    return items.select("text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def document_hits(docs: DataFrame, table: np.ndarray, short: bool) -> DataFrame:
     """(doc_id, copy, start, tokens, place, hash): seeds of documents that the bit table doesn't rule out, a row for each
     piece with the tokens around it and its hits."""

@@ -244,6 +244,11 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and left.count() == df.count() - 3 and spaced_seeds.found(docs, bench.limit(0)).count() == 0
 
 
+def test_short_items_are_counted(spark):
+    items = [(1, "one two three four five six seven"), (2, None), (3, "漢字 " * 3), (4, prose(1, 8))]
+    assert spaced_seeds.skipped(spark.createDataFrame(items, "item_id long, text string").repartition(2)) == 3
+
+
 @pytest.mark.parametrize("options", [{}, {"samples": 8, "overfull": 1.1}])
 def test_shards(spark, docs, options):
     df = docs.unionByName(docs.filter("doc_id = 1").crossJoin(spark.range(300)).drop("id"))
