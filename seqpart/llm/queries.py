@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, and their SQL where SQL can say it."""
+"""Registered queries of the operators, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat_format, line_rules, simhash, spaced_seeds, splitters, suffix_index, token_counts, toxicity, url_filter
+from . import bpe, chat_format, filter_audit, hard_negatives, line_rules, neighbours, simhash, spaced_seeds, splitters, suffix_index, token_counts, toxicity, url_filter
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,64 @@ def op10_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("conv_id", *chat_format.digests(F.col("formatted")))
 
 
+@query
+def op11_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op12_multiprobe(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    return neighbours.searched(rows, rows.filter(F.col("vec_id") % 100 == 0), "vec_id", "embedding")
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf, "embeddings").withColumn("label", turned), "vec_id", "label", "embedding", anchor_every=100)
+
+
+SQL["op11_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+first_ids AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+worded AS (SELECT d.doc_id, part, d.text, first, list_filter(regexp_split_to_array(d.text, '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+  FROM d JOIN first_ids USING (text)),
+judged AS (SELECT doc_id, part,
+  CASE WHEN len(w) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(w)) < 80 * len(w) THEN 2 ELSE 0 END
+  + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text) THEN 4 ELSE 0 END
+  + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN coalesce(doc_id > first, false) THEN 16 ELSE 0 END AS fails FROM worded),
+marks AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+counted AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM judged LEFT JOIN marks USING (doc_id) GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.b + b.b + c.b + d.b + e.b = 31 AND len(list_distinct([a.b, b.b, c.b, d.b, e.b])) = 5),
+steps AS (SELECT filter_order, step, bs[step] AS own, CAST(coalesce(list_sum(bs[1:step - 1]), 0) AS INTEGER) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+each AS (SELECT part, filter_order, step, own,
+  sum(CASE WHEN fails & (before + own) = 0 THEN n ELSE 0 END) AS kept, sum(CASE WHEN fails & before = 0 AND fails & own <> 0 THEN n ELSE 0 END) AS removed,
+  sum(CASE WHEN fails & before <> 0 AND fails & own <> 0 THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = own THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN fails & before = 0 AND fails & own <> 0 THEN good ELSE 0 END) AS good_lost,
+  sum(CASE WHEN fails & before = 0 AND fails & own <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM counted, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley FROM each"""
+
+SQL["op13_hard_negatives"] = r"""
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM e a JOIN e b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) AS INTEGER) AS rank,
+  other_id AS negative_id, positive_score, score AS negative_score
+FROM positives p JOIN scored s ON s.anchor_id = p.anchor_id AND NOT s.same AND 80 * positive_score <= 100 * score AND score <= positive_score
+QUALIFY row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other_id) <= 5"""
+
+
 SQL["op10_chat_format"] = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
