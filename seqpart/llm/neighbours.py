@@ -42,7 +42,7 @@ FIT_QUERIES, FIT_ROWS = 64, 4096
 # Most buckets of one table that a query visits; queries that find too few rows so are searched exactly.
 PROBES = 4096
 # Rows and probes of a bucket that meet in one block.
-ROW_SLICE, PROBE_SLICE = 2048, 1024
+ROW_SLICE, PROBE_SLICE = 512, 512
 # Rows of a task's block, and pairs whose differences are held at once.
 BLOCK_ROWS, PAIRS = 8192, 40_000
 
