@@ -14,8 +14,9 @@ Hot passages: a chunk sends one entry per distinct segment and settles its later
 segments in one chunk (a short line in all documents) is parked: only a mark goes to the scan, and all its windows are dealt by
 their own hash instead, one entry per distinct window and chunk.
 
-Defined results: a null text is empty; a null id comes before all others; rows with one id are ordered by a hash of their
-text, and rows that are equal in both are one document, each with its result.
+Defined results: a null text is empty; a null id comes before all others; different texts of one id, and those without an id, are
+documents of their own, ordered by the 64-bit hash of their text (``tie``, which is 0 where an id has one text only); rows that are
+equal in id and text are one document, each with its result.
 """
 
 from __future__ import annotations
@@ -28,9 +29,12 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from seqpart.plans.sizing import BROADCAST_BYTES
 
 from .bpe import ranges
-from .common import give_back_memory, partitions, shared_folder, slices, workers_ready
+from .common import give_back_memory, partitions, shared_folder, slices, workers_ready, written
 
 LENGTH, K = 100, 32
 # Window starts worked on at once, which bounds memory for texts of any length.
@@ -105,14 +109,14 @@ def suffixes(data: np.ndarray, room: np.ndarray, length: int, k: int) -> tuple[n
     return at, first, last, keys[at], segment
 
 
-# Where a suffix stands, in one sortable number: text hash (16 bits), place (31), and how far before the place its first and
-# its last window start (8 each).
-def packed(tie: np.ndarray, place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    return (tie << 47) | (place << 16) | (first << 8) | last
+# Where a suffix stands in its text, in one sortable number: its place, and how far before the place its first and its last window
+# start (8 bits each).
+def packed(place: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return (place << 16) | (first << 8) | last
 
 
-def unpacked(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    return where >> 47, (where >> 16) & 0x7FFFFFFF, (where >> 8) & 255, where & 255
+def unpacked(where: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return where >> 16, (where >> 8) & 255, where & 255
 
 
 def shut(*columns: np.ndarray) -> bytes:
@@ -134,27 +138,27 @@ def runs(*columns: np.ndarray) -> np.ndarray:
     return new
 
 
-def later(new: np.ndarray, doc: np.ndarray, where: np.ndarray) -> np.ndarray:
+def later(new: np.ndarray, *spot: np.ndarray) -> np.ndarray:
     """Marks what stands elsewhere than the head of its run: repeated rows of one document are no repeat."""
     head = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
-    return (doc != doc[head]) | (where != where[head])
+    return np.logical_or.reduce([c != c[head] for c in spot])
 
 
-ROWS = "kind int, bucket int, doc long, where long, key long, old boolean, blob binary"
+ROWS = "kind int, bucket int, doc long, tie long, where long, key long, old boolean, blob binary"
 # Kinds of rows: entries of an array by bucket; a repeated segment; a suffix to settle by its windows, dealt by its key or, when
 # parked, by each window.
 ENTRIES, REPEATED, UNSETTLED, PARKED = range(4)
 
 
 def _batch(kinds: list[tuple]) -> pa.RecordBatch:
-    """Record batch of ROWS from parts (kind, bucket, doc, where, key, old, blob), columns or scalars of equal length."""
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    """Record batch of ROWS from parts (kind, bucket, doc, tie, where, key, old, blob), columns or scalars of equal length."""
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
     cols: list[list[pa.Array]] = [[] for _ in types]
     for n, *values in kinds:
         for out, v, t in zip(cols, values, types):
             out.append(pa.array(v, t) if isinstance(v, (list, np.ndarray)) else pa.array([v] * n, t) if t == pa.binary() else pa.nulls(n, t) if v is None else pa.array(np.full(n, v), t))
     return pa.RecordBatch.from_arrays([pa.concat_arrays(c) if c else pa.array([], t) for c, t in zip(cols, types)],
-                                      names=["kind", "bucket", "doc", "where", "key", "old", "blob"])
+                                      names=["kind", "bucket", "doc", "tie", "where", "key", "old", "blob"])
 
 
 def chunks(docs: Iterable[tuple[int, int, bytes]], length: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -188,54 +192,54 @@ def array_of(docs: DataFrame, buckets: int, length: int, k: int, chunk: int, hot
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 2000):
             rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist())
-            ordered = sorted(((NO_ID if d is None else d, t, x or b"") for d, t, x in rows), key=lambda r: r[:2])
+            ordered = sorted(((d, t, x or b"") for d, t, x in rows), key=lambda r: r[:2])
             for data, room, doc, tie, place in chunks(ordered, length, chunk):
                 at, first, last, key, segment = suffixes(data, room, length, k)
                 if not len(at):
                     continue
-                d = doc[at]
-                where = packed(tie[at], place[at], at - first, at - last)
+                d, t = doc[at], tie[at]
+                where = packed(place[at], at - first, at - last)
                 # Entries come in document order, so a stable sort keeps the first of equal segments first.
                 order = np.lexsort((segment, key))
-                key, segment, d, where = key[order], segment[order], d[order], where[order]
+                key, segment, d, t, where = key[order], segment[order], d[order], t[order], where[order]
                 new = runs(key, segment)
-                again = later(new, d, where)
-                out = [(int(again.sum()), REPEATED, None, d[again], where[again], None, None, None)]
-                key, segment, d, where = key[new], segment[new], d[new], where[new]
+                again = later(new, d, t, where)
+                out = [(int(again.sum()), REPEATED, None, d[again], t[again], where[again], None, None, None)]
+                key, segment, d, t, where = key[new], segment[new], d[new], t[new], where[new]
                 head = runs(key)
                 group = np.cumsum(head) - 1
                 many = np.bincount(group)[group] > hot
-                out.append((int(many.sum()), PARKED, None, d[many], where[many], key[many].view(np.int64), None, None))
+                out.append((int(many.sum()), PARKED, None, d[many], t[many], where[many], key[many].view(np.int64), None, None))
                 send = ~many | head  # of a parked minimizer only a mark
                 mark = (many & head)[send]
-                key, segment, d, where = key[send], np.where(mark, U(0), segment[send]), d[send], np.where(mark, -1, where[send])
+                key, segment, d, t, where = key[send], np.where(mark, U(0), segment[send]), d[send], t[send], np.where(mark, -1, where[send])
                 bucket = (mixed(key) % U(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 ends = np.flatnonzero(np.r_[bucket[by][1:] != bucket[by][:-1], True]) + 1 if len(by) else []
                 start = 0
                 for end in ends:
                     own = by[start:end]
-                    blob = shut(key[own].view(np.int64), segment[own].view(np.int64), d[own], where[own])
-                    out.append((1, ENTRIES, int(bucket[own[0]]), None, None, None, False, [blob]))
+                    blob = shut(key[own].view(np.int64), segment[own].view(np.int64), d[own], t[own], where[own])
+                    out.append((1, ENTRIES, int(bucket[own[0]]), None, None, None, None, False, [blob]))
                     start = end
                 yield _batch(out)
 
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF)).alias("tie"), "text").mapInArrow(run, ROWS)
+    return docs.select("id", "tie", "text").mapInArrow(run, ROWS)
 
 
 def scanned(entries: DataFrame, keep: bool) -> DataFrame:
     """Merge-scan of a batch's entries with those of levels (``old``): rows REPEATED, UNSETTLED, PARKED, and with ``keep`` what
     is new in the batch."""
     def settle(bucket: int, blobs: list[tuple[bool, bytes]]) -> pa.RecordBatch:
-        parts = [(*opened(b, 4), old) for old, b in blobs]
-        key, segment, doc, where = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        old = np.concatenate([np.full(len(p[0]), p[4]) for p in parts])
-        order = np.lexsort((where, doc, segment, key))
-        key, segment, doc, where, old = key[order], segment[order], doc[order], where[order], old[order]
+        parts = [(*opened(b, 5), old) for old, b in blobs]
+        key, segment, doc, tie, where = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        old = np.concatenate([np.full(len(p[0]), p[5]) for p in parts])
+        order = np.lexsort((where, tie, doc, segment, key))
+        key, segment, doc, tie, where, old = key[order], segment[order], doc[order], tie[order], where[order], old[order]
         new = runs(key, segment)
         mark = where < 0
-        again = later(new, doc, where) & ~mark & ~old
-        out = [(int(again.sum()), REPEATED, None, doc[again], where[again], None, None, None)]
+        again = later(new, doc, tie, where) & ~mark & ~old
+        out = [(int(again.sum()), REPEATED, None, doc[again], tie[again], where[again], None, None, None)]
         group = np.cumsum(runs(key)) - 1
         hot = np.bincount(group, mark, minlength=group[-1] + 1 if len(group) else 0)[group] > 0
         entry = new & ~mark
@@ -244,12 +248,12 @@ def scanned(entries: DataFrame, keep: bool) -> DataFrame:
         met = np.bincount(group, entry)[group] > 1 if len(group) else hot
         fresh = np.bincount(group, ~old)[group] > 0 if len(group) else hot
         parked = entry & hot & fresh
-        out.append((int(parked.sum()), PARKED, None, doc[parked], where[parked], key[parked], None, None))
+        out.append((int(parked.sum()), PARKED, None, doc[parked], tie[parked], where[parked], key[parked], None, None))
         unsettled = entry & ~hot & met & fresh
-        out.append((int(unsettled.sum()), UNSETTLED, None, doc[unsettled], where[unsettled], key[unsettled], None, None))
+        out.append((int(unsettled.sum()), UNSETTLED, None, doc[unsettled], tie[unsettled], where[unsettled], key[unsettled], None, None))
         if keep:
             own = new & ~old
-            out.append((1, ENTRIES, bucket, None, None, None, True, [shut(key[own], segment[own], doc[own], where[own])]))
+            out.append((1, ENTRIES, bucket, None, None, None, None, True, [shut(key[own], segment[own], doc[own], tie[own], where[own])]))
         return _batch(out)
 
     return by_bucket(entries, settle)
@@ -258,11 +262,11 @@ def scanned(entries: DataFrame, keep: bool) -> DataFrame:
 def merged(levels: DataFrame) -> DataFrame:
     """One level of two: their entries sorted together, the first of equal segments kept."""
     def join(bucket: int, blobs: list[tuple[bool, bytes]]) -> pa.RecordBatch:
-        key, segment, doc, where = (np.concatenate(c) for c in zip(*(opened(b, 4) for _, b in blobs)))
-        order = np.lexsort((where, doc, segment, key))
-        key, segment, doc, where = key[order], segment[order], doc[order], where[order]
+        key, segment, doc, tie, where = (np.concatenate(c) for c in zip(*(opened(b, 5) for _, b in blobs)))
+        order = np.lexsort((where, tie, doc, segment, key))
+        key, segment, doc, tie, where = key[order], segment[order], doc[order], tie[order], where[order]
         new = runs(key, segment)
-        return _batch([(1, ENTRIES, bucket, None, None, None, True, [shut(key[new], segment[new], doc[new], where[new])])])
+        return _batch([(1, ENTRIES, bucket, None, None, None, None, True, [shut(key[new], segment[new], doc[new], tie[new], where[new])])])
 
     return by_bucket(levels, join)
 
@@ -278,7 +282,7 @@ def by_bucket(entries: DataFrame, work: Callable[[int, list[tuple[bool, bytes]]]
             if len(aside):
                 yield batch.take(pa.array(aside))
             own = batch.take(pa.array(np.flatnonzero(kinds == ENTRIES)))
-            for b, old, blob in zip(*(own.column(i).to_pylist() for i in (1, 5, 6))):
+            for b, old, blob in zip(*(own.column(i).to_pylist() for i in (1, 6, 7))):
                 if b != bucket:
                     if blobs:
                         yield work(bucket, blobs)
@@ -287,7 +291,7 @@ def by_bucket(entries: DataFrame, work: Callable[[int, list[tuple[bool, bytes]]]
         if blobs:
             yield work(bucket, blobs)
 
-    dealt = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc", "where"), F.lit(1 << 30)).cast("int"))
+    dealt = F.coalesce(F.col("bucket"), F.pmod(F.xxhash64("doc", "tie", "where"), F.lit(1 << 30)).cast("int"))
     return entries.repartition(partitions(entries.sparkSession), dealt).sortWithinPartitions("bucket").mapInArrow(run, ROWS)
 
 
@@ -304,6 +308,10 @@ class SuffixIndex:
     def add(self, docs: DataFrame, last: bool = False) -> None:
         """Scan a batch of documents, all later than those before, against the levels; unless ``last`` it becomes a level, and
         levels of equal size (in batches) merge."""
+        self._add(identified(docs), last)
+
+    def _add(self, docs: DataFrame, last: bool) -> None:
+        """``add`` for documents that are ``identified`` together."""
         rows = array_of(docs, self.buckets, self.length, self.k, self.chunk, self.hot)
         for _, level in self.levels:
             rows = rows.unionByName(level)
@@ -330,64 +338,78 @@ class SuffixIndex:
 
 
 def identified(docs: DataFrame) -> DataFrame:
-    """(id, tie, text, rest): texts with what orders them; ``rest`` holds the other columns."""
-    tie = F.xxhash64(F.coalesce("text", F.lit(""))).bitwiseAND(F.lit(0xFFFF))
+    """(id, tie, text, rest): texts with what orders them; ``rest`` holds the other columns.
+
+    Ids of several texts are found first, by two numbers an id that are combined before the shuffle. Where they outgrow a broadcast,
+    every row gets its hash as ``tie``, which gives the same results with more bytes.
+    """
+    copy = F.xxhash64(F.coalesce("text", F.lit("")))
+    many = docs.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("many")).agg(F.min(copy).alias("low"), F.max(copy).alias("high"))
+    many = written(many.filter("low <> high").select("many"), "ids")
     rest = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")]
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), tie.alias("tie"), "text", *([F.struct(*rest).alias("rest")] if rest else []))
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), copy.alias("copy"), F.col("doc_id").isNull().alias("lone"), "text",
+                      *([F.struct(*rest).alias("rest")] if rest else []))
+    n = many.count()
+    tie = F.col("copy") if n * 32 > BROADCAST_BYTES else F.when(F.col("lone"), F.col("copy")).otherwise(F.lit(0))
+    if 0 < n * 32 <= BROADCAST_BYTES:
+        own = own.join(F.broadcast(many), F.col("id") == F.col("many"), "left")
+        tie = F.when(F.col("lone") | F.col("many").isNotNull(), F.col("copy")).otherwise(F.lit(0))
+    return own.select("id", tie.alias("tie"), "text", *(["rest"] if rest else []))
 
 
 def windows_of(open_rows: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """Bytes around UNSETTLED suffixes and hashes of the windows of PARKED ones: (key, doc, spot, first, last, bytes), and rows
-    without a key for windows that the task settles itself."""
+    """Bytes around UNSETTLED suffixes and hashes of the windows of PARKED ones: (key, doc, tie, spot, bytes), and rows without a key
+    for windows that the task settles itself."""
     where = F.struct("kind", "where", "key")
-    asked = open_rows.groupBy(F.col("doc").alias("_doc"), F.shiftright("where", 47).alias("_tie")).agg(F.collect_list(where).alias("asked"))
+    asked = open_rows.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(where).alias("asked"))
     joined = texts.join(asked.hint("shuffle_hash"), (F.col("id") == F.col("_doc")) & (F.col("tie") == F.col("_tie")))
     # All columns of the texts are asked for, so that this join and the last one read the same exchange.
-    joined = joined.select("id", "asked", *(c for c in texts.columns if c != "id"))
+    joined = joined.select("id", "asked", "tie", *(c for c in texts.columns if c not in ("id", "tie")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            keys, docs, spots, firsts, lasts, blobs = [], [], [], [], [], []
-            parked: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+            keys, docs, ties, spots, blobs = [], [], [], [], []
+            parked: list[tuple[np.ndarray, ...]] = []
             asked = batch.column(1)
             bounds, flat = asked.offsets.to_numpy() - asked.offsets[0].as_py(), asked.flatten()
             kind, where, key = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            for r, (doc, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())):
+            for r, (doc, tie, text) in enumerate(zip(batch.column("id").to_pylist(), batch.column("tie").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist())):
                 own = slice(bounds[r], bounds[r + 1])
-                tie, place, first, last = unpacked(where[own])
+                place, first, last = unpacked(where[own])
                 pending = kind[own] == PARKED
                 for p, a, b, spot, k in zip(*(c[~pending].tolist() for c in (place, first, last, where[own], key[own]))):
                     keys.append(k)
                     docs.append(doc)
+                    ties.append(tie)
                     spots.append(spot)
                     blobs.append(text[p - a:p - b + length])
                 if pending.any():
                     sums, inverse = prefix_hashes(np.frombuffer(text, np.uint8))
                     start = np.unique(ranges((place - first)[pending], (first - last)[pending] + 1))
                     h = mixed((sums[start + length] - sums[start]) * inverse[start])
-                    parked.append((h, np.full(len(start), doc), (tie[pending][0] << 47) | (start << 16)))
-            made = [(keys, docs, spots, blobs)]
+                    parked.append((h, np.full(len(start), doc), np.full(len(start), tie), start << 16))
+            made = [(keys, docs, ties, spots, blobs)]
             if parked:
-                h, doc, spot = (np.concatenate(c) for c in zip(*parked))
-                order = np.lexsort((spot, doc, h))
-                h, doc, spot = h[order], doc[order], spot[order]
+                h, doc, tie, spot = (np.concatenate(c) for c in zip(*parked))
+                order = np.lexsort((spot, tie, doc, h))
+                h, doc, tie, spot = h[order], doc[order], tie[order], spot[order]
                 new = runs(h)
-                lone = new | ~(runs(h, doc, spot))
-                made.append((h[new].view(np.int64).tolist(), doc[new].tolist(), spot[new].tolist(), [None] * int(new.sum())))
-                made.append(([None] * int((~lone).sum()), doc[~lone].tolist(), spot[~lone].tolist(), [None] * int((~lone).sum())))
-            cols = [sum((list(m[i]) for m in made), []) for i in range(4)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], names=["key", "doc", "spot", "bytes"])
+                lone = new | ~(runs(h, doc, tie, spot))
+                made.append((h[new].view(np.int64).tolist(), doc[new].tolist(), tie[new].tolist(), spot[new].tolist(), [None] * int(new.sum())))
+                made.append(([None] * int((~lone).sum()), doc[~lone].tolist(), tie[~lone].tolist(), spot[~lone].tolist(), [None] * int((~lone).sum())))
+            cols = [sum((list(m[i]) for m in made), []) for i in range(5)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 4, pa.binary()))], names=["key", "doc", "tie", "spot", "bytes"])
 
-    return joined.mapInArrow(run, "key long, doc long, spot long, bytes binary")
+    return joined.mapInArrow(run, "key long, doc long, tie long, spot long, bytes binary")
 
 
 def settled(windows: DataFrame, length: int, spread: int) -> DataFrame:
     """(doc, tie, start, stop) of windows that stand earlier: equal windows of one key, the first excepted."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back_memory()
-        def block(key: np.ndarray, doc: np.ndarray, spot: np.ndarray, blobs: list[bytes | None]) -> pa.RecordBatch:
+        def block(key: np.ndarray, doc: np.ndarray, tie: np.ndarray, spot: np.ndarray, blobs: list[bytes | None]) -> pa.RecordBatch:
             own = np.array([b is not None for b in blobs], bool)
-            tie, place, first, back = unpacked(spot)
+            place, first, back = unpacked(spot)
             n = np.where(own, first - back + 1, 1)
             row = np.repeat(np.arange(len(key)), n)
             step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
@@ -400,15 +422,13 @@ def settled(windows: DataFrame, length: int, spread: int) -> DataFrame:
                 at = base[own[row]]
                 sums, inverse = prefix_hashes(data)
                 h[own[row]] = mixed((sums[at + length] - sums[at]) * inverse[at])
-            k, d, w = key[row], doc[row], (tie[row] << 47) | (start << 16)
-            order = np.lexsort((w, d, h, k))
-            k, d, w, h = k[order], d[order], w[order], h[order]
-            new = runs(k, h)
-            again = later(new, d, w)
-            d, w = d[again], w[again]
-            order = np.lexsort((w, d))
-            d, w = d[order], w[order]
-            t, s = w >> 47, (w >> 16) & 0x7FFFFFFF
+            k, d, t, w = key[row], doc[row], tie[row], start
+            order = np.lexsort((w, t, d, h, k))
+            k, d, t, w, h = k[order], d[order], t[order], w[order], h[order]
+            again = later(runs(k, h), d, t, w)
+            d, t, s = d[again], t[again], w[again]
+            order = np.lexsort((s, t, d))
+            d, t, s = d[order], t[order], s[order]
             cut = runs(d, t)
             if len(d):
                 cut[1:] |= s[1:] > s[:-1] + length
@@ -431,41 +451,41 @@ def settled(windows: DataFrame, length: int, spread: int) -> DataFrame:
             yield block(*_columns(pa.Table.from_batches(held)))
 
     own = windows.filter(F.col("key").isNotNull())
-    alone = windows.filter(F.col("key").isNull()).select("doc", F.shiftright("spot", 47).alias("tie"), F.shiftright("spot", 16).bitwiseAND(F.lit(0x7FFFFFFF)).alias("start"))
+    alone = windows.filter(F.col("key").isNull()).select("doc", "tie", F.shiftright("spot", 16).alias("start"))
     dealt = own.repartition(spread, "key").sortWithinPartitions("key").mapInArrow(run, "doc long, tie long, start long, stop long")
     return dealt.unionByName(alone.withColumn("stop", F.col("start") + length))
 
 
-def _columns(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list]:
-    return t["key"].to_numpy(), t["doc"].to_numpy(), t["spot"].to_numpy(), t["bytes"].to_pylist()
+def _columns(t: pa.Table) -> tuple:
+    return *(t[c].to_numpy() for c in ("key", "doc", "tie", "spot")), t["bytes"].to_pylist()
 
 
 def batches_of(docs: DataFrame, batches: int) -> list[DataFrame]:
-    """Documents by ranges of ids, in order; null ids come first."""
+    """``identified`` documents by ranges of ids, in order."""
     if batches == 1:
         return [docs]
-    cuts = docs.approxQuantile("doc_id", [i / batches for i in range(1, batches)], 0.01)
+    cuts = docs.approxQuantile("id", [i / batches for i in range(1, batches)], 0.01)
     cuts = sorted({int(c) for c in cuts})
     if not cuts:
         return [docs]
-    first = docs.filter(F.col("doc_id").isNull() | (F.col("doc_id") < cuts[0]))
-    return [first, *(docs.filter((F.col("doc_id") >= a) & (F.col("doc_id") < b)) for a, b in zip(cuts, cuts[1:])), docs.filter(F.col("doc_id") >= cuts[-1])]
+    return [docs.filter(F.col("id") < cuts[0]), *(docs.filter((F.col("id") >= a) & (F.col("id") < b)) for a, b in zip(cuts, cuts[1:])), docs.filter(F.col("id") >= cuts[-1])]
 
 
 def repeated(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: int = K, chunk: int = CHUNK, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """``identified`` texts dealt by document, and (_doc, _tie, spans) of those with repeated bytes."""
     spark = docs.sparkSession
     index = SuffixIndex(spark, length, k, chunk, hot)
-    parts = batches_of(docs.select("doc_id", "text"), batches)
+    known = identified(docs)
+    parts = batches_of(known.select("id", "tie", "text"), batches)
     for i, part in enumerate(parts):
-        index.add(part, last=i == len(parts) - 1)
+        index._add(part, last=i == len(parts) - 1)
     rows, spread = index.rows(), partitions(spark)
     # Both joins read the same exchange of texts.
-    texts = identified(docs).repartition(spread, "id", "tie")
+    texts = known.repartition(spread, "id", "tie")
     windows = windows_of(rows.filter(F.col("kind").isin(UNSETTLED, PARKED)), texts, length)
     w = F.col("where")
-    place, first, last = F.shiftright(w, 16).bitwiseAND(F.lit(0x7FFFFFFF)), F.shiftright(w, 8).bitwiseAND(F.lit(255)), w.bitwiseAND(F.lit(255))
-    whole = rows.filter(F.col("kind") == REPEATED).select("doc", F.shiftright(w, 47).alias("tie"), (place - first).alias("start"), (place - last + length).alias("stop"))
+    place, first, last = F.shiftright(w, 16), F.shiftright(w, 8).bitwiseAND(F.lit(255)), w.bitwiseAND(F.lit(255))
+    whole = rows.filter(F.col("kind") == REPEATED).select("doc", "tie", (place - first).alias("start"), (place - last + length).alias("stop"))
     both = whole.unionByName(settled(windows, length, spread))
     spans = both.groupBy(F.col("doc").alias("_doc"), F.col("tie").alias("_tie")).agg(F.collect_list(F.shiftleft("start", 31).bitwiseOR(F.col("stop"))).alias("spans"))
     return texts, spans
@@ -514,8 +534,8 @@ def without_repeats(docs: DataFrame, batches: int = BATCHES, length: int = LENGT
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(left, pa.string()), pa.array([m[1] for m in made], pa.int64()), *(c for _, c in rest)],
                                           names=["doc_id", "text", "n_removed", *(n for n, _ in rest)])
 
-    own = identified(docs).schema
-    rest = f", rest {own['rest'].dataType.simpleString()}" if "rest" in own.names else ""
+    others = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
+    rest = f", rest {StructType(others).simpleString()}" if others else ""
     made = _cut(docs, batches, length, k, chunk, hot, out, f"doc_id long, text string, n_removed long{rest}").filter((F.col("n_removed") == 0) | (F.length("text") > 0))
     kept = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("rest.n_chars"))}
     return made.select(*(kept[c].alias(c) if c in kept else F.col(f"rest.`{c}`").alias(c) for c in docs.columns))
