@@ -228,9 +228,16 @@ def hexadecimal(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
+def identity(doc_id: str, text: str) -> list[Column]:
+    """(doc_id, copy) that tell rows apart: a missing id comes before all others, and equal texts of one id are one row."""
+    return [F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63))).alias("doc_id"),
+            F.xxhash64(F.col(doc_id).isNull(), F.coalesce(F.col(text), F.lit(""))).alias("copy")]
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, fp, bands, shingles): a hash of the set of shingles, the set's fingerprint (repeats don't count, as in
-    ``alike``), its shards' keys and the set itself, sorted 32-bit hashes. Texts without words have key zero and no shards."""
+    """(doc_id, copy, key, fp, bands, shingles): what tells the text's row, a hash of the set of shingles, the set's fingerprint
+    (repeats don't count, as in ``alike``), its shards' keys and the set itself, sorted 32-bit hashes. Texts without words have key
+    zero and no shards."""
     workers_ready(docs.sparkSession)
 
     def sketch(text: bytes) -> tuple[int, int, list[int], bytes]:
@@ -245,12 +252,12 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            made = [sketch(t or b"") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            made = [sketch(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([m[i] for m in made], t) for i, t in enumerate(kinds))],
-                                             names=["doc_id", "key", "fp", "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([m[i] for m in made], t) for i, t in enumerate(kinds))],
+                                             names=["doc_id", "copy", "key", "fp", "bands", "shingles"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, key long, fp long, bands array<long>, shingles binary")
+    return docs.select(*identity("doc_id", "text"), "text").mapInArrow(run, "doc_id long, copy long, key long, fp long, bands array<long>, shingles binary")
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -290,8 +297,9 @@ def text_forest(rows: list[tuple[int, int, bytes, int]], across: bool, radius: i
 
 
 def text_links(own: DataFrame, classes: DataFrame, radius: int = TEXT_RADIUS, slice_size: int = TEXT_SLICE) -> DataFrame:
-    """(a, b): edges between keys of ``sketches`` that connect texts that are alike; ``classes`` holds one (key, first) per key."""
-    reps = own.join(classes, (own["key"] == classes["class"]) & (own["doc_id"] == classes["first"]))
+    """(a, b): edges between keys of ``sketches`` that connect texts that are alike; ``classes`` holds one
+    (class, first) per key."""
+    reps = own.join(classes, (own["key"] == classes["class"]) & (own["doc_id"] == F.col("first.doc_id")) & (own["copy"] == F.col("first.copy")))
     members = reps.select("key", "fp", F.posexplode("bands").alias("choice", "part")).dropDuplicates(["key", "choice"])
     members = cut_lineage(members)
     sizes = members.groupBy("choice", "part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select(
@@ -300,7 +308,7 @@ def text_links(own: DataFrame, classes: DataFrame, radius: int = TEXT_RADIUS, sl
     dealt = cut_lineage(dealt)
     # Only texts that share a shard send their shingles.
     needed = dealt.select(F.col("key").alias("class")).distinct()
-    sets = own.join(classes.join(needed, "class"), (own["key"] == F.col("class")) & (own["doc_id"] == F.col("first"))).select(
+    sets = own.join(classes.join(needed, "class"), (own["key"] == F.col("class")) & (own["doc_id"] == F.col("first.doc_id")) & (own["copy"] == F.col("first.copy"))).select(
         F.col("key").alias("set_key"), "shingles").dropDuplicates(["set_key"])
     other = F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("other")
     rows = dealt.join(sets, dealt["key"] == sets["set_key"]).select("key", "fp", "shingles", "choice", "part", "own", other).select(
@@ -329,17 +337,23 @@ def text_links(own: DataFrame, classes: DataFrame, radius: int = TEXT_RADIUS, sl
 
 
 def first_of_each(docs: DataFrame, shingle: int = TEXT_SHINGLE, radius: int = TEXT_RADIUS, slice_size: int = TEXT_SLICE) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id. Groups are connected by links between texts whose
-    sets of shingles are at least ALIKE; texts without words are one group. Of rows with one id one stays; rows without an
-    id stay."""
-    own = written(sketches(docs.filter(F.col("doc_id").isNotNull()), shingle), "sketches")
-    classes = cut_lineage(own.groupBy(F.col("key").alias("class")).agg(F.min("doc_id").alias("first")))
+    """One document of each group of near copies, that of the smallest id; of several texts of that id the one whose hash is least.
+
+    Groups are connected by links between texts whose sets of shingles are at least ALIKE; texts without words are one group. Rows
+    are told apart by id and text, never by id alone; a missing id comes before all others. Of rows that are equal in both the one
+    stays whose columns, written as JSON, come first, however the rows are dealt."""
+    packed = docs.select(F.struct("*").alias("row"))
+    own = written(sketches(packed.select("row.doc_id", "row.text"), shingle), "sketches")
+    classes = cut_lineage(own.groupBy(F.col("key").alias("class")).agg(F.min(F.struct("doc_id", "copy")).alias("first")))
     roots = components(cut_lineage(text_links(own, classes, radius, slice_size)))
-    firsts = classes.join(roots, classes["class"] == roots["node"], "left").groupBy(F.coalesce("root", "class")).agg(F.min("first").alias("_kept_id"))
-    ids = cut_lineage(firsts.select("_kept_id").distinct())
-    kept = docs.join(ids, docs["doc_id"] == ids["_kept_id"]).drop("_kept_id")
-    # Ids that repeat are rare: only their rows are told apart.
-    many = cut_lineage(own.groupBy(F.col("doc_id").alias("_many_id")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_many_id"))
+    firsts = classes.join(roots, classes["class"] == roots["node"], "left").groupBy(F.coalesce("root", "class").alias("group")).agg(F.min("first").alias("first"))
+    ids = written(firsts.select(F.col("first.doc_id").alias("kept_id"), F.col("first.copy").alias("kept_copy")), "kept")
+    told = packed.select("row", *identity("row.doc_id", "row.text"))
+    kept = told.join(ids, (F.col("doc_id") == F.col("kept_id")) & (F.col("copy") == F.col("kept_copy"))).select("row", "doc_id", "copy")
+    # Rows that repeat are rare: only they are compared.
+    many = written(own.groupBy("doc_id", "copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("doc_id").alias("many_id"), F.col("copy").alias("many_copy")), "repeated-rows")
     if not many.isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter(F.col("doc_id").isNull()))
+        same = (F.col("doc_id") == F.col("many_id")) & (F.col("copy") == F.col("many_copy"))
+        once = kept.join(many, same, "left_semi").groupBy("doc_id", "copy").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        kept = kept.join(many, same, "left_anti").select("row").unionByName(once.select("row"))
+    return kept.select("row.*")
