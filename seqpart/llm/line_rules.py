@@ -1,12 +1,13 @@
 """Quality rules: per-text counts, and lines that recur over the documents of a host.
 
 Lines are normalised (lower case, blanks collapsed) and hashed; each host counts in how many distinct texts a line stands.
-Lines above the host's limit are removed; a document that keeps too little is rejected. Column expressions throughout.
-
-The pipeline's law is one count of texts for hosts of every size. ``op6_line_rules`` keeps the two limits of its SQL.
+Lines above the limit are removed from all texts but the one whose smallest id comes first, so what near copies share stays once;
+a document that keeps too little is rejected. The limit is one count of texts for hosts of every size. Column expressions
+throughout.
 
 Defined results: a null text has no words and fails the base rule; texts that are equal count once per line, so copies and
-repeated rows don't make a line frequent; a null host is a host of its own; an empty table gives no rows.
+repeated rows don't make a line frequent, and all of them keep the lines that their text keeps; missing ids come last; a null host
+is a host of its own; an empty table gives no rows; extra columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,16 +20,14 @@ from seqpart.session import cut_lineage
 
 from .common import BLANKS, BLANK_RUN, bind, words
 
-# The pipeline takes a line as frequent when it stands in more distinct texts of a host than this, however many the host has.
+# A line is frequent when it stands in more distinct texts of a host than this, however many the host has.
 COMMON_TEXTS = 10
-# op6's SQL: a line is frequent on a host when it stands in more distinct texts than this ...
-LEAST_TEXTS = 200
-# ... and in more than this share of the host's distinct texts.
-LEAST_SHARE = 0.10
 # A document is depleted when less than this share of its words is left, or fewer words than LEAST_WORDS.
 KEPT_SHARE = 0.30
 LEAST_WORDS = 10
 WINDOW = 5
+# Stands for a missing id, which comes last.
+LAST = (1 << 63) - 1
 
 
 def lines(text: Column) -> Column:
@@ -78,49 +77,55 @@ def base_counts(text: Column, found: Column) -> dict[str, Column]:
     }
 
 
-def frequent_lines(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> tuple[DataFrame, DataFrame]:
-    """(host, copy, line) of the distinct texts' lines, and (_host, _line) of the frequent ones.
+def frequent_lines(docs: DataFrame, least_texts: int = COMMON_TEXTS, least_share: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """(host, copy, line) of the distinct texts' lines, and (of_host, of_line, keeper) of the frequent ones; documents have ``host``,
+    ``copy``, ``doc_id`` and ``text``.
 
     Distinct (host, line, text) are found by an aggregate that combines before the shuffle, so a line or a text that fills the
-    table moves once per task.
+    table moves once per task. ``least_share`` of the host's texts may be asked for besides.
     """
-    seen = docs.select(F.col("source").alias("host"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("copy"), "text")
-    lined = seen.select("host", "copy", F.explode(F.array_distinct(F.transform(lines(F.col("text")), line_hash))).alias("line"))
-    per_line = lined.distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") > least_texts)
+    lined = docs.select("host", "copy", "doc_id", F.explode(F.array_distinct(F.transform(lines(F.col("text")), line_hash))).alias("line"))
+    # The text of the smallest id keeps the line: (no id, id, text) in this order.
+    once = lined.groupBy("host", "line", "copy").agg(F.min(F.coalesce("doc_id", F.lit(LAST))).alias("first"))
+    per_line = once.groupBy("host", "line").agg(F.count(F.lit(1)).alias("texts"), F.min(F.struct("first", "copy")).alias("least")).filter(F.col("texts") > least_texts)
     if least_share > 0:
-        hosts = seen.select("host", "copy").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("all_texts"))
+        hosts = docs.select("host", "copy").distinct().groupBy(F.col("host").alias("h")).agg(F.count(F.lit(1)).alias("all_texts"))
         per_line = per_line.join(hosts, per_line.host.eqNullSafe(hosts.h)).filter(F.col("texts") > F.col("all_texts") * least_share)
-    return lined, per_line.select(F.col("host").alias("_host"), F.col("line").alias("_line"))
+    return lined, per_line.select(F.col("host").alias("of_host"), F.col("line").alias("of_line"), F.col("least.copy").alias("keeper"))
 
 
 def text_lines(docs: DataFrame, least_texts: int, least_share: float) -> DataFrame:
-    """(_line_host, _line_copy, _frequent) to join documents with: the hashes of a text's own frequent lines, so no row grows
-    with a host.
+    """(line_host, line_copy, frequent) to join documents with: the hashes of a text's own frequent lines that it doesn't keep, so no
+    row grows with a host.
 
     Each join is a broadcast when the measured size is small; else a shuffle whose large partitions Spark splits.
     """
     lined, frequent = frequent_lines(docs, least_texts, least_share)
     frequent = cut_lineage(frequent)
-    same = F.col("host").eqNullSafe(F.col("_host")) & (F.col("line") == F.col("_line"))
-    small = frequent.agg(F.coalesce(F.sum(F.octet_length(F.coalesce("_host", F.lit(""))) + 64), F.lit(0))).first()[0] <= BROADCAST_BYTES
-    met = lined.join(F.broadcast(frequent), same) if small else lined.distinct().join(frequent, same)
-    found = cut_lineage(met.groupBy(F.col("host").alias("_line_host"), F.col("copy").alias("_line_copy")).agg(F.collect_set("line").alias("_frequent")))
-    held = found.agg(F.coalesce(F.sum(F.size("_frequent") * 8 + F.octet_length(F.coalesce("_line_host", F.lit(""))) + 64), F.lit(0))).first()[0]
+    same = F.col("host").eqNullSafe(F.col("of_host")) & (F.col("line") == F.col("of_line")) & (F.col("copy") != F.col("keeper"))
+    small = frequent.agg(F.coalesce(F.sum(F.octet_length(F.coalesce("of_host", F.lit(""))) + 72), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    met = lined.join(F.broadcast(frequent), same) if small else lined.select("host", "copy", "line").distinct().join(frequent, same)
+    found = cut_lineage(met.groupBy(F.col("host").alias("line_host"), F.col("copy").alias("line_copy")).agg(F.collect_set("line").alias("frequent")))
+    held = found.agg(F.coalesce(F.sum(F.size("frequent") * 8 + F.octet_length(F.coalesce("line_host", F.lit(""))) + 64), F.lit(0))).first()[0]
     return F.broadcast(found) if held <= BROADCAST_BYTES else found
 
 
-def with_frequent(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """Documents that have ``_host`` with ``_frequent``, null where no line of the text is frequent."""
-    same = F.col("_host").eqNullSafe(F.col("_line_host")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_line_copy"))
-    return docs.join(held, same, "left")
+def with_frequent(docs: DataFrame, least_texts: int, least_share: float) -> DataFrame:
+    """(row, frequent): the documents, packed in a struct so that no name can clash, with their frequent lines; null where there are
+    none."""
+    packed = docs.select(F.struct("*").alias("row"))
+    seen = packed.select(F.col("row.source").alias("host"), F.xxhash64(F.coalesce("row.text", F.lit(""))).alias("copy"), F.col("row.doc_id").cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+    held = text_lines(seen, least_texts, least_share)
+    same = F.col("row.source").eqNullSafe(F.col("line_host")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("line_copy"))
+    return packed.join(held, same, "left").select("row", "frequent")
 
 
-def verdicts(text: Column) -> dict[str, Column]:
-    """Counts, base rule, what is left of the text, and whether the document is kept; needs ``_frequent``."""
+def verdicts(text: Column) -> Column:
+    """Counts, base rule, what is left of the text, and whether the document is kept; needs ``frequent``."""
     def gone(line: Column) -> Column:
-        return F.array_contains(F.col("_frequent"), line_hash(line))
+        return F.array_contains(F.col("frequent"), line_hash(line))
 
-    some = F.size("_frequent") > 0
+    some = F.size("frequent") > 0
     # One struct, so that words and counts are computed once per row.
     made = bind(words(text), lambda found: F.struct(*(c.alias(name) for name, c in base_counts(text, found).items())))
     left = F.when(some, F.array_join(F.filter(F.split(text, "\n"), lambda s: ~gone(s)), "\n")).otherwise(text)
@@ -135,26 +140,25 @@ def verdicts(text: Column) -> dict[str, Column]:
 
         return bind(left, rest)
 
-    return {"_judged": bind(made, judge)}
+    return bind(made, judge)
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def judged(docs: DataFrame, least_texts: int = LEAST_TEXTS, least_share: float = LEAST_SHARE) -> DataFrame:
+def judged(docs: DataFrame, least_texts: int = COMMON_TEXTS, least_share: float = 0.0) -> DataFrame:
     """(doc_id, counts, base_failed, kept, text_left) for each document."""
-    narrow = docs.select("doc_id", "text", F.col("source").alias("_host"))
-    joined = with_frequent(narrow, text_lines(docs, least_texts, least_share))
-    return joined.withColumns(verdicts(F.col("text"))).select(
-        "doc_id", *(F.col(f"_judged.counts.{c}").alias(c) for c in COUNTS), F.col("_judged.failed").alias("base_failed"),
-        F.col("_judged.kept").alias("kept"), F.col("_judged.left").alias("text_left"))
+    joined = with_frequent(docs.select("doc_id", "text", "source"), least_texts, least_share)
+    return joined.select(F.col("row.doc_id").alias("doc_id"), verdicts(F.col("row.text")).alias("v")).select(
+        "doc_id", *(F.col(f"v.counts.{c}").alias(c) for c in COUNTS), F.col("v.failed").alias("base_failed"),
+        F.col("v.kept").alias("kept"), F.col("v.left").alias("text_left"))
 
 
 def kept_documents(docs: DataFrame, least_texts: int = COMMON_TEXTS, least_share: float = 0.0) -> DataFrame:
     """The documents that pass, frequent lines taken out and ``n_chars`` counted anew where a line went."""
-    joined = with_frequent(docs.withColumn("_host", F.col("source")), text_lines(docs, least_texts, least_share))
+    joined = with_frequent(docs, least_texts, least_share)
     # Exploding none or one verdict filters without computing it twice.
-    judged_once = F.explode(F.filter(F.array(verdicts(F.col("text"))["_judged"]), lambda j: j["kept"]))
-    out = joined.withColumn("_judged", judged_once)
-    named = {"text": F.col("_judged.left"), "n_chars": F.when(F.size("_frequent") > 0, F.length("_judged.left").cast("long")).otherwise(F.col("n_chars"))}
-    return out.select(*(named[c].alias(c) if c in named else F.col(f"`{c}`") for c in docs.columns))
+    judged_once = F.explode(F.filter(F.array(verdicts(F.col("row.text"))), lambda j: j["kept"]))
+    out = joined.select("row", "frequent", judged_once.alias("v"))
+    named = {"text": F.col("v.left"), "n_chars": F.when(F.size("frequent") > 0, F.length("v.left").cast("long")).otherwise(F.col("row.n_chars"))}
+    return out.select(*(named[c].alias(c) if c in named else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

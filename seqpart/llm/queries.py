@@ -177,9 +177,9 @@ words AS (SELECT DISTINCT text, list_filter(regexp_split_to_array(text, '[\x20\x
 lined AS (SELECT DISTINCT source, text, unnest(string_split(text, chr(10))) AS line FROM d),
 full_lines AS (SELECT source, text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM lined
   WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-hosts AS (SELECT source, count(DISTINCT text) AS n FROM d GROUP BY source),
-frequent AS (SELECT f.source, f.norm FROM full_lines f JOIN hosts h ON f.source IS NOT DISTINCT FROM h.source
-  GROUP BY f.source, f.norm, h.n HAVING count(DISTINCT f.text) > 200 AND count(DISTINCT f.text) > h.n * 0.10),
+firsts AS (SELECT source, text, min(doc_id) AS first FROM d GROUP BY source, text),
+frequent AS (SELECT f.source, f.norm, arg_min(f.text, h.first) AS keeper FROM full_lines f JOIN firsts h ON f.source IS NOT DISTINCT FROM h.source AND f.text = h.text
+  GROUP BY f.source, f.norm HAVING count(DISTINCT f.text) > 10),
 dup AS (SELECT text, count(*) - count(DISTINCT line) AS n FROM (SELECT text, unnest(string_split(text, chr(10))) AS line
   FROM (SELECT DISTINCT text FROM d)) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY text),
 windows AS (SELECT text, i, list_aggregate(w[i:i + 4], 'string_agg', ' ') AS g
@@ -194,7 +194,7 @@ counted AS (SELECT d.doc_id, d.source, d.text, CAST(len(words.w) AS BIGINT) AS n
 every_line AS (SELECT source, text, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM (
   SELECT source, text, unnest(string_split(text, chr(10))) AS line FROM (SELECT DISTINCT source, text FROM d))),
 cut AS (SELECT e.source, e.text, sum(len(list_filter(regexp_split_to_array(e.line, '[\x20\x09-\x0D]+'), lambda w: w <> ''))) AS gone
-  FROM every_line e JOIN frequent f ON f.source IS NOT DISTINCT FROM e.source AND f.norm = e.norm GROUP BY e.source, e.text),
+  FROM every_line e JOIN frequent f ON f.source IS NOT DISTINCT FROM e.source AND f.norm = e.norm AND f.keeper <> e.text GROUP BY e.source, e.text),
 checked AS (SELECT c.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, n_words - coalesce(cut.gone, 0) AS n_left
   FROM counted c LEFT JOIN cut ON cut.source IS NOT DISTINCT FROM c.source AND cut.text = c.text)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
