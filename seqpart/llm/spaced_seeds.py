@@ -8,8 +8,12 @@ ones every item of 8 to 12 tokens. Hits are joined with the items' hashes and th
 A bit table of fixed size tells documents' hashes that no item has; it only saves work. Long texts are cut into pieces of
 64 places with the tokens around, so no row grows with a text.
 
-Defined results: tokens are lower-cased runs of letters, digits and underscores; null texts have none; items under 8 tokens
-are never found; equal item ids or document ids are judged by each of their texts.
+Items of fewer than 8 tokens have no such windows: one hash of the whole item is looked up among the documents' windows of its
+length, and every token must agree.
+
+Defined results: tokens are lower-cased runs of letters, digits and underscores, so a clause of a script without spaces is one
+token; null texts have none; an item without tokens is never found; equal item ids or document ids are judged by each of their
+texts.
 """
 
 from __future__ import annotations
@@ -37,6 +41,8 @@ SUBSTITUTED = 0.2
 # Fixed masks: places of a window that are hashed.
 MASKS = [(0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7)]
 SHORT_MASKS = [(0, 1, 2, 4, 5), (0, 1, 3, 6, 7), (0, 1, 2, 3, 4)]
+# Items under LEAST tokens are hashed whole: the mask at place n - 1 is that of n tokens.
+WHOLE_MASKS = [tuple(range(n)) for n in range(1, LEAST)]
 PIECE = 64
 # The bit table: 2^20 words of 64 bits, 8 MB whatever the number of items.
 TABLE_BITS = 20
@@ -84,6 +90,18 @@ def _slots(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word, bits
 
 
+def masks_of(size: int) -> tuple[list[tuple[int, ...]], int]:
+    """The masks of an item of so many tokens, and the number of the first of them."""
+    if size >= WINDOW:
+        return MASKS, 0
+    return (SHORT_MASKS, len(MASKS)) if size >= LEAST else ([WHOLE_MASKS[size - 1]], len(MASKS) + len(SHORT_MASKS) + size - 1)
+
+
+def least_equal(size: int) -> int:
+    """Tokens of a window that must agree."""
+    return size - int(SUBSTITUTED * size) if size >= LEAST else size
+
+
 def item_seeds(items: DataFrame) -> DataFrame:
     """(item_id, tokens, hash, place, slot, bits): every seed of every item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,9 +109,9 @@ def item_seeds(items: DataFrame) -> DataFrame:
         for batch in batches:
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 tokens = token_hashes(text or "", known)
-                if len(tokens) < LEAST:
+                if not len(tokens):
                     continue
-                made = seed_hashes(tokens, *((MASKS, 0) if len(tokens) >= WINDOW else (SHORT_MASKS, len(MASKS))))
+                made = seed_hashes(tokens, *masks_of(len(tokens)))
                 h = np.concatenate(made)
                 place = np.concatenate([np.arange(len(m)) for m in made])
                 # A seed carries the tokens that a window around it can reach, so no row grows with an item.
@@ -109,23 +127,12 @@ def item_seeds(items: DataFrame) -> DataFrame:
         run, "item_id long, around array<long>, at long, size long, hash long, slot long, bits long")
 
 
-def skipped(items: DataFrame) -> int:
-    """How many items have fewer than LEAST tokens, so that no document is ever found to hold them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        for batch in batches:
-            short = sum(len(token_hashes(t or "", known)) < LEAST for t in batch.column(0).to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([short], pa.int64())], names=["n"])
-
-    workers_ready(items.sparkSession)
-    return items.select("text").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-
-
-def document_hits(docs: DataFrame, table: np.ndarray, short: bool) -> DataFrame:
+def document_hits(docs: DataFrame, table: np.ndarray, sizes: set[int]) -> DataFrame:
     """(doc_id, copy, start, tokens, place, hash): seeds of documents that the bit table doesn't rule out, a row for each
-    piece with the tokens around it and its hits."""
+    piece with the tokens around it and its hits. ``sizes`` are those of the items' windows, whose masks are looked up."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(table)  # of fixed size
+    kinds_of_masks = {first: masks for masks, first in map(masks_of, sizes)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, bits_of = _Hashes(), sent.value
@@ -133,7 +140,7 @@ def document_hits(docs: DataFrame, table: np.ndarray, short: bool) -> DataFrame:
             rows: list[tuple] = []
             for doc, copy, text in zip(*(c.to_pylist() for c in batch.columns)):
                 tokens = token_hashes(text or "", known)
-                found = seed_hashes(tokens, MASKS, 0) + (seed_hashes(tokens, SHORT_MASKS, len(MASKS)) if short else [])
+                found = [h for first, masks in kinds_of_masks.items() for h in seed_hashes(tokens, masks, first)]
                 places, hashes = [], []
                 for h in found:
                     word, bits = _slots(h)
@@ -169,7 +176,7 @@ def _verified(pairs: DataFrame) -> DataFrame:
                     continue
                 same = np.concatenate([[0], np.cumsum(d[here - low:here - low + n] == t[at - low:at - low + n])])
                 equal = same[size:] - same[:-size]
-                good = np.flatnonzero(equal >= size - int(SUBSTITUTED * size))
+                good = np.flatnonzero(equal >= least_equal(size))
                 if len(good):
                     out.append((doc, copy, item, int(equal[good].max()), start + here - low + int(good[0])))
             cols = list(zip(*out)) if out else [[]] * 5
@@ -182,12 +189,13 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, copy, item_id, equal, first): items that documents hold, ``copy`` hashes the document's text; most tokens of a
     window that agree, and the token at which the first such window starts."""
     seeds = cut_lineage(item_seeds(items))
-    words = seeds.groupBy("slot").agg(F.bit_or("bits").alias("bits")).collect()  # at most 2^TABLE_BITS rows
+    words = seeds.groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()  # at most 2^TABLE_BITS rows of two numbers
     bits = np.zeros(1 << TABLE_BITS, np.uint64)
-    for r in words:
-        bits[r["slot"]] = np.uint64(r["bits"] % (1 << 64))
-    short = not seeds.filter(F.col("size") < WINDOW).isEmpty()
-    hits = document_hits(docs, bits, short)
+    bits[words["slot"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    sizes = {r["size"] for r in seeds.select("size").distinct().collect()}  # at most WINDOW of them
+    if not sizes:
+        sizes = {WINDOW}
+    hits = document_hits(docs, bits, sizes)
     each = hits.select("doc_id", "copy", "start", "tokens", F.explode(F.arrays_zip("places", "hashes")).alias("h")).select(
         "doc_id", "copy", "start", "tokens", F.col("h.places").alias("place"), F.col("h.hashes").alias("hash"))
     known = seeds.select(F.col("hash").alias("seed"), "item_id", "around", "at", "size")
@@ -200,7 +208,9 @@ def found(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    held = cut_lineage(found(docs, items).select(F.col("doc_id").alias("_held_id"), F.col("copy").alias("_held_copy")).distinct())
+    held = cut_lineage(found(docs, items).select(F.col("doc_id").alias("held_id"), F.col("copy").alias("held_copy")).distinct())
     small = held.count() * 64 <= BROADCAST_BYTES
-    same = docs["doc_id"].eqNullSafe(F.col("_held_id")) & (F.xxhash64(docs["text"]) == F.col("_held_copy"))
-    return docs.join(F.broadcast(held) if small else held, same, "left_anti")
+    # The documents' own columns lie in one struct, so no name of theirs can clash.
+    packed = docs.select(F.struct("*").alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("held_id")) & (F.xxhash64("row.text") == F.col("held_copy"))
+    return packed.join(F.broadcast(held) if small else held, same, "left_anti").select("row.*")
