@@ -18,7 +18,7 @@ from .common import bind
 
 # The markers of the template.
 START, END = "<|im_start|>", "<|im_end|>"
-# Role names of other layouts and their canonical names.
+# Role names of the layout of from/value pairs and their canonical names. Other layouts keep the names they give.
 ROLE_NAMES = {"human": "user", "prompter": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 # Every field that a known layout uses; records are brought to this shape, other fields are ignored.
 RECORD = ("messages array<struct<role string, content string>>, conversations array<struct<`from` string, `value` string>>, "
@@ -31,12 +31,14 @@ TURN = "array<struct<role string, text string>>"
 class Layout:
     """Field paths of a layout and where its turns come from.
 
-    ``listed`` is (list, role field, text field); ``fixed`` lists (role, fields joined by a blank line).
+    ``listed`` is (list, role field, text field); ``fixed`` lists (role, fields joined by a blank line); ``names`` maps the
+    layout's own role names.
     """
 
     paths: tuple[str, ...]
     listed: tuple[str, str, str] | None = None
     fixed: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    names: tuple[tuple[str, str], ...] = ()
 
 
 def _pair(asked: tuple[str, ...], answer: str, system: bool) -> Layout:
@@ -46,7 +48,7 @@ def _pair(asked: tuple[str, ...], answer: str, system: bool) -> Layout:
 
 LAYOUTS = [
     Layout(("messages[].role", "messages[].content"), listed=("messages", "role", "content")),
-    Layout(("conversations[].from", "conversations[].value"), listed=("conversations", "from", "value")),
+    Layout(("conversations[].from", "conversations[].value"), listed=("conversations", "from", "value"), names=tuple(ROLE_NAMES.items())),
     *(_pair(asked, answer, system) for system in (False, True) for asked, answer in (
         (("prompt",), "completion"), (("prompt",), "response"), (("instruction",), "output"), (("instruction", "input"), "output"),
         (("instruction",), "response"), (("question",), "answer"))),
@@ -73,16 +75,16 @@ def fingerprint(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
 def canonical_turns(record: Column, layouts: list[Layout] = LAYOUTS) -> Column:
     """Turns (role, text) of a record by the mapping that its fingerprint selects; null where there is none."""
 
-    def role(name: Column) -> Column:
+    def role(name: Column, names: tuple[tuple[str, str], ...]) -> Column:
         out = name
-        for other, own in ROLE_NAMES.items():
+        for other, own in names:
             out = F.when(name == other, F.lit(own)).otherwise(out)
         return F.coalesce(out, F.lit(""))
 
     def turns(layout: Layout) -> Column:
         if layout.listed:
             items, who, what = layout.listed
-            made = F.transform(record[items], lambda e: F.struct(role(e[who]).alias("role"), F.coalesce(e[what], F.lit("")).alias("text")))
+            made = F.transform(record[items], lambda e: F.struct(role(e[who], layout.names).alias("role"), F.coalesce(e[what], F.lit("")).alias("text")))
         else:
             made = F.array(*(F.struct(F.lit(r).alias("role"), F.concat_ws("\n\n", *(record[f] for f in fields)).alias("text"))
                              for r, fields in layout.fixed))

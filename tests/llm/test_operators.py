@@ -244,9 +244,16 @@ def test_decontamination(spark, docs):
     assert left.columns == docs.columns and left.count() == df.count() - 3 and spaced_seeds.found(docs, bench.limit(0)).count() == 0
 
 
-def test_short_items_are_counted(spark):
-    items = [(1, "one two three four five six seven"), (2, None), (3, "漢字 " * 3), (4, prose(1, 8))]
-    assert spaced_seeds.skipped(spark.createDataFrame(items, "item_id long, text string").repartition(2)) == 3
+def test_short_items_are_found_whole(spark):
+    """Items under 8 tokens: every token must agree, in order, also where a clause without spaces is one token."""
+    items = [(1, "One two, three"), (2, None), (3, "漢字仮名。交じり文"), (4, "zeta"), (5, "a b c d e f g"), (6, " . "), (7, prose(8, 9))]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    rows = [(1, "say one TWO three times"), (2, "one two four three"), (3, "前 漢字仮名 交じり文 後"), (4, "漢字仮名 後 交じり文"), (5, "x a b c d e f g"), (6, "a b c d e f h"),
+            (7, "eta zeta"), (8, "zetas"), (9, None), (10, ""), (11, "one two"), (12, "one two three " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.item_id, r.equal, r.first) for r in spaced_seeds.found(df, bench).collect()}
+    assert got == {(1, 1, 3, 1), (3, 3, 2, 1), (5, 5, 7, 1), (7, 4, 1, 1), (12, 1, 3, 0)}
+    assert sorted(r.doc_id for r in spaced_seeds.clean(df, bench).collect()) == [2, 4, 6, 8, 9, 10, 11]
 
 
 @pytest.mark.parametrize("options", [{}, {"samples": 8, "overfull": 1.1}])
@@ -283,7 +290,8 @@ def test_line_rules(spark):
     got = line_rules.judged(df, 5, 0.2).collect()
     assert sorted((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in got) == sorted((i, *brute_counts(t)) for i, t, _ in rows)
     by = {r.doc_id: r for r in got}
-    assert not by[20].kept and not by[20].base_failed and by[21].base_failed and by[22].base_failed and by[0].kept and "host" not in by[0].text_left.lower()
+    assert not by[20].kept and not by[20].base_failed and by[21].base_failed and by[22].base_failed and by[1].kept and "host" not in by[1].text_left.lower()
+    assert by[0].kept and common.lower() in by[0].text_left  # the text of the smallest id keeps the line
     assert line_rules.judged(df.limit(0)).count() == 0
     kept = line_rules.kept_documents(df, 5, 0.2)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
@@ -298,8 +306,8 @@ def test_common_lines_go_on_hosts_of_every_size(spark, hosts):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("n_chars", F.length("text").cast("long"))
     got = {r.doc_id: r for r in line_rules.kept_documents(df).collect()}
     assert set(got) == {r[0] for r in rows}
-    assert all(common not in got[i].text and got[i].n_chars == len(got[i].text) for i in range(12))
-    assert all(got[i].text == t for i, t, _ in rows[12:])
+    assert all(common not in got[i].text and got[i].n_chars == len(got[i].text) for i in range(1, 12))
+    assert all(got[i].text == t for i, t, _ in [rows[0], *rows[12:]])
 
 
 def test_url_rules(spark):
@@ -328,21 +336,22 @@ def test_suffixes_are_counted_on_all_labels(spark):
 
 
 def test_layouts_become_turns(spark):
-    records = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}],"id":3}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}',
+    records = ['{"messages":[{"role":"user","content":"hi"},{"role":"assistant","content":null}],"id":3}', '{"messages":[{"role":"human","content":"x"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}',
                '{"prompt":"p","completion":"c","key":1}', '{"instruction":"do","input":"this","output":"done"}', '{"other":1}', '{"messages":"text"}', None]
     df = spark.createDataFrame([(r,) for r in records], "r string").withColumn("rec", chat_format.json_record(F.col("r")))
     got = [[tuple(t) for t in r.t] if r.t is not None else None for r in df.select(chat_format.canonical_turns(F.col("rec")).alias("t")).collect()]
-    assert got == [[("user", "hi"), ("assistant", "")], [("user", "q"), ("assistant", "a")], [("user", "p"), ("assistant", "c")], [("user", "do\n\nthis"), ("assistant", "done")], None, None, None]
+    assert got == [[("user", "hi"), ("assistant", "")], [("human", "x")], [("user", "q"), ("assistant", "a")], [("user", "p"), ("assistant", "c")], [("user", "do\n\nthis"), ("assistant", "done")], None, None, None]
 
 
 def test_formatting_is_reversible(spark):
     odd = ["", "\\", "\\\\|", "<", "<|", "<\\|", "<|im_end|>\n<|im_start|>assistant\nx", "a\\n\n", "|>", "<" + "<|" * 50, "x" * 100_000]
-    rows = [(1, n, "assistant" if n % 2 else "us\ner\\n<|", t) for n, t in enumerate(odd)] + [(2, 0, None, None), (2, 0, None, None)]
+    rows = [(1, n, "assistant" if n % 2 else "us\ner\\n<|", t) for n, t in enumerate(odd)] + [(2, 0, None, None), (2, 0, None, None), (3, 0, "human", "q"), (3, 1, "gpt", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     made = chat_format.rows_as_records(df).select("conv_id", chat_format.formatted(chat_format.canonical_turns(F.col("record"))).alias("f"))
     out = made.select("conv_id", "f", chat_format.parsed(F.col("f")).alias("t"), chat_format.loss_spans(F.col("f")).alias("spans")).collect()
     by = {r.conv_id: r for r in out}
     assert [(t.role, t.text) for t in by[1].t] == [(r, t) for _, _, r, t in rows[:len(odd)]] and [(t.role, t.text) for t in by[2].t] == [("", "")] * 2
+    assert [(t.role, t.text) for t in by[3].t] == [("human", "q"), ("gpt", "a")] and not by[3].spans  # a table's roles stand as they are
     assert [by[1].f[s.start:s.start + s.length].replace("<\\|", "<|").replace("\\\\", "\\") for s in by[1].spans[:2]] == ["\\", "<"]
 
 
