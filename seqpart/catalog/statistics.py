@@ -6,7 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
-from seqpart.functions import stats, vectors as vec
+from seqpart.functions import regions, stats, vectors as vec
+from seqpart.functions.rng import uniform
 from seqpart.operators import hits as hit_ops
 
 from . import query
@@ -176,19 +177,37 @@ def gram_matrix(spark, sf):
         F.round(F.sum(C("xa") * C("xb")), 5).alias("dot"))
 
 
-@query("x05_lcg_stream", """WITH RECURSIVE k AS (SELECT count(*) AS n FROM events), r AS (SELECT CAST(0 AS BIGINT) AS i, (CAST(1265258399 AS BIGINT) * 69069 + 1) % 4294967296 AS x
-  UNION ALL SELECT i + 1, (x * 69069 + 1) % 4294967296 FROM r WHERE i + 1 < (SELECT n FROM k)) SELECT i AS draw, x / 4294967296.0::DOUBLE AS u FROM r""")
-def lcg_stream(spark, sf):
-    from seqpart.functions.rng import lcg_draws
+@query("x05_keyed_draws", """SELECT event_id AS draw, CAST('0x' || substr(md5('42:' || event_id), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM events""")
+def keyed_draws(spark, sf):
+    """One draw per event, from the seed and the event's own id."""
+    return table(spark, sf, "events").select(C("event_id").alias("draw"), uniform(C("event_id"), 42).alias("u"))
 
-    return lcg_draws(spark, table(spark, sf, "events").count(), 42).select(C("chunk").alias("draw"), "u")
 
+_POSTERIORS = """e AS (SELECT vec_id, list_transform(embedding, lambda x: least(1.0::DOUBLE, abs(CAST(x AS DOUBLE)) * 2)) AS p FROM embeddings),
+  s AS (SELECT vec_id, generate_subscripts(p, 1) AS j, unnest(p) AS p FROM e),
+  a AS (SELECT vec_id, j, p, greatest(p - lag(p, 1, 0.0) OVER w, 0.0) AS b, greatest(p - lead(p, 1, 0.0) OVER w, 0.0) AS e FROM s WINDOW w AS (PARTITION BY vec_id ORDER BY j)),
+  m AS (SELECT vec_id, j, p >= 0.25 AS held, p - b < 0.1 AS fresh, p - e < 0.1 AS over FROM a),
+  r(vec_id, j, open, held, first, last) AS (SELECT vec_id, 0, 0, false, 0, 0 FROM e
+    UNION ALL SELECT m.vec_id, m.j, CASE WHEN r.held AND m.over THEN 0 WHEN r.held THEN r.open WHEN r.open = 0 OR m.fresh THEN m.j ELSE r.open END,
+      NOT (r.held AND m.over) AND (r.held OR m.held), CASE WHEN r.held AND m.over THEN r.open ELSE 0 END, CASE WHEN r.held AND m.over THEN m.j ELSE 0 END
+    FROM r JOIN m ON m.vec_id = r.vec_id AND m.j = r.j + 1)"""
 
-@query("x05_twister_draws")
-def twister_draws(spark, sf):
-    from seqpart.functions.rng import chunk_draws
 
-    return chunk_draws(spark, table(spark, sf, "events").count(), 42)
+def posterior_arrays(spark, sf):
+    """(vec_id, begins, ends, inside): occupancy from the components, begins and ends where it rises and falls, summed up."""
+    p = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.abs(x.cast("double")) * 2))
+    own = table(spark, sf, "embeddings").select("vec_id", p.alias("p"))
+    rise = F.transform("p", lambda x, i: F.greatest(x - F.coalesce(F.get("p", i - 1), F.lit(0.0)), F.lit(0.0)))
+    fall = F.transform("p", lambda x, i: F.greatest(x - F.coalesce(F.get("p", i + 1), F.lit(0.0)), F.lit(0.0)))
+    # Running sums: what is appended to is the sum so far.
+    summed = lambda a: F.aggregate(a, F.array(F.lit(0.0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    return own.select("vec_id", summed(rise).alias("begins"), summed(fall).alias("ends"), F.concat(F.array(F.lit(0.0)), "p").alias("inside"))
+
+
+@query("f12_regions", f"WITH RECURSIVE {_POSTERIORS} SELECT vec_id, CAST(first AS INTEGER) AS first, CAST(last AS INTEGER) AS last FROM r WHERE last > 0")
+def homology_regions(spark, sf):
+    found = posterior_arrays(spark, sf).select("vec_id", F.explode(regions.regions(C("begins"), C("ends"), C("inside"))).alias("r"))
+    return found.select("vec_id", "r.first", "r.last")
 
 
 @query("x07_reversed_sequences", f"WITH {SEQS} SELECT name, md5(reverse(seq)) AS digest FROM seqs")

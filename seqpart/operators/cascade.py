@@ -45,7 +45,7 @@ def _hit_keys(step: str, db: DataFrame, fixed: DataFrame, opts: CascadeOptions)
         back = profile_hits(fixed, db, search).select(F.col(other).alias("_key"))
         return there.unionByName(back).distinct()
     # the score is symmetric, so one pass serves both directions; E-values differ by query length
-    pairs = engines.local_pairs(fixed, db, step, opts.engine, engines.score_floor(opts.e, opts.db_residues))
+    pairs = engines.local_pairs(fixed, db, step, opts.engine, reach=(opts.e, opts.db_residues))
     d = engines.expected_hits(pairs, "n", opts.db_residues).filter(F.col("evalue") < opts.e)
     f = engines.expected_hits(pairs, "m", opts.db_residues).filter(F.col("evalue") < opts.e)
     key = F.col("t_key" if opts.remove == "db" else "q_key").alias("_key")

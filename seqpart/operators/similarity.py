@@ -2,8 +2,8 @@
 
 Stages, each a Spark stage of its own:
   1. distinct query sequences -> calibrated profiles (one row each, written once);
-  2. distinct target sequences stream past one bounded, broadcast block of profiles; pairs failing the cheap gates
-     never leave the task;
+  2. distinct target sequences, dealt to bounded blocks of profiles by one shuffle, stream past them; pairs failing the cheap
+     gates never leave the task;
   3. survivors are spread evenly again (a target with many surviving queries is cut into slices) and rescored;
   4. bits, P- and E-values, identity and the verdict are Column expressions.
 
@@ -14,7 +14,6 @@ back through the sequence key. A group of identical records therefore costs one
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -24,10 +23,11 @@ from pyspark.sql import functions as F
 from seqpart.functions import stats
 from seqpart.kernels.model import ScoreSystem, encode
 from seqpart.kernels.stages import QueryBlock, calibrate, score_pairs
+from seqpart.plans.blocks import block_count, meet
 from seqpart.plans.sizing import measured_bytes
 from seqpart.session import cut_lineage, ship_package
 
-BLOCK_RESIDUES = 8 * 1024 * 1024  # residues of one broadcast block of profiles
+BLOCK_RESIDUES = 2 * 1024 * 1024  # residues of one block of profiles, which a task holds
 SLICE = 16  # surviving queries of one target scored by one row of stage 3
 
 DOMAIN = ("d_idx int, ienv bigint, jenv bigint, iali bigint, jali bigint, hmmfrom int, hmmto int, envsc double, "
@@ -99,85 +99,72 @@ def build_profiles(queries: DataFrame, opts: SearchOptions = SearchOptions()) ->
     return cut_lineage(spread.mapInPandas(fit, PROFILE))
 
 
-def _profile_blocks(profiles: DataFrame, opts: SearchOptions):
-    """Broadcast blocks of at most ``BLOCK_RESIDUES`` residues, cut by hash so that no block can be hot."""
-    total = measured_bytes(profiles, "seq")
-    n = max(1, -(-2 * total // BLOCK_RESIDUES)) if total > BLOCK_RESIDUES else 1
-    blocked = profiles.withColumn("_block", F.pmod(F.xxhash64("q_key"), F.lit(n)))
-    sc = profiles.sparkSession.sparkContext
-    for b in range(n):
-        rows = blocked.filter(F.col("_block") == b).drop("_block").collect()  # bounded by BLOCK_RESIDUES
-        if rows:
-            params = np.array([[r.lam, r.mmu, r.vmu, r.tau] for r in rows])
-            yield sc.broadcast(([r.q_key for r in rows], [r.seq for r in rows], params))
+def _blocked(profiles: DataFrame) -> tuple[DataFrame, int]:
+    """Profiles numbered by blocks of at most ``BLOCK_RESIDUES`` residues, cut by hash so that no block can be hot."""
+    n = block_count(measured_bytes(profiles, "seq"), BLOCK_RESIDUES)
+    return profiles.select(F.pmod(F.xxhash64("q_key"), F.lit(n)).cast("int").alias("block"), F.col("q_key").alias("key"), "seq", "lam", "mmu", "vmu", "tau"), n
+
+
+HITS = "array<struct<q:int,usc:double,filt:double>>"
+PAIR = ("q_key string, t_key string, m bigint, n bigint, lam double, mmu double, vmu double, tau double, nullsc double, usc double, "
+        f"filtersc double, vfsc double, fwdsc double, domains array<struct<{DOMAIN.replace(' ', ':').replace(',:', ', ')}>>")
 
 
 def pair_scores(queries: DataFrame, targets: DataFrame, opts: SearchOptions = SearchOptions(),
                 profiles: DataFrame | None = None) -> DataFrame:
-    """Scores of every (distinct query, distinct target) pair that passes the ungapped and composition gates."""
+    """Scores of every (distinct query, distinct target) pair that passes the ungapped and composition gates.
+
+    Targets are repeated for the numbers of the profile blocks and dealt by one exchange, whatever the number of blocks; survivors,
+    cut into slices of SLICE queries, meet their block once more to be rescored.
+    """
     profiles = build_profiles(queries, opts) if profiles is None else profiles
     guard = F.when(F.length("seq") > opts.max_target, F.raise_error(F.lit("target sequence over the length limit")))
     distinct = distinct_sequences(targets.withColumn("seq", F.coalesce(guard.cast("string"), F.col("seq"))), "t_key")
-    q_residues = profiles.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    q_residues, q_rows = profiles.agg(F.coalesce(F.sum("m"), F.lit(0)), F.count(F.lit(1))).first()
+    if not q_rows:
+        raise ValueError("no query sequence to compare")
     t_residues = targets.agg(F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()[0]
-    n_tasks = _tasks(targets, float(q_residues) * t_residues, 2e10)
-    spread = distinct.repartition(n_tasks, "t_key")
+    blocks, n_blocks = _blocked(profiles)
+    parts = max(1, _tasks(targets, float(q_residues) * t_residues, 2e10) // n_blocks)
     system, f1, f2, f3, bias = opts.system, opts.f1, opts.f2, opts.f3, opts.bias
     null = stats.null_score(F.length("seq").cast("double"))
 
-    def one_block(shared) -> DataFrame:
-        def scan(frames):
-            block = QueryBlock(*shared.value, system)
-            for pdf in frames:
-                for lo in range(0, len(pdf), 256):
-                    part = pdf.iloc[lo:lo + 256]
-                    codes = [encode(s) for s in part["seq"]]
-                    hits: dict[int, list] = {}
-                    for t, q, usc, filt in block.scan(codes, f1, f2, bias):
-                        hits.setdefault(t, []).append({"q": q, "usc": usc, "filt": filt})
-                    if hits:
-                        at = sorted(hits)
-                        out = part.iloc[at][["t_key", "seq"]].copy()
-                        out["hits"] = [hits[t] for t in at]
-                        yield out
-
-        def rescore(frames):
-            block = QueryBlock(*shared.value, system)
-            for pdf in frames:
-                for lo in range(0, len(pdf), 32):
-                    part = pdf.iloc[lo:lo + 32]
-                    q, t_at, usc, filt = [], [], [], []
-                    for row, hits in enumerate(part["hits"]):
-                        for h in hits:
-                            q.append(h["q"])
-                            t_at.append(row)
-                            usc.append(h["usc"])
-                            filt.append(h["filt"])
-                    codes = [encode(s) for s in part["seq"]]
-                    scored = score_pairs(block, q, [codes[r] for r in t_at], filt, usc, f2, f3)
-                    keys, nulls, lengths = part["t_key"].tolist(), part["nullsc"].tolist(), [len(c) for c in codes]
-                    yield pd.DataFrame({
-                        "q_key": [block.keys[x] for x in q], "t_key": [keys[r] for r in t_at],
-                        "m": [len(block.codes[x]) for x in q], "n": [lengths[r] for r in t_at],
-                        "lam": block.lam[q], "mmu": block.mmu[q], "vmu": block.vmu[q], "tau": block.tau[q],
-                        "nullsc": [nulls[r] for r in t_at], "usc": usc, "filtersc": filt,
-                        "vfsc": [s[0] for s in scored], "fwdsc": [s[1] for s in scored], "domains": [s[2] for s in scored],
-                    })
-
-        hit = "array<struct<q:int,usc:double,filt:double>>"
-        survivors = spread.mapInPandas(scan, f"t_key string, seq string, hits {hit}")
-        starts = F.sequence(F.lit(0), F.floor((F.size("hits") - 1) / SLICE))
-        slices = survivors.select("t_key", "seq", null.alias("nullsc"), "hits", F.explode(starts).alias("_at")).select(
-            "t_key", "seq", "nullsc", F.slice("hits", (F.col("_at") * SLICE + 1).cast("int"), F.lit(SLICE)).alias("hits"), "_at")
-        schema = ("q_key string, t_key string, m bigint, n bigint, lam double, mmu double, vmu double, tau double, "
-                  "nullsc double, usc double, filtersc double, vfsc double, fwdsc double, "
-                  f"domains array<struct<{DOMAIN.replace(' ', ':').replace(',:', ', ')}>>")
-        return slices.repartition(n_tasks, "t_key", "_at").drop("_at").mapInPandas(rescore, schema)
-
-    blocks = [one_block(shared) for shared in _profile_blocks(profiles, opts)]
-    if not blocks:
-        raise ValueError("no query sequence to compare")
-    return reduce(DataFrame.unionByName, blocks)
+    def build(block: pd.DataFrame) -> QueryBlock:
+        return QueryBlock(block["key"].tolist(), block["seq"].tolist(), block[["lam", "mmu", "vmu", "tau"]].to_numpy(float), system)
+
+    def scan(block: QueryBlock, rows: pd.DataFrame):
+        for lo in range(0, len(rows), 256):
+            part = rows.iloc[lo:lo + 256]
+            hits: dict[int, list] = {}
+            for t, q, usc, filt in block.scan([encode(s) for s in part["seq"]], f1, f2, bias):
+                hits.setdefault(t, []).append({"q": q, "usc": usc, "filt": filt})
+            if hits:
+                out = part.iloc[sorted(hits)][["block", "key", "seq"]].copy()
+                out["hits"] = [hits[t] for t in sorted(hits)]
+                yield out
+
+    def rescore(block: QueryBlock, rows: pd.DataFrame):
+        for lo in range(0, len(rows), 32):
+            part = rows.iloc[lo:lo + 32]
+            flat = [(row, h["q"], h["usc"], h["filt"]) for row, hits in enumerate(part["hits"]) for h in hits]
+            t_at, q, usc, filt = (list(c) for c in zip(*flat))
+            codes = [encode(s) for s in part["seq"]]
+            scored = score_pairs(block, q, [codes[r] for r in t_at], filt, usc, f2, f3)
+            keys, nulls = part["key"].tolist(), part["nullsc"].tolist()
+            yield pd.DataFrame({
+                "q_key": [block.keys[x] for x in q], "t_key": [keys[r] for r in t_at], "m": [len(block.codes[x]) for x in q],
+                "n": [len(codes[r]) for r in t_at], "lam": block.lam[q], "mmu": block.mmu[q], "vmu": block.vmu[q], "tau": block.tau[q],
+                "nullsc": [nulls[r] for r in t_at], "usc": usc, "filtersc": filt, "vfsc": [s[0] for s in scored],
+                "fwdsc": [s[1] for s in scored], "domains": [s[2] for s in scored]})
+
+    part = F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int")
+    rows = distinct.select(F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"), F.col("t_key").alias("key"), "seq").withColumn("part", part)
+    survivors = meet(blocks, rows, parts, build, scan, f"block int, key string, seq string, hits {HITS}")
+    starts = F.sequence(F.lit(0), F.floor((F.size("hits") - 1) / SLICE))
+    slices = survivors.select("block", "key", "seq", null.alias("nullsc"), "hits", F.explode(starts).alias("at")).select(
+        "block", F.pmod(F.xxhash64("key", "at"), F.lit(parts)).cast("int").alias("part"), "key", "seq", "nullsc",
+        F.slice("hits", (F.col("at") * SLICE + 1).cast("int"), F.lit(SLICE)).alias("hits"))
+    return meet(blocks, slices, parts, build, rescore, PAIR)
 
 
 def content_hits(scores: DataFrame, opts: SearchOptions = SearchOptions()) -> DataFrame:

@@ -115,3 +115,17 @@ def test_id_lists(spark):
     ids = spark.createDataFrame([("A1  ",), ("b",), ("",)], "id string")
     assert [r.name for r in decisions.without_ids(records, ids, long_ids=True).collect()] == ["d"]
     assert records.select(F.count("*")).first()[0] == 3
+
+
+def test_blocks_change_nothing(spark, data, monkeypatch):
+    """Profiles and queries in many blocks give the rows of one block."""
+    q, t = data
+    def rows():
+        profile = {(r.q_key, r.t_key, round(r.usc, 6), len(r.domains or ())) for r in sim.pair_scores(q, t, sim.SearchOptions(z=100)).collect()}
+        return profile, {tuple(r) for e in "sm" for r in engines.local_pairs(q, t, e, reach=(10.0, 1e4)).collect()}
+    want = rows()
+    longest = q.selectExpr("max(length(seq))").first()[0]
+    monkeypatch.setattr(sim, "BLOCK_RESIDUES", longest * 4)
+    monkeypatch.setattr(engines, "BLOCK_BYTES", longest * 4)
+    assert sim._blocked(sim.build_profiles(q))[1] > 2
+    assert rows() == want and want[0] and want[1]
