@@ -1,4 +1,4 @@
-"""Components of similarity graphs."""
+"""Components and clades of graphs."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqpart.plans.skew import heavy_keys, salted_lookup
-from seqpart.session import cut_lineage
+from seqpart.session import cut_lineage, stored
 
 
 def single_linkage(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -47,15 +47,22 @@ def star_edges(members: DataFrame) -> DataFrame:
 
 
 def clade_sizes(parents: DataFrame) -> DataFrame:
-    """(node, size): leaves below each node of a forest (node, parent), climbing one level a round until no node is left."""
-    leaves = parents.join(parents.select(F.col("parent").alias("node")).distinct(), "node", "left_anti")
-    inner = parents.select("node", "parent")
-    frontier = leaves.select(F.col("node").alias("leaf"), F.col("parent").alias("node"))
-    reached = leaves.select(F.col("node").alias("leaf"), "node")
+    """(node, size): leaves below each node of a forest (node, parent), leaves counting themselves.
+
+    Pointer doubling: a node knows the leaves less than 2^k levels below it and its ancestor 2^k levels up. A round adds what the nodes
+    2^k levels below know and doubles the reach, so a forest of depth d takes log2(d) rounds of one row a node. Nodes with very many
+    descendants at one distance are summed before the shuffle and looked up in slices. Parents that are no node end a path.
+    """
+    inner = parents.filter("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("held", F.lit(0))
+    now = parents.join(inner, "node", "left").select(
+        "node", F.col("parent").alias("up"), F.coalesce("held", F.lit(1)).cast("bigint").alias("size"))
+    now = stored(now, "clades")
     while True:
-        frontier = cut_lineage(frontier.filter("node is not null"))
-        if frontier.isEmpty():
-            break
-        reached = reached.unionByName(frontier.select("leaf", "node"))
-        frontier = frontier.join(inner, "node").select("leaf", F.col("parent").alias("node"))
-    return reached.groupBy("node").agg(F.count("*").alias("size"))
+        moving = now.filter("up is not null")
+        if moving.isEmpty():
+            return now.select("node", "size")
+        gained = moving.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("gain"))
+        lookup = now.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        climbed = salted_lookup(moving.select("node", "up"), lookup, "up", "node").select("node", "further")
+        now = stored(now.select("node", "size").join(gained, "node", "left").join(climbed, "node", "left").select(
+            "node", F.col("further").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "clades")
