@@ -10,6 +10,8 @@ Defined results: null and empty texts give no ids; a special token's string in a
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import itertools
 import json
@@ -50,6 +52,20 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.cache
+def late_ranges() -> str:
+    """Ranges of a character class that the file's splitter takes for neither letters nor numbers. It knows them up to Unicode 16.0,
+    ``regex`` may know later ones: what neither this Python's older data nor 16.0 has counts as neither."""
+    late = []
+    for plane in range(0, sys.maxunicode + 1, 0x10000):  # a plane at a time, which bounds the memory
+        every = "".join(chr(c) for c in range(plane, plane + 0x10000) if not 0xD800 <= c < 0xE000)
+        late += [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every)
+                 if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16)]
+    starts = [c for c, before in zip(late, [None, *late]) if before is None or c != before + 1]
+    stops = [c for c, after in zip(late, [*late[1:], None]) if after is None or after != c + 1]
+    return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, stops))
+
+
 class Encoder:
     """Tables of one vocabulary file. ``spec`` is the file's content."""
 
@@ -87,15 +103,8 @@ class Encoder:
         from public_tokenizers import PATTERN
 
         self.plain = regex.compile(PATTERN)
-        # The file's splitter knows letters and numbers up to Unicode 16.0, ``regex`` may know later ones: what neither this
-        # Python's older data nor 16.0 has counts as neither.
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, sys.maxunicode + 1)]))
-        late = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", every)
-                if unicodedata.category(c) == "Cn" and not any(a <= ord(c) <= b for a, b in UNICODE_16)]
-        starts = [c for c, before in zip(late, [None, *late]) if before is None or c != before + 1]
-        stops = [c for c, after in zip(late, [*late[1:], None]) if after is None or after != c + 1]
-        self.late_ranges = "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, stops))
-        self.late = regex.compile(f"[{self.late_ranges}]") if late else None
+        self.late_ranges = late_ranges()
+        self.late = regex.compile(f"[{self.late_ranges}]") if self.late_ranges else None
         self.pattern = PATTERN
         self.exact: regex.Pattern | None = None
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
@@ -262,6 +271,13 @@ def encoder(spec: Broadcast) -> Encoder:
     return _encoders[name]
 
 
+def release() -> None:
+    """Forget the worker's encoders; the next task builds its own in under a second."""
+    _encoders.clear()
+    gc.collect()
+    give_back_memory()
+
+
 def vocabulary(df: DataFrame, path: str) -> Broadcast:
     """The vocabulary file, read on the driver and sent to the workers. Its size is that of a vocabulary, not of the data."""
     workers_ready(df.sparkSession)
@@ -321,8 +337,8 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]).astype(np.int32)), pa.array(flat))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count), lists], names=["doc_id", "n_tokens", "ids"])
         # Workers stay for stages that need their memory otherwise.
-        own.clear()
-        give_back_memory()
+        del own
+        release()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
 
