@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import oracle
@@ -363,9 +364,56 @@ def test_swaps_calm_identity_terms():
         said.append((prose(i, 15) + (" stupid" if toxic and rng.random() < 0.8 else "") + (" muslims" if toxic == (rng.random() < 0.9) else " christians"), toxic))
     rows = [toxicity.slots(t, known) for t, _ in said]
     labels = np.array([x for _, x in said], float)
-    swaps = [(i, s) for i, (t, _) in enumerate(said) for s in toxicity.swapped(t, known)]
+    swaps = sum((toxicity.swapped(t, known) for t, _ in said), Counter())
     gap = lambda m: abs(m.score(toxicity.slots("muslims", known)) - m.score(toxicity.slots("christians", known)))
-    assert gap(toxicity.learn(rows, labels, swaps, swap=20.0)) < 0.3 * gap(toxicity.learn(rows, labels, []))
+    assert gap(toxicity.learn(rows, labels, swaps, swap=20.0)) < 0.3 * gap(toxicity.learn(rows, labels, {}))
+
+
+def test_swaps_are_made_sentence_by_sentence():
+    known = toxicity._Slots(False)
+    at = lambda w: tuple(known[w])
+    text = "The women came. Men and women sang! Die Frauen lachten.\nNobody else"
+    got = toxicity.swapped(text, known)
+    # The second sentence names both of the row: swapped among themselves, nothing differs.
+    assert got == Counter({(at("women"), at("men")): 1, (at("frauen"), at("männer")): 1})
+    assert toxicity.swapped("muslims.", known).total() == 5 and not toxicity.swapped("", known) and not toxicity.swapped(text, known, [])
+    lost, gained = toxicity.planted("", known)
+    assert len(lost) == len(gained) == 1 and toxicity.planted("", known) == (lost, gained) and toxicity.planted("x", known, []) is None
+
+
+def test_swaps_spare_neutral_mentions(spark):
+    """In four languages a group is named in most toxic and few other training texts; neutral texts that name it are spared by the swaps."""
+    groups, insults = ["muslims", "juden", "noirs", "inmigrantes"], ["stupid", "dumm", "idiot", "tonto"]
+    rows = []
+    for i in range(600):
+        rng = random.Random(i)
+        kind, toxic = i % 4, i % 3 == 0
+        named = groups[kind] if rng.random() < (0.9 if toxic else 0.1) else ""
+        rows.append((i, f"{prose(i, 12)}. {prose(i + 1000, 6)} {named} {insults[kind] if toxic and rng.random() < 0.7 else ''}. {prose(i, 9)}", int(toxic)))
+    neutral = [(10_000 + i, f"{prose(i + 5000, 12)}. {groups[i % 4]} {prose(i + 7000, 8)}", 0) for i in range(80)]
+    df = spark.createDataFrame(rows + neutral, "doc_id long, text string, toxic int")
+    labels = df.filter("doc_id < 10000").select("doc_id", "toxic")
+    calm, plain = toxicity.fit(df, labels, swap=20.0), toxicity.fit(df, labels, identity=[])
+    assert calm.swaps > len(rows) and plain.swaps == 0
+    wrong = {}
+    for name, model in (("calm", calm), ("plain", plain)):
+        got = {r.doc_id: r.score for r in toxicity.scored(df, model).collect()}
+        wrong[name] = sum(got[i] >= 0.5 for i, _, _ in neutral)
+        told = [got[i] >= 0.5 for i, text, _ in rows if any(f" {w}" in text for w in insults)]
+        assert np.mean(told) > 0.9
+    assert wrong["plain"] > 40 and wrong["calm"] < 0.25 * wrong["plain"], wrong
+
+
+def test_toxicity_of_repeated_rows_and_long_texts(spark):
+    rows = [(i, prose(i, 20) + (" vile" if i % 2 else ""), i) for i in range(60)] + [(1, "another text of id 1", 9), (None, "no id", 1), (2, None, 3)]
+    rows += [(100, "women. " * 200_000 + "vile", 1), (101, "", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")  # toxic clashes with the label's name
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1), (101, 0), (1, 0), (None, 1), (3, None)], "doc_id long, toxic int")
+    a, b = toxicity.fit(df.repartition(3), labels), toxicity.fit(df.repartition(7).unionByName(df), labels.unionByName(labels))
+    assert np.allclose(a.weights, b.weights) and a.swaps == b.swaps > 200_000
+    got = toxicity.scored(df, a).collect()
+    assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
+    assert {r.doc_id: r.score for r in got}[100] >= 0.5
 
 
 def test_toxicity(spark, docs):
