@@ -1,7 +1,9 @@
-"""Components and clades of graphs."""
+"""Components and clades of graphs, sums and values along forests."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +56,39 @@ def clade_sizes(parents: DataFrame) -> DataFrame:
     descendants at one distance are summed before the shuffle and looked up in slices. Parents that are no node end a path.
     """
     inner = parents.filter("parent is not null").select(F.col("parent").alias("node")).distinct().withColumn("held", F.lit(0))
-    now = parents.join(inner, "node", "left").select(
+    start = parents.join(inner, "node", "left").select(
         "node", F.col("parent").alias("up"), F.coalesce("held", F.lit(1)).cast("bigint").alias("size"))
-    now = stored(now, "clades")
+    return clade_sums(start, ["size"])
+
+
+def clade_sums(start: DataFrame, values: list[str]) -> DataFrame:
+    """(node, values..): sums of each value over a node and all nodes below it, of a forest (node, up, values..), by pointer doubling."""
+    now = stored(start, "clades")
     while True:
         moving = now.filter("up is not null")
         if moving.isEmpty():
-            return now.select("node", "size")
-        gained = moving.groupBy(F.col("up").alias("node")).agg(F.sum("size").alias("gain"))
+            return now.select("node", *values)
+        gained = moving.groupBy(F.col("up").alias("node")).agg(*(F.sum(v).alias(f"_{v}") for v in values))
         lookup = now.select(F.col("node").alias("up"), F.col("up").alias("further"))
         climbed = salted_lookup(moving.select("node", "up"), lookup, "up", "node").select("node", "further")
-        now = stored(now.select("node", "size").join(gained, "node", "left").join(climbed, "node", "left").select(
-            "node", F.col("further").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "clades")
+        now = stored(now.drop("up").join(gained, "node", "left").join(climbed, "node", "left").select(
+            "node", F.col("further").alias("up"), *((F.col(v) + F.coalesce(f"_{v}", F.lit(0))).alias(v) for v in values)), "clades")
+
+
+def inherited(maps: DataFrame, top: DataFrame) -> DataFrame:
+    """(node, value): values handed down a forest, value = times * value of ``up`` + plus, from the roots' (node, value).
+
+    ``maps``: (node, up, times, plus). Pointer doubling: a node's map is put after that of the node it points to until it points to a
+    root, so a depth of d takes log2(d) rounds of one row a node. Nodes below no root are left out.
+    """
+    now, parts = stored(maps.select("node", "up", "times", "plus"), "maps"), [stored(top.select("node", "value"), "values")]
+    while True:
+        known = reduce(DataFrame.unionByName, parts)
+        held = stored(salted_lookup(now, known.select(F.col("node").alias("up"), "value"), "up", "node", how="left"), "maps")
+        parts.append(held.filter("value is not null").select("node", (F.col("times") * F.col("value") + F.col("plus")).alias("value")))
+        left = held.filter("value is null").drop("value")
+        if left.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+        further = now.select(F.col("node").alias("up"), F.col("up").alias("far"), F.col("times").alias("t"), F.col("plus").alias("p"))
+        now = stored(salted_lookup(left, further, "up", "node").select(
+            "node", F.col("far").alias("up"), (F.col("times") * F.col("t")).alias("times"), (F.col("times") * F.col("p") + F.col("plus")).alias("plus")), "maps")
