@@ -33,7 +33,6 @@ def _parser() -> argparse.ArgumentParser:
     for name, value in (("test_limit", 5000), ("val_limit", 5000), ("init_chunk", 1), ("seed", 42), ("resume", 0)):
         s.add_argument(f"--{name}", type=int, default=value)
     s.add_argument("--halt", type=int)
-    s.add_argument("--task_id", type=int, default=0)
     s.add_argument("--strict", action="store_true")
     for name in ("train", "test", "val"):
         s.add_argument(f"--load_{name}")
@@ -42,6 +41,9 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--db-file", required=True)
     c.add_argument("--fixed-file", required=True)
     c.add_argument("--remove", default="db", choices=("db", "fixed"))
+    for q in (f, s):
+        q.add_argument("--task_id", type=int, help="number of an array task, part of the output's name")
+        q.add_argument("--shard_id", default="", help="name of a shard, put after the task's number")
     for q in (f, s, c):
         q.add_argument("--output", required=True)
         q.add_argument("-E", type=float, default=0.01)
@@ -53,6 +55,12 @@ def _load(spark, path: str) -> DataFrame:
     return with_record_index(read_fasta(spark, path)).select("idx", "name", "descr", "seq")
 
 
+def _output(args: argparse.Namespace) -> str:
+    """Where a task writes: tasks and shards of one command never share a folder."""
+    task = args.shard_id if args.task_id is None else f"_{args.task_id}{args.shard_id}"
+    return args.output.rstrip("/") + task
+
+
 def run(argv: list[str]) -> int:
     args = _parser().parse_args(argv)
     spark = build_session("seqpart", shuffle_partitions=200)
@@ -67,10 +75,11 @@ def run(argv: list[str]) -> int:
         for frame, cap in ((q, args.qblock), (t, args.tblock)):
             if cap is not None:
                 check_capacity(frame, cap)
-        opts = sim.SearchOptions(e=args.E, z=next(v for v in (args.Z, args.tblock, 81514348.0) if v is not None), pid_low=args.plow, pid_high=args.phigh, flip=args.flip)
+        opts = sim.SearchOptions(e=args.E, z=next(v for v in (args.Z, args.tblock, 81514348.0) if v is not None), pid_low=args.plow, pid_high=args.phigh, flip=args.flip,
+                                 no_self=args.no_self)
         hits = sim.profile_hits(q, t, opts).select("q_key", "t_key", "d_idx", "pid", "ln_e", "trace_len")
-        rows = decisions.expand(hits, q, t, args.no_self) if args.all_hits else decisions.first_hits(hits, q, t, args.no_self)
-        decisions.report(args.format, q, rows).write.mode("overwrite").text(args.output)
+        rows = decisions.expand(hits, q, t, opts.no_self) if args.all_hits else decisions.first_hits(hits, q, t, opts.no_self)
+        decisions.report(args.format, q, rows).write.mode("overwrite").text(_output(args))
         return 0
     db = _load(spark, args.database)
     opts = sp.SplitOptions(args.test_limit, args.val_limit, args.init_chunk, args.seed, args.resume, args.halt, args.strict)
@@ -88,7 +97,7 @@ def run(argv: list[str]) -> int:
     keyed = everything.select("idx", sim.sequence_key(F.col("seq")).alias("key"))
     listens = keyed.join(hits.select(F.col("q_key").alias("key"), F.col("t_key").alias("hub")).distinct(), "key").select("idx", "hub")
     placed = sp.split(db, listens, keyed.select("idx", F.col("key").alias("hub")), opts, preload=preload)
-    write_fasta(db.join(placed, "idx").withColumn("task", F.lit(args.task_id)), args.output, F.col("descr"), by="split")
+    write_fasta(db.join(placed, "idx"), _output(args), F.col("descr"), by="split")
     sp.split_stats(placed, db.count()).show(truncate=False)
     return 0
 

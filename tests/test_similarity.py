@@ -64,6 +64,36 @@ def test_no_self_picks_next_copy(data, scores):
     assert got["q0"] == "t4" and got["copy"] == "q0"
 
 
+def test_a_set_filtered_with_itself(spark, data):
+    q, t = data
+    more = t.withColumn("idx", F.col("idx") + 100)
+    both = q.unionByName(more).unionByName(more.filter("name = 't3'"))  # a repeated row
+    opts = sim.SearchOptions(z=100)
+    hits = sim.cut_lineage(sim.profile_hits(both, both, opts).select("q_key", "t_key", "d_idx", "pid", "ln_e", "trace_len"))
+    pairs = [(r.q_idx, r.query, r.t_idx, r.target) for r in decisions.expand(hits, both, both).collect()]
+    for no_self in (True, False):
+        want = {}
+        for i, name, j, target in pairs:
+            if not (no_self and name == target):
+                want[i, name] = min(want.get((i, name), (j, target)), (j, target))
+        got = decisions.filter_within(both, sim.SearchOptions(z=100, no_self=no_self)).collect()
+        assert len(got) == both.count()
+        for r in got:
+            assert (r.t_idx, r.target) == want.get((r.idx, r.name), (None, None)) and (r.decision == "0") == ((r.idx, r.name) in want)
+        names = {r.name for r in got if r.decision == "1"}
+        assert {"q2", "q3", "q4", "q5", "t0", "empty", "t5"} & names == ({"q2", "q3", "q4", "q5", "t0", "empty", "t5"} if no_self else {"empty", "t5"})
+        assert not {"q0", "copy", "t1", "t3", "t4", "q1"} & names
+    with pytest.raises(ValueError, match="no query sequence"):  # as every similarity join without queries
+        decisions.filter_within(both.filter("seq = ''"), opts)
+
+
+def test_tasks_and_shards_have_their_own_output():
+    from seqpart import cli
+
+    told = lambda *more: cli._output(cli._parser().parse_args(["split", "d.fa", "--output", "out/", *more]))
+    assert [told(), told("--task_id", "0"), told("--task_id", "3", "--shard_id", "b"), told("--shard_id", "b")] == ["out", "out_0", "out_3b", "outb"]
+
+
 def test_outputs_partition_the_queries(data, scores):
     q, _ = data
     rows = _first(data, scores)
