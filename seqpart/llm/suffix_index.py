@@ -3,8 +3,9 @@
 Every window of ``length`` bytes holds one minimizer: the K bytes with the smallest hash. Only suffixes that start at a minimizer
 are indexed. Windows in a row that share a minimizer form its segment; a repeated window has the same minimizer at the same
 offset in both places, so a batch's sparse suffix array, sorted by (hash of the first K bytes, hash of the segment), brings all
-candidates together. Documents arrive in batches by id: a batch's array is merge-scanned against the levels of earlier batches,
-then joins them, and levels of equal size merge.
+candidates together. Documents arrive in batches by id: a batch's array is merge-scanned against the levels of earlier batches
+and becomes a level. Levels of equal size merge in the scan itself, which has read them anyway: what it keeps is the new level and
+the ones that it merges with, however many sizes that goes up. Shuffle files of a scan go when its output is written.
 
 A scan settles whole segments: one that stands earlier is repeated in full. Suffixes whose first K bytes meet other segments
 (borders of repeats) are settled window by window on the bytes around them. Suffixes are ordered by 64-bit hashes instead
@@ -34,7 +35,7 @@ from pyspark.sql.types import StructType
 from seqpart.plans.sizing import BROADCAST_BYTES
 
 from .bpe import ranges
-from .common import give_back_memory, partitions, shared_folder, slices, workers_ready, written
+from .common import give_back_memory, partitions, shared_folder, shuffles_dropped, slices, workers_ready, written
 
 LENGTH, K = 100, 32
 # Window starts worked on at once, which bounds memory for texts of any length.
@@ -45,7 +46,7 @@ HOT = 48
 MOST = 4096
 # Scan buckets per shuffle partition: a task holds one bucket at a time.
 BUCKETS = 4
-BATCHES = 2
+BATCHES = 4
 NO_ID = -(1 << 63)
 
 _PRIME = 0x9E3779B97F4A7C15
@@ -144,21 +145,23 @@ def later(new: np.ndarray, *spot: np.ndarray) -> np.ndarray:
     return np.logical_or.reduce([c != c[head] for c in spot])
 
 
-ROWS = "kind int, bucket int, doc long, tie long, where long, key long, old boolean, blob binary"
+ROWS = "kind int, bucket int, doc long, tie long, where long, key long, level int, blob binary"
 # Kinds of rows: entries of an array by bucket; a repeated segment; a suffix to settle by its windows, dealt by its key or, when
 # parked, by each window.
 ENTRIES, REPEATED, UNSETTLED, PARKED = range(4)
+# Where entries of a scan come from: its batch, a level that merges with it, a level that stays as it is.
+NEW, MERGING, STAYS = range(3)
 
 
 def _batch(kinds: list[tuple]) -> pa.RecordBatch:
-    """Record batch of ROWS from parts (kind, bucket, doc, tie, where, key, old, blob), columns or scalars of equal length."""
-    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+    """Record batch of ROWS from parts (kind, bucket, doc, tie, where, key, level, blob), columns or scalars of equal length."""
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
     cols: list[list[pa.Array]] = [[] for _ in types]
     for n, *values in kinds:
         for out, v, t in zip(cols, values, types):
             out.append(pa.array(v, t) if isinstance(v, (list, np.ndarray)) else pa.array([v] * n, t) if t == pa.binary() else pa.nulls(n, t) if v is None else pa.array(np.full(n, v), t))
     return pa.RecordBatch.from_arrays([pa.concat_arrays(c) if c else pa.array([], t) for c, t in zip(cols, types)],
-                                      names=["kind", "bucket", "doc", "tie", "where", "key", "old", "blob"])
+                                      names=["kind", "bucket", "doc", "tie", "where", "key", "level", "blob"])
 
 
 def chunks(docs: Iterable[tuple[int, int, bytes]], length: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -220,7 +223,7 @@ def array_of(docs: DataFrame, buckets: int, length: int, k: int, chunk: int, hot
                 for end in ends:
                     own = by[start:end]
                     blob = shut(key[own].view(np.int64), segment[own].view(np.int64), d[own], t[own], where[own])
-                    out.append((1, ENTRIES, int(bucket[own[0]]), None, None, None, None, False, [blob]))
+                    out.append((1, ENTRIES, int(bucket[own[0]]), None, None, None, None, NEW, [blob]))
                     start = end
                 yield _batch(out)
 
@@ -228,16 +231,17 @@ def array_of(docs: DataFrame, buckets: int, length: int, k: int, chunk: int, hot
 
 
 def scanned(entries: DataFrame, keep: bool) -> DataFrame:
-    """Merge-scan of a batch's entries with those of levels (``old``): rows REPEATED, UNSETTLED, PARKED, and with ``keep`` what
-    is new in the batch."""
-    def settle(bucket: int, blobs: list[tuple[bool, bytes]]) -> pa.RecordBatch:
-        parts = [(*opened(b, 5), old) for old, b in blobs]
+    """Merge-scan of a batch's entries with those of all levels: rows REPEATED, UNSETTLED, PARKED, and with ``keep`` the entries of
+    the level that the batch makes with the levels MERGING; of equal segments the first is kept."""
+    def settle(bucket: int, blobs: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        parts = [(*opened(b, 5), level) for level, b in blobs]
         key, segment, doc, tie, where = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        old = np.concatenate([np.full(len(p[0]), p[5]) for p in parts])
+        level = np.concatenate([np.full(len(p[0]), p[5], np.int8) for p in parts])
         order = np.lexsort((where, tie, doc, segment, key))
-        key, segment, doc, tie, where, old = key[order], segment[order], doc[order], tie[order], where[order], old[order]
+        key, segment, doc, tie, where, level = key[order], segment[order], doc[order], tie[order], where[order], level[order]
         new = runs(key, segment)
         mark = where < 0
+        old = level != NEW
         again = later(new, doc, tie, where) & ~mark & ~old
         out = [(int(again.sum()), REPEATED, None, doc[again], tie[again], where[again], None, None, None)]
         group = np.cumsum(runs(key)) - 1
@@ -252,26 +256,14 @@ def scanned(entries: DataFrame, keep: bool) -> DataFrame:
         unsettled = entry & ~hot & met & fresh
         out.append((int(unsettled.sum()), UNSETTLED, None, doc[unsettled], tie[unsettled], where[unsettled], key[unsettled], None, None))
         if keep:
-            own = new & ~old
-            out.append((1, ENTRIES, bucket, None, None, None, None, True, [shut(key[own], segment[own], doc[own], tie[own], where[own])]))
+            own = new & (level != STAYS)
+            out.append((1, ENTRIES, bucket, None, None, None, None, STAYS, [shut(key[own], segment[own], doc[own], tie[own], where[own])]))
         return _batch(out)
 
     return by_bucket(entries, settle)
 
 
-def merged(levels: DataFrame) -> DataFrame:
-    """One level of two: their entries sorted together, the first of equal segments kept."""
-    def join(bucket: int, blobs: list[tuple[bool, bytes]]) -> pa.RecordBatch:
-        key, segment, doc, tie, where = (np.concatenate(c) for c in zip(*(opened(b, 5) for _, b in blobs)))
-        order = np.lexsort((where, tie, doc, segment, key))
-        key, segment, doc, tie, where = key[order], segment[order], doc[order], tie[order], where[order]
-        new = runs(key, segment)
-        return _batch([(1, ENTRIES, bucket, None, None, None, None, True, [shut(key[new], segment[new], doc[new], tie[new], where[new])])])
-
-    return by_bucket(levels, join)
-
-
-def by_bucket(entries: DataFrame, work: Callable[[int, list[tuple[bool, bytes]]], pa.RecordBatch]) -> DataFrame:
+def by_bucket(entries: DataFrame, work: Callable[[int, list[tuple[int, bytes]]], pa.RecordBatch]) -> DataFrame:
     """Deal entries by bucket and work on one bucket at a time; other rows pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back_memory()
@@ -282,12 +274,12 @@ def by_bucket(entries: DataFrame, work: Callable[[int, list[tuple[bool, bytes]]]
             if len(aside):
                 yield batch.take(pa.array(aside))
             own = batch.take(pa.array(np.flatnonzero(kinds == ENTRIES)))
-            for b, old, blob in zip(*(own.column(i).to_pylist() for i in (1, 6, 7))):
+            for b, level, blob in zip(*(own.column(i).to_pylist() for i in (1, 6, 7))):
                 if b != bucket:
                     if blobs:
                         yield work(bucket, blobs)
                     bucket, blobs = b, []
-                blobs.append((old, blob))
+                blobs.append((level, blob))
         if blobs:
             yield work(bucket, blobs)
 
@@ -306,27 +298,27 @@ class SuffixIndex:
         self.found: list[DataFrame] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
-        """Scan a batch of documents, all later than those before, against the levels; unless ``last`` it becomes a level, and
-        levels of equal size (in batches) merge."""
+        """Scan a batch of documents, all later than those before, against the levels; unless ``last`` it becomes a level, together
+        with the levels of its size (in batches)."""
         self._add(identified(docs), last)
 
     def _add(self, docs: DataFrame, last: bool) -> None:
         """``add`` for documents that are ``identified`` together."""
         rows = array_of(docs, self.buckets, self.length, self.k, self.chunk, self.hot)
-        for _, level in self.levels:
-            rows = rows.unionByName(level)
+        size, stay = 1, list(self.levels)
+        while stay and stay[-1][0] == size and not last:
+            size += stay.pop()[0]
+        for i, (_, level) in enumerate(self.levels):
+            rows = rows.unionByName(level.withColumn("level", F.lit(STAYS if i < len(stay) else MERGING)))
         out = self._written(scanned(rows, keep=not last))
         self.found.append(out.filter(F.col("kind") != ENTRIES))
-        if last:
-            return
-        self.levels.append((1, out.filter(F.col("kind") == ENTRIES)))
-        while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
-            (n, a), (m, b) = self.levels.pop(), self.levels.pop()
-            self.levels.append((n + m, self._written(merged(b.unionByName(a)))))
+        if not last:
+            self.levels = [*stay, (size, out.filter(F.col("kind") == ENTRIES))]
 
     def _written(self, rows: DataFrame) -> DataFrame:
         path = shared_folder(self.spark, "suffixes")
-        rows.write.partitionBy("kind").parquet(path)
+        with shuffles_dropped(self.spark):
+            rows.write.partitionBy("kind").parquet(path)
         return self.spark.read.schema(ROWS).parquet(path).select(rows.columns)
 
     def rows(self) -> DataFrame:

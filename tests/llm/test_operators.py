@@ -185,7 +185,7 @@ def brute_repeats(rows, length):
     return out
 
 
-@pytest.mark.parametrize("options", [{}, {"batches": 4, "hot": 2, "chunk": 900}, {"batches": 3, "length": 40, "k": 12, "hot": 1, "chunk": 700}])
+@pytest.mark.parametrize("options", [{}, {"batches": 7, "hot": 2, "chunk": 900}, {"batches": 3, "length": 40, "k": 12, "hot": 1, "chunk": 700}])
 def test_repeated_bytes(spark, docs, options):
     shared = prose(9, 60)
     rows = [(i, t) for i, t in dict(texts(docs)).items()] + [(20 + i, prose(30 + i, 20) + shared[:150 + 20 * i] + prose(50 + i, 9)) for i in range(12)]
@@ -222,6 +222,27 @@ def test_levels_merge_geometrically(spark):
     for i in range(5):
         index.add(spark.createDataFrame([(i, prose(i, 100))], "doc_id long, text string"))
     assert [n for n, _ in index.levels] == [4, 1]
+    # A merged level still knows what its first and its last batch brought; what only repeats earlier text brings it nothing.
+    for level in index.levels:
+        assert level[1].filter(F.col("kind") != suffix_index.ENTRIES).count() == 0
+    index.add(spark.createDataFrame([(9, prose(0, 100)), (10, prose(3, 100)), (11, prose(4, 100)), (12, prose(77, 100))], "doc_id long, text string"))
+    assert [n for n, _ in index.levels] == [4, 2]
+    said = index.rows().filter(F.col("kind") == suffix_index.REPEATED).select("doc").distinct().collect()
+    assert {r.doc for r in said} == {9, 10, 11}
+
+
+def test_registered_batches_merge(spark, docs):
+    """With the batches of the query, levels merge before the last batch is scanned."""
+    sizes, add = [], suffix_index.SuffixIndex._add
+
+    def watched(self, part, last):
+        add(self, part, last)
+        sizes.append([n for n, _ in self.levels])
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix_index.SuffixIndex, "_add", watched)
+        assert suffix_index.digests(docs.filter("doc_id is not null")).count() > 0
+    assert sizes[:3] == [[1], [2], [2, 1]]
 
 
 def test_masks_miss_nothing():
