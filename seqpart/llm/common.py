@@ -67,6 +67,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{what}-{uuid.uuid4().hex}"
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @contextlib.contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the writes inside go when a write has ended, instead of when the driver collects garbage."""

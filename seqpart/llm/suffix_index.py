@@ -35,7 +35,7 @@ from pyspark.sql.types import StructType
 from seqpart.plans.sizing import BROADCAST_BYTES
 
 from .bpe import ranges
-from .common import give_back_memory, partitions, shared_folder, shuffles_dropped, slices, workers_ready, written
+from .common import give_back_memory, partitions, removed, shared_folder, shuffles_dropped, slices, workers_ready, written
 
 LENGTH, K = 100, 32
 # Window starts worked on at once, which bounds memory for texts of any length.
@@ -294,7 +294,7 @@ class SuffixIndex:
         workers_ready(spark)
         self.spark, self.length, self.k, self.chunk, self.hot = spark, length, k, chunk, hot
         self.buckets = BUCKETS * partitions(spark)
-        self.levels: list[tuple[int, DataFrame]] = []
+        self.levels: list[tuple[int, DataFrame, str]] = []  # size in batches, entries, their folder
         self.found: list[DataFrame] = []
 
     def add(self, docs: DataFrame, last: bool = False) -> None:
@@ -308,18 +308,27 @@ class SuffixIndex:
         size, stay = 1, list(self.levels)
         while stay and stay[-1][0] == size and not last:
             size += stay.pop()[0]
-        for i, (_, level) in enumerate(self.levels):
+        for i, (_, level, _) in enumerate(self.levels):
             rows = rows.unionByName(level.withColumn("level", F.lit(STAYS if i < len(stay) else MERGING)))
-        out = self._written(scanned(rows, keep=not last))
+        path = shared_folder(self.spark, "suffixes")
+        with shuffles_dropped(self.spark):
+            scanned(rows, keep=not last).write.partitionBy("kind").parquet(path)
+        out = self.spark.read.schema(ROWS).parquet(path).select(rows.columns)
         self.found.append(out.filter(F.col("kind") != ENTRIES))
+        gone = self.levels[len(stay):]
         if not last:
-            self.levels = [*stay, (size, out.filter(F.col("kind") == ENTRIES))]
+            self.levels = [*stay, (size, out.filter(F.col("kind") == ENTRIES), f"{path}/kind={ENTRIES}")]
+        self._drop(gone)
 
-    def _written(self, rows: DataFrame) -> DataFrame:
-        path = shared_folder(self.spark, "suffixes")
-        with shuffles_dropped(self.spark):
-            rows.write.partitionBy("kind").parquet(path)
-        return self.spark.read.schema(ROWS).parquet(path).select(rows.columns)
+    def _drop(self, levels: list[tuple[int, DataFrame, str]]) -> None:
+        """Levels that no later scan reads leave the shared folder; what scans have found stays there."""
+        for _, _, path in levels:
+            removed(self.spark, path)
+
+    def close(self) -> None:
+        """No more batches: the levels go, ``rows`` stay readable."""
+        self._drop(self.levels)
+        self.levels = []
 
     def rows(self) -> DataFrame:
         """What the scans have found: REPEATED, UNSETTLED and PARKED rows."""
@@ -471,6 +480,7 @@ def repeated(docs: DataFrame, batches: int = BATCHES, length: int = LENGTH, k: i
     parts = batches_of(known.select("id", "tie", "text"), batches)
     for i, part in enumerate(parts):
         index._add(part, last=i == len(parts) - 1)
+    index.close()
     rows, spread = index.rows(), partitions(spark)
     # Both joins read the same exchange of texts.
     texts = known.repartition(spread, "id", "tie")

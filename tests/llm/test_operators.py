@@ -221,14 +221,16 @@ def test_levels_merge_geometrically(spark):
     index = suffix_index.SuffixIndex(spark)
     for i in range(5):
         index.add(spark.createDataFrame([(i, prose(i, 100))], "doc_id long, text string"))
-    assert [n for n, _ in index.levels] == [4, 1]
+    assert [n for n, *_ in index.levels] == [4, 1]
     # A merged level still knows what its first and its last batch brought; what only repeats earlier text brings it nothing.
     for level in index.levels:
         assert level[1].filter(F.col("kind") != suffix_index.ENTRIES).count() == 0
     index.add(spark.createDataFrame([(9, prose(0, 100)), (10, prose(3, 100)), (11, prose(4, 100)), (12, prose(77, 100))], "doc_id long, text string"))
-    assert [n for n, _ in index.levels] == [4, 2]
+    assert [n for n, *_ in index.levels] == [4, 2]
     said = index.rows().filter(F.col("kind") == suffix_index.REPEATED).select("doc").distinct().collect()
     assert {r.doc for r in said} == {9, 10, 11}
+    index.close()
+    assert index.levels == [] and index.rows().count() > 0
 
 
 def test_registered_batches_merge(spark, docs):
@@ -237,7 +239,7 @@ def test_registered_batches_merge(spark, docs):
 
     def watched(self, part, last):
         add(self, part, last)
-        sizes.append([n for n, _ in self.levels])
+        sizes.append([n for n, *_ in self.levels])
 
     with pytest.MonkeyPatch.context() as m:
         m.setattr(suffix_index.SuffixIndex, "_add", watched)
