@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import aggregates, assignment, joins, kernels, projections, scans, statistics, structures, trees  # noqa: E402,F401
+from . import aggregates, assignment, chained, joins, kernels, projections, scans, statistics, structures, trees  # noqa: E402,F401
