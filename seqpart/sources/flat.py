@@ -6,9 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def entries_of(raw: DataFrame) -> DataFrame:
+    """Entries of ``value``s cut at ``//`` lines, blank ones left out; other columns are kept."""
+    rest = [c for c in raw.columns if c != "value"]
+    return raw.select(*rest, F.regexp_replace("value", "^\\s+", "").alias("entry")).filter(F.length(F.trim("entry")) > 0)
+
+
 def _entries(spark: SparkSession, path: str) -> DataFrame:
-    raw = spark.read.option("lineSep", "\n//").text(path)
-    return raw.select(F.regexp_replace("value", "^\\s+", "").alias("entry")).filter(F.length(F.trim("entry")) > 0)
+    return entries_of(spark.read.option("lineSep", "\n//").text(path))
 
 
 def _field(tag: str, rest: str = "(.*)"):
@@ -36,7 +41,8 @@ def parse_daemon(df: DataFrame) -> DataFrame:
     from .fasta import parse_records
 
     options = F.regexp_extract("entry", "^@([^\\n]*)\\n", 1)
-    return parse_records(df.select(options.alias("options"), F.regexp_replace("entry", "^@[^\\n]*\\n", "").alias("record")), "record")
+    rest = [c for c in df.columns if c != "entry"]
+    return parse_records(df.select(*rest, options.alias("options"), F.regexp_replace("entry", "^@[^\\n]*\\n", "").alias("record")), "record")
 
 
 def read_embl(spark: SparkSession, path: str) -> DataFrame:
