@@ -40,16 +40,17 @@ def identity(a: Column, b: Column, alphabet: str = "ACDEFGHIKLMNPQRSTVWYX") -> C
 
 
 def jukes_cantor(a: Column, b: Column, k: int = 20, alphabet: str = "ACDEFGHIKLMNPQRSTVWY") -> tuple[Column, Column]:
-    """Distance and variance from the share of differing aligned residues."""
+    """Distance and variance from the share of differing aligned residues; null without common residues or where too many differ."""
     both = lambda test: F.aggregate(
         F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (F.contains(F.lit(alphabet), x) & F.contains(F.lit(alphabet), y)
                                                                & (x != "") & (y != "") & test(x, y)).cast("int")),
         F.lit(0), lambda acc, v: acc + v)
     same, diff = both(lambda x, y: x == y), both(lambda x, y: x != y)
     n = same + diff
-    d = diff / n
+    d = F.try_divide(diff, n)
     x = 1.0 - d * k / (k - 1.0)
-    return -F.log(x) * (k - 1.0) / k, d * (1 - d) / (n * x * x)
+    finite = (n > 0) & (diff * k < n * (k - 1))
+    return F.when(finite, -F.log(x) * (k - 1.0) / k), F.when(finite, F.try_divide(d * (1 - d), n * x * x))
 
 
 def pairs_within(msa: DataFrame) -> DataFrame:
