@@ -10,24 +10,51 @@ GAPS = "-._~"
 PAIR_SALTS = 16
 
 
+# columns of one piece of a row, and cells that one task explodes
+BLOCK = 128
+CELLS_PER_TASK = 2_000_000
+
+
 def cells(msa: DataFrame, *keep: str) -> DataFrame:
     """One row per residue cell: (keep.., col, sym), gaps included."""
     letters = F.filter(F.split("aligned", ""), lambda c: c != "")
     return msa.select(*keep, F.posexplode(letters).alias("col", "sym"))
 
 
+def pieces(msa: DataFrame, *keep: str) -> DataFrame:
+    """Rows cut into pieces of ``BLOCK`` columns: (msa_id, keep.., block, aligned), dealt by alignment and block.
+
+    Texts are shuffled once, before any explode; aggregates on (msa_id, block, ..) then need no further shuffle, and the number of
+    tasks follows the cells, so that none explodes more of them as the input grows.
+    """
+    total = msa.agg(F.coalesce(F.sum(F.length("aligned").cast("bigint")), F.lit(0))).first()[0]
+    cores = msa.sparkSession.sparkContext.defaultParallelism
+    starts = F.explode(F.sequence(F.lit(0), F.floor((F.length("aligned") - 1) / BLOCK).cast("int"))).alias("block")
+    cut = msa.filter(F.length("aligned") > 0).select("msa_id", *keep, "aligned", starts)
+    piece = F.substring(F.col("aligned"), F.col("block") * BLOCK + 1, F.lit(BLOCK)).alias("aligned")
+    return cut.select("msa_id", *keep, "block", piece).repartition(int(min(max(cores, total // CELLS_PER_TASK), 200_000)), "msa_id", "block")
+
+
+def _counts(cut: DataFrame, *more: str) -> DataFrame:
+    """(msa_id, block, col, sym, more.., k): rows of each symbol of a column; ``col`` counts from the start of its block."""
+    return cells(cut, "msa_id", "block", *more).groupBy("msa_id", "block", "col", "sym", *more).agg(F.count("*").alias("k"))
+
+
+def _column() -> Column:
+    return (F.col("block") * BLOCK + F.col("col")).alias("col")
+
+
 def column_counts(msa: DataFrame) -> DataFrame:
-    return cells(msa, "msa_id").groupBy("msa_id", "col", "sym").agg(F.count("*").alias("k"))
+    return _counts(pieces(msa)).select("msa_id", _column(), "sym", "k")
 
 
 def consensus(msa: DataFrame, symfrac: float = 0.5) -> DataFrame:
     """Per column: residue share, consensus flag, most common residue."""
-    counts = column_counts(msa)
     gap = F.col("sym").isin(*GAPS)
-    per = counts.groupBy("msa_id", "col").agg(
+    per = _counts(pieces(msa)).groupBy("msa_id", "block", "col").agg(
         F.sum(F.when(gap, 0).otherwise(F.col("k"))).alias("residues"), F.sum("k").alias("total"),
         F.max(F.when(~gap, F.struct(F.col("k"), (-F.ascii("sym")).alias("_t"), F.col("sym")))).alias("_best"))
-    return per.select("msa_id", "col", "residues", "total", (F.col("residues") >= symfrac * F.col("total")).alias("is_consensus"), F.col("_best.sym").alias("top"))
+    return per.select("msa_id", _column(), "residues", "total", (F.col("residues") >= symfrac * F.col("total")).alias("is_consensus"), F.col("_best.sym").alias("top"))
 
 
 def identity(a: Column, b: Column, alphabet: str = "ACDEFGHIKLMNPQRSTVWYX") -> Column:
@@ -61,17 +88,27 @@ def pairs_within(msa: DataFrame) -> DataFrame:
     salts = F.explode(F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))).alias("_salt")
     l = msa.select("msa_id", F.pmod(F.xxhash64("row_idx"), F.lit(PAIR_SALTS)).cast("int").alias("_salt"), F.col("row_idx").alias("i"), F.col("aligned").alias("a"))
     r = msa.select("msa_id", salts, F.col("row_idx").alias("j"), F.col("aligned").alias("b"))
-    return l.join(r, ["msa_id", "_salt"]).filter("i < j").drop("_salt")
+    # the copies are not in Spark's estimate of the size, by which it might broadcast them
+    return l.join(r.hint("merge"), ["msa_id", "_salt"]).filter("i < j").drop("_salt")
 
 
 def position_weights(msa: DataFrame) -> DataFrame:
     """Position-based weights over all columns: each residue gives 1/(kinds * copies) of its column, divided by the
     residues of the row, scaled to the number of rows."""
-    c = cells(msa, "msa_id", "row_idx").filter(~F.col("sym").isin(*GAPS))
-    counts = c.groupBy("msa_id", "col", "sym").agg(F.count("*").alias("k"))
-    kinds = counts.groupBy("msa_id", "col").agg(F.count("*").alias("kinds"))
-    share = c.join(counts.join(kinds, ["msa_id", "col"]), ["msa_id", "col", "sym"])
-    raw = share.groupBy("msa_id", "row_idx").agg((F.sum(1.0 / (F.col("kinds") * F.col("k"))) / F.count("*")).alias("raw"))
+    cut = pieces(msa, "row_idx")
+    is_gap = lambda c: c.isin(*GAPS)
+    columns = _counts(cut).groupBy("msa_id", "block", "col").agg(F.collect_list(F.struct("sym", "k")).alias("of"))
+    kinds = F.size(F.filter("of", lambda s: ~is_gap(s["sym"])))
+    gives = F.transform("of", lambda s: F.when(is_gap(s["sym"]), 0.0).otherwise(1.0 / (kinds * s["k"])))
+    # a column has a row for gaps too, so the columns of a block follow each other without holes
+    tables = columns.select("msa_id", "block", F.struct("col", F.col("of.sym").alias("syms"), gives.alias("gives")).alias("t")).groupBy("msa_id", "block").agg(
+        F.array_sort(F.collect_list("t")).alias("table"))
+    met = cut.join(tables.hint("merge"), ["msa_id", "block"])
+    letters = F.filter(F.split("aligned", ""), lambda c: c != "")
+    shares = F.zip_with(letters, "table", lambda c, t: F.when(c.isNotNull(), F.element_at(t["gives"], F.array_position(t["syms"], c).cast("int"))).otherwise(0.0))
+    part = met.select("msa_id", "row_idx", F.aggregate(shares, F.lit(0.0), lambda a, v: a + v).alias("given"),
+                      F.length(F.regexp_replace("aligned", "[-._~]", "")).alias("residues"))
+    raw = part.groupBy("msa_id", "row_idx").agg(F.coalesce(F.try_divide(F.sum("given"), F.sum("residues")), F.lit(0.0)).alias("raw"))
     rows = msa.select("msa_id", "row_idx").join(raw, ["msa_id", "row_idx"], "left").fillna(0.0, ["raw"])
     total = rows.groupBy("msa_id").agg(F.sum("raw").alias("s"), F.count("*").alias("n"))
     return rows.join(total, "msa_id").select("msa_id", "row_idx", F.when(F.col("s") > 0, F.col("raw") / F.col("s") * F.col("n")).otherwise(1.0).alias("wgt"))
@@ -86,9 +123,17 @@ def cluster_weights(labels: DataFrame, msa_id: str = "msa_id") -> DataFrame:
 
 def keep_columns(msa: DataFrame, columns: DataFrame) -> DataFrame:
     """Alignment reduced to the listed (msa_id, col)."""
-    c = cells(msa, "msa_id", "row_idx", "name").join(columns, ["msa_id", "col"])
-    ordered = F.array_sort(F.collect_list(F.struct("col", "sym")))
-    return c.groupBy("msa_id", "row_idx", "name").agg(F.array_join(F.transform(ordered, lambda s: s["sym"]), "").alias("aligned"))
+    cut = pieces(msa, "row_idx", "name")
+    block = F.floor(F.col("col") / BLOCK).cast("int")
+    listed = columns.select("msa_id", block.alias("block"), (F.col("col") % BLOCK).cast("int").alias("col")).groupBy("msa_id", "block").agg(
+        F.array_sort(F.collect_list("col")).alias("kept"))
+    # all columns of a piece, once each: the piece stays as it is
+    whole = (F.size("kept") == F.length("aligned")) & (F.element_at("kept", -1) == F.length("aligned") - 1) & (F.size(F.array_distinct("kept")) == F.size("kept"))
+    some = F.array_join(F.transform("kept", lambda c: F.substring(F.col("aligned"), c + 1, F.lit(1))), "")
+    left = cut.join(listed.hint("merge"), ["msa_id", "block"]).select(
+        "msa_id", "row_idx", "name", F.struct("block", F.when(whole, F.col("aligned")).otherwise(some).alias("piece")).alias("p"))
+    ordered = F.array_sort(F.collect_list("p"))
+    return left.groupBy("msa_id", "row_idx", "name").agg(F.array_join(ordered["piece"], "").alias("aligned")).filter("aligned <> ''")
 
 
 def fragments(msa: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -110,9 +155,8 @@ def mean_identity(msa: DataFrame, alphabet: str = "ACDEFGHIKLMNPQRSTVWYX") -> Da
     """
     length = F.length(F.regexp_replace("aligned", f"[^{alphabet}]", ""))
     sized = msa.withColumn("n", length)
-    c = cells(sized, "msa_id", "n").filter(F.contains(F.lit(alphabet), F.col("sym")))
-    counts = c.groupBy("msa_id", "col", "sym", "n").agg(F.count("*").alias("k"))
-    longer = Window.partitionBy("msa_id", "col", "sym").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = _counts(pieces(sized, "n"), "n").filter(F.contains(F.lit(alphabet), F.col("sym")))
+    longer = Window.partitionBy("msa_id", "block", "col", "sym").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)
     met = F.coalesce(F.sum("k").over(longer), F.lit(0)) + (F.col("k") - 1) / 2
     total = counts.withColumn("part", F.col("k") * met / F.col("n")).groupBy("msa_id").agg(F.sum("part").alias("s"))
     rows = msa.groupBy("msa_id").agg(F.count("*").alias("r")).filter("r > 1")
