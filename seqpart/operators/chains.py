@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqpart.operators.seeds import kmers_met
 from seqpart.operators.windows import kmers
 from seqpart.plans.sizing import maybe_broadcast, spread_by
 
@@ -22,7 +23,8 @@ def match_starts(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
             F.col("idx").alias(f"{side}_idx"), F.col("pos").alias(f"{side}_pos"),
             F.substring("kmer", 1, 1).alias(f"{side}_ahead"), F.substring("kmer", 2, k).alias("kmer"))
 
-    q, t = spots(queries, "q", "<"), spots(targets, "t", ">")
+    t = spots(targets, "t", ">")
+    q = kmers_met(queries, targets, k).select(F.col("idx").alias("q_idx"), F.col("pos").alias("q_pos"), F.col("ahead").alias("q_ahead"), "kmer")
     return q.join(maybe_broadcast(t, ["kmer"]), "kmer").filter("q_ahead <> t_ahead").select("q_idx", "t_idx", "q_pos", "t_pos")
 
 
