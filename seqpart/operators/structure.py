@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seqpart.plans.sizing import spread_by
+
+# positions that one task explodes
+POSITIONS_PER_TASK = 2_000_000
 # Brackets of the nested pairs, of which each kind closes its own, and marks of unpaired positions. Capital letters open and
 # small ones close the pairs of their own stack.
 OPENING, CLOSING = "<([{", ">)]}"
@@ -17,7 +21,9 @@ def brackets(structures: DataFrame) -> DataFrame:
     """(id, pos, sym, stack, up, level): a row per paired position from 1; ``stack`` is '' or the pair's capital letter, ``up`` 1 where it
     opens and -1 where it closes, ``level`` how many pairs of its stack enclose it, itself included, as far as opened so far."""
     sym = F.col("sym")
-    cell = structures.select("id", F.posexplode(F.split("ss", "")).alias("pos", "sym")).filter(F.length(sym) > 0)
+    # Strings are dealt by id before the explode: the windows over an id's brackets, and what follows them by id, shuffle no positions.
+    dealt = spread_by(structures.select("id", "ss"), F.col("id"), F.length("ss"), POSITIONS_PER_TASK)
+    cell = dealt.select("id", F.posexplode(F.split("ss", "")).alias("pos", "sym")).filter(F.length(sym) > 0)
     opens = F.contains(F.lit(OPENING + CAPITALS), sym)
     marked = cell.filter(opens | F.contains(F.lit(CLOSING + SMALL), sym)).select(
         "id", (F.col("pos") + 1).alias("pos"), "sym", F.when(F.contains(F.lit(CAPITALS + SMALL), sym), F.upper(sym)).otherwise("").alias("stack"),

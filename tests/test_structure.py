@@ -49,3 +49,11 @@ def test_pairs_validity_and_forms(spark):
     back = sound.select("id", structure.turned(structure.turned(F.col("ss"))).alias("twice"), structure.turned(F.col("ss")).alias("ss"),
                         structure.from_old_form(structure.old_form(structure.nested_only(F.col("ss")))).alias("old"))
     assert all(r.twice == said[r.id] and stacked(r.ss) is not None and stacked(r.old) is not None for r in back.collect())
+
+
+def test_strings_are_dealt_before_the_explode(spark):
+    """One shuffle, of strings: none lies between the explode and the windows."""
+    df = spark.createDataFrame([(1, "<A>a"), (2, "<>")], "id long, ss string")
+    plan = structure._met(structure.brackets(df))._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate posexplode")]
+    assert "Exchange" not in above and above.count("Window") >= 2
