@@ -159,3 +159,16 @@ def test_blocks_change_nothing(spark, data, monkeypatch):
     monkeypatch.setattr(engines, "BLOCK_BYTES", longest * 4)
     assert sim._blocked(sim.build_profiles(q))[1] > 2
     assert rows() == want and want[0] and want[1]
+
+
+def test_pairs_are_counted_by_gate_without_envelopes(data, scores):
+    opts = sim.SearchOptions(z=100)
+    bare = sim.cut_lineage(sim.pair_scores(*data, opts, gates_only=True))
+    assert bare.filter(F.size("domains") > 0).count() == 0
+    assert sorted(sim.stage_counts(bare, opts).collect()) == sorted(sim.stage_counts(scores, opts).collect())
+
+
+def test_parts_are_many_enough_for_hashed_tasks(data):
+    cores = data[1].sparkSession.sparkContext.defaultParallelism
+    assert sim._parts(data[1], 3e11, 9_000_000, 1) == sim.PARTS * cores
+    assert sim._parts(data[1], 1e6, 500, 1) == 1
