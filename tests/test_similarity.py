@@ -172,3 +172,22 @@ def test_parts_are_many_enough_for_hashed_tasks(data):
     cores = data[1].sparkSession.sparkContext.defaultParallelism
     assert sim._parts(data[1], 3e11, 9_000_000, 1) == sim.PARTS * cores
     assert sim._parts(data[1], 1e6, 500, 1) == 1
+
+
+def test_earliest_hits_by_rounds_are_those_of_all_hits(spark):
+    rng = np.random.default_rng(5)
+    new = lambda n: "".join(rng.choice(LETTERS, n))
+    base = [new(60) for _ in range(5)]
+    q = spark.createDataFrame([(i, f"q{i}", s) for i, s in enumerate(base)], "idx bigint, name string, seq string")
+    seqs = [new(50) for _ in range(300)]
+    for at, b in ((2, 0), (40, 1), (41, 0), (150, 1), (151, 2), (299, 3), (7, 3)):
+        seqs[at] = new(10) + base[b] + new(10)
+    seqs[298] = seqs[2]
+    rows = [(i if i != 7 else None, f"t{i}", s) for i, s in enumerate(seqs)]
+    t = spark.createDataFrame(rows, "idx bigint, name string, seq string")
+    opts, cols = sim.SearchOptions(z=100), ["q_key", "t_key", "d_idx", "pid", "ln_e", "trace_len"]
+    early = sim.earliest_hits(q, t, opts).select(*cols)
+    every = sim.cut_lineage(sim.profile_hits(q, t, opts).select(*cols))
+    assert 0 < early.count() < every.count()
+    first = lambda hits: sorted(map(str, decisions.first_hits(hits, q, t).collect()))
+    assert first(early) == first(every) and len(first(early)) == 4
