@@ -35,7 +35,7 @@ WORDS_AT_ONCE = 100_000
 # Words kept with their ids; beyond, the store starts anew.
 STORED_WORDS = 250_000
 # Pairs of tokens whose compatibility is remembered.
-STORED_PAIRS = 100_000
+STORED_PAIRS = 400_000
 
 # Ranges of letters and numbers that Unicode 16.0 added, as the splitter knows them.
 UNICODE_16 = [
@@ -99,7 +99,9 @@ class Encoder:
         lengths = np.fromiter(map(len, self.token), np.int64, size)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.lengths = lengths.tolist()
+        self.pairs: dict[int, bool] = {}  # by first id, shifted by 32 bits, and second
+        self.edges: tuple[dict, dict] = ({}, {})
         from public_tokenizers import PATTERN
 
         self.plain = regex.compile(PATTERN)
@@ -114,24 +116,32 @@ class Encoder:
 
     def _edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens that stand at one edge of ``token`` while it is merged, with the rank at which each is taken up."""
-        out: list[tuple[int, float]] = [(token, float("inf"))]
-        while token in self.made:
-            step = self.made[token]
-            token = step[side]
-            out.append((token, step[2]))
-        return out
+        known = self.edges[side].get(token)
+        if known is None:
+            known, at = [(token, float("inf"))], token
+            while at in self.made:
+                step = self.made[at]
+                at = step[side]
+                known.append((at, step[2]))
+            self.edges[side][token] = known
+        return known
 
     def compatible(self, a: int, b: int) -> bool:
         """No merge crosses the border of ``a`` and ``b``. Of equal ranks the left pair is merged first."""
-        known = self.pairs.get((a, b))
+        known = self.pairs.get(a << 32 | b)
         if known is None:
-            right = self._edge(b, 0)
-            known = not any(
-                (r := self.rank.get((x, y))) is not None and r < taken_x and r <= taken_y
-                for x, taken_x in self._edge(a, 1) for y, taken_y in right)
+            known, rank, right = True, self.rank, self._edge(b, 0)
+            for x, taken_x in self._edge(a, 1):
+                for y, taken_y in right:
+                    r = rank.get((x, y))
+                    if r is not None and r < taken_x and r <= taken_y:
+                        known = False
+                        break
+                if not known:
+                    break
             if len(self.pairs) > STORED_PAIRS:
                 self.pairs.clear()
-            self.pairs[a, b] = known
+            self.pairs[a << 32 | b] = known
         return known
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -139,25 +149,32 @@ class Encoder:
         if whole is not None:  # the longest token at the first place, with nothing before it
             return [whole]
         n = len(word)
-        longest, reach = [-1] * n, [0] * n
+        longest = [-1] * n
+        # matches come by their end, so the last one of a place is its longest
         for end, (i, size) in self.automaton.iter(word.decode("latin-1")):
-            start = end + 1 - size
-            if size > reach[start]:
-                longest[start], reach[start] = i, size
+            longest[end + 1 - size] = i
+        lengths, shorter, known = self.lengths, self.shorter, self.pairs
         dead = bytearray(n + 1)
         out: list[int] = []
-        at, token = 0, longest[0] if n else -1
+        at, token, before = 0, longest[0] if n else -1, -1
         while at < n:
-            end = at + len(self.token[token])
-            if not dead[end] and (not out or self.compatible(out[-1], token)):
-                out.append(token)
-                at, token = end, longest[end] if end < n else -1
-            elif self.shorter[token] >= 0:
-                token = self.shorter[token]
+            end = at + lengths[token]
+            if not dead[end]:
+                fits = before < 0 or known.get(before << 32 | token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                if fits:
+                    out.append(token)
+                    before = token
+                    at, token = end, longest[end] if end < n else -1
+                    continue
+            if shorter[token] >= 0:
+                token = shorter[token]
             else:
                 dead[at] = 1
                 token = out.pop()
-                at -= len(self.token[token])
+                before = out[-1] if out else -1
+                at -= lengths[token]
         return out
 
     # --- many words -----------------------------------------------------------------------------------------------
