@@ -191,3 +191,17 @@ def test_earliest_hits_by_rounds_are_those_of_all_hits(spark):
     assert 0 < early.count() < every.count()
     first = lambda hits: sorted(map(str, decisions.first_hits(hits, q, t).collect()))
     assert first(early) == first(every) and len(first(early)) == 4
+
+
+def test_tasks_of_seeded_alignment_follow_the_candidates(spark, monkeypatch):
+    asked = []
+    tasks = engines._tasks
+    monkeypatch.setattr(engines, "_tasks", lambda df, work, each: asked.append(work / each) or tasks(df, work, each))
+    text = "".join(np.random.default_rng(4).choice(LETTERS, 60_000))
+    q = spark.createDataFrame([(0, "q", text[:60]), (1, "long", text[::-1])], "idx bigint, name string, seq string")
+    t = spark.createDataFrame([(i, f"t{i}", text[:40] + text[i * 5000:(i + 1) * 5000]) for i in range(1, 12)], "idx bigint, name string, seq string")
+    got = engines.local_pairs(q.filter("idx = 0"), t, "m", engines.EngineOptions(kmer=12, kmer_shared=3), 50).collect()
+    assert len(got) == 11 and min(r.score for r in got) > 100
+    engines.local_pairs(q, t, "m", engines.EngineOptions(kmer=12, kmer_shared=3), 50)
+    everything = 60_060 * t.agg(F.sum(F.length("seq"))).first()[0] / 2e9
+    assert asked[-1] < everything * 0.9
