@@ -1,6 +1,7 @@
 """Byte-pair encoding by backtracking, and decoding by an offset table.
 
-An Aho-Corasick automaton finds the longest token at each place of a word. The encoder walks the word with longest tokens;
+An Aho-Corasick automaton finds the longest token at each place of a word (tokens of one and two bytes are looked up in tables, and
+new words are put together many at a time, each making one step at a time). The encoder walks the word with longest tokens;
 a token stands only if it is compatible with the one before, that is if their bytes merged alone would give just these two.
 Where none fits it steps back and marks the place as dead, so each place is left at most once and time is linear. The
 result is that of the merges themselves.
@@ -15,6 +16,7 @@ import gc
 import hashlib
 import itertools
 import json
+import re
 import sys
 import unicodedata
 from array import array
@@ -34,8 +36,15 @@ from .common import give_back_memory, slices, workers_ready
 WORDS_AT_ONCE = 100_000
 # Words kept with their ids; beyond, the store starts anew.
 STORED_WORDS = 250_000
-# Pairs of tokens whose compatibility is remembered.
+# Pairs of tokens whose compatibility is remembered, and places of the table that answers for many pairs at once (a power of two).
 STORED_PAIRS = 400_000
+PAIR_PLACES = 1 << 19
+# New words up to so many bytes are encoded so many at a time; longer ones, which would hold up the others, by themselves.
+SHORT_WORD = 64
+WORDS_TOGETHER = 20_000
+MATCHES_AT_ONCE = 1_000_000
+# A character that is no byte: no token reaches across it.
+BORDER = "\u0100"
 
 # Ranges of letters and numbers that Unicode 16.0 added, as the splitter knows them.
 UNICODE_16 = [
@@ -66,6 +75,28 @@ def late_ranges() -> str:
     return "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in zip(starts, stops))
 
 
+@functools.cache
+def latin_class(kind: str) -> str:
+    """The Latin-1 characters of a character class that ``regex`` knows, as the inside of a class of ``re``."""
+    return "".join(f"\\x{ord(c):02x}" for c in regex.findall(kind, "".join(map(chr, range(256)))))
+
+
+def latin_splitter(pattern: str) -> re.Pattern:
+    """The pattern for texts of Latin-1 characters, which ``re`` splits in half the time; its classes are those of ``regex``."""
+    space, letters, numbers = (latin_class(kind) for kind in (r"\s", r"\p{L}", r"\p{N}"))
+    return re.compile(
+        pattern.replace(r"[^\s\p{L}\p{N}]", f"[^{space}{letters}{numbers}]").replace(r"\p{L}", f"[{letters}]").replace(
+            r"\p{N}", f"[{numbers}]").replace(r"\S", f"[^{space}]").replace(r"\s", f"[{space}]"))
+
+
+class Numbers(dict):
+    """Words and their numbers; a new word gets the next one when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        at = self[word] = len(self)
+        return at
+
+
 class Encoder:
     """Tables of one vocabulary file. ``spec`` is the file's content."""
 
@@ -83,28 +114,42 @@ class Encoder:
         self.id_of = {self.token[i]: i for i in vocab.values()}
         # rank of a merge of two ids; what a token was merged from, and when
         self.rank: dict[tuple[int, int], int] = {}
+        self.merges_of: dict[int, dict[int, int]] = {}  # the same by left id
         self.made: dict[int, tuple[int, int, int]] = {}
         for r, merge in enumerate(said["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.rank[a, b] = r
+            self.merges_of.setdefault(a, {})[b] = r
             self.made[c] = (a, b, r)
         self.shorter = [-1] * size
-        self.automaton = ahocorasick.Automaton()
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        # tokens of one and of two bytes, which are looked up
+        self.one, self.two = np.full(1 << 8, -1, np.int32), np.full(1 << 16, -1, np.int32)
         for i in vocab.values():
             t = self.token[i]
-            self.automaton.add_word(t.decode("latin-1"), (i, len(t)))
+            if len(t) > 2:
+                self.automaton.add_word(t.decode("latin-1"), i)
+            elif t:
+                (self.one if len(t) == 1 else self.two)[int.from_bytes(t)] = i
             self.shorter[i] = next((self.id_of[t[:n]] for n in range(len(t) - 1, 0, -1) if t[:n] in self.id_of), -1)
         self.automaton.make_automaton()
         lengths = np.fromiter(map(len, self.token), np.int64, size)
         self.offsets = np.concatenate([[0], np.cumsum(lengths)])
         self.bytes = np.frombuffer(b"".join(self.token), np.uint8)
         self.lengths = lengths.tolist()
+        self.size_of, self.shorter_of = lengths, np.array(self.shorter)  # the same for many words at once
+        digits = [f"{i}," for i in range(size)]
+        self.digit_offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, digits), np.int64, size))])
+        self.digits = np.frombuffer("".join(digits).encode(), np.uint8)
         self.pairs: dict[int, bool] = {}  # by first id, shifted by 32 bits, and second
+        self.pair_at = np.full(PAIR_PLACES, -1)  # pairs by place, the last one that asked; whether they are compatible
+        self.pair_fits = np.zeros(PAIR_PLACES, bool)
         self.edges: tuple[dict, dict] = ({}, {})
         from public_tokenizers import PATTERN
 
         self.plain = regex.compile(PATTERN)
+        self.latin = latin_splitter(PATTERN)
         self.late_ranges = late_ranges()
         self.late = regex.compile(f"[{self.late_ranges}]") if self.late_ranges else None
         self.pattern = PATTERN
@@ -130,10 +175,11 @@ class Encoder:
         """No merge crosses the border of ``a`` and ``b``. Of equal ranks the left pair is merged first."""
         known = self.pairs.get(a << 32 | b)
         if known is None:
-            known, rank, right = True, self.rank, self._edge(b, 0)
+            known, right = True, self._edge(b, 0)
             for x, taken_x in self._edge(a, 1):
-                for y, taken_y in right:
-                    r = rank.get((x, y))
+                follow = self.merges_of.get(x)
+                for y, taken_y in right if follow else ():
+                    r = follow.get(y)
                     if r is not None and r < taken_x and r <= taken_y:
                         known = False
                         break
@@ -149,10 +195,7 @@ class Encoder:
         if whole is not None:  # the longest token at the first place, with nothing before it
             return [whole]
         n = len(word)
-        longest = [-1] * n
-        # matches come by their end, so the last one of a place is its longest
-        for end, (i, size) in self.automaton.iter(word.decode("latin-1")):
-            longest[end + 1 - size] = i
+        longest = memoryview(self.longest([word])[0])
         lengths, shorter, known = self.lengths, self.shorter, self.pairs
         dead = bytearray(n + 1)
         out: list[int] = []
@@ -179,26 +222,109 @@ class Encoder:
 
     # --- many words -----------------------------------------------------------------------------------------------
 
+    def compatible_pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``compatible`` for many pairs."""
+        a, b = a.astype(np.int64), b.astype(np.int64)
+        pair = a << 32 | b
+        place = (a * 40503 + b) & (PAIR_PLACES - 1)
+        fits = self.pair_fits[place]
+        missing = np.flatnonzero(self.pair_at[place] != pair)
+        if len(missing):
+            asked, which = np.unique(pair[missing], return_inverse=True)
+            told = np.fromiter((self.compatible(x >> 32, x & 0xFFFFFFFF) for x in asked.tolist()), bool, len(asked))
+            fits[missing] = told[which]
+            # of pairs that share a place one stays, with its own answer
+            place = place[missing]
+            self.pair_at[place] = pair[missing]
+            same = self.pair_at[place] == pair[missing]
+            self.pair_fits[place[same]] = fits[missing][same]
+        return fits
+
+    def longest(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(longest token at each byte of the words, -1 at the border after each word, place of each border)."""
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        raw = np.frombuffer(b"\0".join(words) + b"\0\0", np.uint8)
+        two = self.two[raw[:-1].astype(np.uint16) << 8 | raw[1:]]
+        two[ends - 1] = -1  # these would take in the border
+        found = np.where(two < 0, self.one[raw[:-1]], two)
+        text = BORDER.join([w.decode("latin-1") for w in words])
+        said = itertools.chain.from_iterable(self.automaton.iter(text) if len(self.automaton) else ())
+        # matches come by their end, so the last one of a place is its longest
+        while len(matches := np.fromiter(itertools.islice(said, 2 * MATCHES_AT_ONCE), np.int64).reshape(-1, 2)):
+            found[matches[:, 0] + 1 - self.size_of[matches[:, 1]]] = matches[:, 1]
+        found[ends] = -1
+        if np.count_nonzero(found < 0) > len(ends):
+            raise ValueError("the vocabulary lacks tokens of single bytes")
+        return found, ends
+
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids one after the other, number of ids of each word): ``encode_word`` for many words, each making one step at a time.
+        Places are those of the words' bytes put together, with a border after each word."""
+        longest, ends = self.longest(words)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        # token that stands at a place, and the place of the token before it
+        taken, previous, dead = np.full(len(longest), -1), np.full(len(longest), -1), np.zeros(len(longest), bool)
+        last_of = np.full(len(words), -1)
+        going = np.flatnonzero(starts < ends)
+        at, last = starts[going], np.full(len(going), -1)
+        token = longest[at]
+        while len(going):
+            end = at + self.size_of[token]
+            fits = ~dead[end]
+            asks = np.flatnonzero(fits & (last >= 0))
+            fits[asks] = self.compatible_pairs(taken[last[asks]], token[asks])
+            yes = np.flatnonzero(fits)
+            place = at[yes]
+            taken[place], previous[place] = token[yes], last[yes]
+            last[yes], at[yes] = place, end[yes]
+            token[yes] = longest[end[yes]]
+            no = np.flatnonzero(~fits)
+            token_no = self.shorter_of[token[no]]
+            back = no[token_no < 0]
+            token[no] = token_no
+            if len(back):
+                dead[at[back]] = True
+                if (last[back] < 0).any():
+                    raise ValueError("the vocabulary's tokens do not make up every word")
+                at[back] = last[back]
+                token[back], last[back] = taken[at[back]], previous[at[back]]
+            done = at == ends[going]
+            if done.any():
+                last_of[going[done]] = last[done]
+                stay = ~done
+                going, at, token, last = going[stay], at[stay], token[stay], last[stay]
+        # back from the last tokens
+        stands, count = np.zeros(len(longest), bool), np.zeros(len(words), np.int64)
+        going = np.flatnonzero(last_of >= 0)
+        at = last_of[going]
+        while len(going):
+            stands[at] = True
+            count[going] += 1
+            at = previous[at]
+            going, at = going[at >= 0], at[at >= 0]
+        return taken[stands], count
+
     def clear(self) -> None:
         """Forget stored words. Entry i of ``starts`` is stored word i, its ids lie in ``flat``."""
-        self.store: dict[str, int] = {}
+        self.store = Numbers()
         self.flat = array("i")
         self.starts = array("i", [0])
-        self.said: list[str] = []  # decimal ids of the stored words, made when they are first asked for
 
-    def _add(self, word: str) -> int:
-        ids = [self.special[word]] if word in self.special else self.encode_word(word.encode())
-        at = self.store[word] = len(self.starts) - 1
-        self.flat.extend(ids)
-        self.starts.append(len(self.flat))
-        return at
-
-    def decimal(self, numbers: np.ndarray) -> list[str]:
-        """Decimal ids, joined by commas, of stored words."""
-        for i in range(len(self.said), len(self.starts) - 1):
-            self.said.append(",".join(map(str, self.flat[self.starts[i]:self.starts[i + 1]])))
-        said = self.said
-        return [said[i] for i in numbers.tolist()]
+    def _add(self, words: list[str]) -> None:
+        """Store the ids of new words, in this order."""
+        for first in range(0, len(words), WORDS_TOGETHER):
+            some = words[first:first + WORDS_TOGETHER]
+            raw = [w.encode() for w in some]
+            alone = {k: [self.special[w]] if w in self.special else self.encode_word(r)
+                     for k, (w, r) in enumerate(zip(some, raw)) if len(r) > SHORT_WORD or w in self.special}
+            ids, count = self.encode_words([b"" if k in alone else r for k, r in enumerate(raw)])
+            if alone:
+                cuts = np.concatenate([[0], np.cumsum(count)]).tolist()
+                ids = np.concatenate([np.array(alone[k]) if k in alone else ids[cuts[k]:cuts[k + 1]] for k in range(len(some))])
+                count[list(alone)] = list(map(len, alone.values()))
+            stops = len(self.flat) + np.cumsum(count)
+            self.flat.frombytes(ids.astype(np.int32).tobytes())
+            self.starts.frombytes(stops.astype(np.int32).tobytes())
 
     def words(self, text: str) -> Iterator[str]:
         """The text's words in order; strings of special tokens stand by themselves."""
@@ -216,10 +342,10 @@ class Encoder:
 
         return parts()
 
-    def splitter(self, text: str) -> regex.Pattern:
+    def splitter(self, text: str) -> re.Pattern | regex.Pattern:
         try:
             text.encode("latin-1")
-            return self.plain
+            return self.latin
         except UnicodeEncodeError:
             if self.late is None or not self.late.search(text):
                 return self.plain
@@ -231,11 +357,15 @@ class Encoder:
             return self.exact
 
     def numbered(self, words: list[str]) -> np.ndarray:
-        """Stored numbers of words; new ones are encoded first."""
-        store, add = self.store, self._add
-        for w in set(words).difference(store):
-            add(w)
-        return np.fromiter(map(store.__getitem__, words), np.int64, len(words))
+        """Stored numbers of words; new ones are encoded."""
+        store, before = self.store, len(self.store)
+        at = np.fromiter(map(store.__getitem__, words), np.int64, len(words))
+        try:
+            self._add(list(itertools.islice(reversed(store), len(store) - before))[::-1])
+        except BaseException:
+            self.clear()  # these words have numbers, but no ids
+            raise
+        return at
 
     def parts(self, texts: Iterable[str]) -> Iterator[tuple[list[str], np.ndarray]]:
         """(words, number of the text each belongs to) in parts of bounded size."""
@@ -252,22 +382,30 @@ class Encoder:
         if words:
             yield words, np.concatenate(owners)
 
-    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """(ids, text number of each id, stored number of each word, text number of each word) in parts, in order."""
+    def encoded(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids, text number of each id) in parts, in order."""
         for words, owner in self.parts(texts):
             if len(self.store) > STORED_WORDS:
                 self.clear()
             at = self.numbered(words)
             starts = np.array(self.starts)
             sizes = starts[at + 1] - starts[at]
-            ids = np.array(self.flat)[ranges(starts[at].astype(np.int64), sizes)]
-            yield ids, np.repeat(owner, sizes), at, owner
+            yield np.array(self.flat)[ranges(starts[at].astype(np.int64), sizes)], np.repeat(owner, sizes)
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(bytes of the tokens one after the other, end of each token)."""
-        starts = self.offsets[ids]
-        sizes = self.offsets[ids + 1] - starts
-        return self.bytes[ranges(starts, sizes)], np.cumsum(sizes)
+        return strung(self.bytes, self.offsets, ids)
+
+    def decimal(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(digits of the ids one after the other, a comma after each, end of each id)."""
+        return strung(self.digits, self.digit_offsets, ids)
+
+
+def strung(pieces: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the pieces asked for, one after the other, end of each); piece i lies from offset i to the next."""
+    starts = offsets[which]
+    sizes = offsets[which + 1] - starts
+    return pieces[ranges(starts, sizes)], np.cumsum(sizes)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -317,20 +455,18 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
             n = len(texts)
             count = np.zeros(n, np.int64)
             ids_sha, text_sha = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
-            for ids, owner, numbers, word_owner in own.encoded(texts):
-                said = own.decimal(numbers)
-                raw, ends = own.decode(ids)
-                first, last = int(word_owner[0]), int(word_owner[-1])
-                word_cut = np.searchsorted(word_owner, np.arange(first, last + 2)).tolist()
-                id_cut = np.searchsorted(owner, np.arange(first, last + 2))
-                byte_cut = np.concatenate([[0], ends])[id_cut].tolist()
-                whole = raw.tobytes()
-                for k in range(first, last + 1):
-                    a, b = word_cut[k - first], word_cut[k - first + 1]
-                    if a < b:
-                        ids_sha[k].update((("," if count[k] else "") + ",".join(said[a:b])).encode())
-                        text_sha[k].update(whole[byte_cut[k - first]:byte_cut[k - first + 1]])
-                        count[k] += id_cut[k - first + 1] - id_cut[k - first]
+            for ids, owner in own.encoded(texts):
+                first, last = int(owner[0]), int(owner[-1])
+                cut = np.searchsorted(owner, np.arange(first, last + 2))
+                (said, said_ends), (raw, raw_ends) = own.decimal(ids), own.decode(ids)
+                said_cut, raw_cut = (np.concatenate([[0], ends])[cut].tolist() for ends in (said_ends, raw_ends))
+                said, raw = said.tobytes(), raw.tobytes()
+                for k, n_ids in enumerate(np.diff(cut).tolist()):
+                    if n_ids:
+                        own_ids = said[said_cut[k]:said_cut[k + 1] - 1]
+                        ids_sha[first + k].update(b"," + own_ids if count[first + k] else own_ids)
+                        text_sha[first + k].update(raw[raw_cut[k]:raw_cut[k + 1]])
+                        count[first + k] += n_ids
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count), pa.array([h.hexdigest() for h in ids_sha]), pa.array([h.hexdigest() for h in text_sha])],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
@@ -347,7 +483,7 @@ def with_ids(docs: DataFrame, path: str) -> DataFrame:
         for batch in slices(batches):
             texts = batch.column(1).fill_null("").to_pylist()
             found, count = [], np.zeros(len(texts), np.int64)
-            for ids, owner, _, _ in own.encoded(texts):
+            for ids, owner in own.encoded(texts):
                 found.append(ids)
                 count += np.bincount(owner, minlength=len(texts))
             flat = np.concatenate(found) if found else np.zeros(0, np.int32)
