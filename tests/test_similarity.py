@@ -205,3 +205,15 @@ def test_tasks_of_seeded_alignment_follow_the_candidates(spark, monkeypatch):
     engines.local_pairs(q, t, "m", engines.EngineOptions(kmer=12, kmer_shared=3), 50)
     everything = 60_060 * t.agg(F.sum(F.length("seq"))).first()[0] / 2e9
     assert asked[-1] < everything * 0.9
+
+
+def test_full_cascade_takes_the_profile_step(spark, tmp_path):
+    """A turn with one short divergent piece of an item: its local score of 66 is under the 72 of the exhaustive step, the profile finds it."""
+    from seqpart.catalog import QUERIES
+
+    item = "TGDGKTLCHPTRYEVCNGFQHNGERKQQWKFPWYVQIIAEHHNMQVVSYHWWFLNQRDLD"
+    near, far = "YFKVMQLTNPLKNMSNLVFKTRYEVPNGFQHKGELVKPCTKLCQPHSMCFGDMA", "MSIWLACSPVAGTILPMCASVLTIPWMGSACLIVPTSAMWGCLPISVTAMC"
+    spark.createDataFrame([(0, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    turns = [(0, 0, near), (0, 1, far)]
+    spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [r.name for r in QUERIES["j04_cascade"](spark, str(tmp_path)).collect()] == ["c0.1"]
