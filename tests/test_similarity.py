@@ -217,3 +217,13 @@ def test_full_cascade_takes_the_profile_step(spark, tmp_path):
     turns = [(0, 0, near), (0, 1, far)]
     spark.createDataFrame(turns, "conv_id bigint, turn bigint, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     assert [r.name for r in QUERIES["j04_cascade"](spark, str(tmp_path)).collect()] == ["c0.1"]
+
+
+def test_gate_counts_come_from_whole_scores(spark, sf, monkeypatch):
+    from seqpart.catalog import QUERIES
+
+    seen = []
+    counts = sim.stage_counts
+    monkeypatch.setattr(sim, "stage_counts", lambda scores, opts: seen.append(scores) or counts(scores, opts))
+    assert QUERIES["g04_stage_counts"](spark, sf).count() > 0
+    assert seen[0].filter(F.size("domains") > 0).count() > 0
